@@ -7,6 +7,7 @@ import html as html_lib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tallyshelf.functions import rules
 
@@ -147,7 +148,11 @@ def has_letter(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).rlike(r"\p{L}")
 
 
-@F.pandas_udf("string")
-def unescape_html(text: pd.Series) -> pd.Series:
+def unescape_html(text: Column) -> Column:
     """Full HTML entity decoding; Spark has no built-in for the named entities."""
-    return text.map(html_lib.unescape, na_action="ignore")
+    # Built here, so that the function travels to executors by value.
+    @F.pandas_udf(StringType())
+    def decode(values: pd.Series) -> pd.Series:
+        return values.map(html_lib.unescape, na_action="ignore")
+
+    return decode(text)

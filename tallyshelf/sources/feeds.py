@@ -11,8 +11,6 @@ from tallyshelf.functions.classify import skipped_type
 from tallyshelf.functions.price import per100
 from tallyshelf.functions.rounding import round_even
 
-PRODUCT_COLUMNS = schemas.PRODUCT.fieldNames()
-
 
 def _empty(*names: str) -> list[Column]:
     return [F.lit("").alias(n) for n in names]
@@ -31,7 +29,7 @@ def _finish(rows: DataFrame) -> DataFrame:
     for name in ("city", "province"):
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(""))
-    return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.PRODUCT.fields])
+    return rows.select(*[F.col(n).cast(t).alias(n) for n, t in schemas.PRODUCT_FIELDS.items()])
 
 
 def _tag_text(tags: Column) -> Column:
