@@ -6,6 +6,7 @@ alternation, so a row is scanned once; where the first match decides they become
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -13,12 +14,13 @@ from pyspark.sql import functions as F
 
 from tallyshelf.functions import rules
 from tallyshelf.functions.lookup import look_up
+from tallyshelf.functions.prefilter import matches_any
 from tallyshelf.functions.text import fix_entities
 
-ASCII_EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+_WORD = "[A-Za-z0-9_]"
 
-# Kinds of goods that are not the product itself. A shop list has its own vocabulary, so the list
-# is a parameter everywhere; this default names the common kinds.
+# Kinds of goods that are not the product itself, in lower case. A shop list has its own vocabulary,
+# so the list is a parameter everywhere; this default names the common kinds.
 DEFAULT_EXCLUDED = [
     r"subscription", r"gift\s?(card|set|box)", r"\bvoucher\b",
     r"t-?shirt", r"hoodie", r"\btote\b", r"apron", r"\bstickers?\b", r"\bhat\b", r"\bsocks\b",
@@ -39,20 +41,26 @@ def any_of(patterns: Sequence[str], flags: str = "(?iU)") -> str:
 
 
 def ascii_boundaries(pattern: str) -> str:
-    """Rewrite ``\\b`` to a boundary of ASCII words, next to which other scripts do not count."""
-    return pattern.replace(r"\b", ASCII_EDGE)
+    """Rewrite ``\\b`` to a boundary of ASCII words, next to which other scripts do not count.
+
+    At the start of an alternative it looks behind, elsewhere ahead; in the rule sets a word
+    character is always on the other side.
+    """
+    leading = re.sub(r"(^|[(|:])\\b", rf"\1(?<!{_WORD})", pattern)
+    return leading.replace(r"\b", f"(?!{_WORD})")
 
 
 def _size_at_least(text: Column, unit: str, minimum: float) -> Column:
     number = F.regexp_extract(text, rf"(?iU)(\d+(?:\.\d+)?)\s?{unit}\b", 1).try_cast("double")
-    return F.coalesce(number >= minimum, F.lit(False))
+    # Looking for the unit first spares most titles the pattern.
+    return F.lower(text).contains(unit[:2]) & F.coalesce(number >= minimum, F.lit(False))
 
 
 def is_product(title: Column, grams: Column, excluded: Sequence[str] = DEFAULT_EXCLUDED,
                exempt: str = rules.AWARD) -> Column:
     """Feed-side rule: award lots skip the word list, nothing skips the size limits."""
     text = fix_entities(title)
-    listed = text.rlike(any_of(excluded)) & ~text.rlike(exempt)
+    listed = matches_any(F.lower(text), excluded, any_of(excluded, "(?U)")) & ~text.rlike(exempt)
     too_big = (F.coalesce(grams, F.lit(0)) >= 1000) | _size_at_least(text, "kg", 1) | _size_at_least(text, "lbs?", 2)
     return ~(listed | too_big)
 
@@ -60,7 +68,8 @@ def is_product(title: Column, grams: Column, excluded: Sequence[str] = DEFAULT_E
 def is_listed_product(name: Column, excluded: Sequence[str] = DEFAULT_EXCLUDED) -> Column:
     """Consumer-side rule on the lower-cased name: award lots pass at once."""
     text = F.lower(fix_entities(name))
-    return text.rlike(ascii_boundaries(AWARD_EXEMPT)) | ~text.rlike(ascii_boundaries(any_of(excluded, "")))
+    unlisted = ~matches_any(text, excluded, ascii_boundaries(any_of(excluded, "")))
+    return unlisted | text.rlike(ascii_boundaries(AWARD_EXEMPT))
 
 
 def is_wholesale(name: Column, grams: Column, words: str = DEFAULT_WHOLESALE) -> Column:

@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 
 from tallyshelf.functions import rules
 from tallyshelf.functions.classify import ascii_boundaries
+from tallyshelf.functions.prefilter import could_match
 
 FAMILIES = [f[0] for f in rules.FLAVOUR_FAMILIES]
 
 
 def distinct_words(text: Column, pattern: str) -> Column:
-    """How many different words of a vocabulary occur in the text."""
-    found = F.regexp_extract_all(text, F.lit("(?i)" + ascii_boundaries(pattern)), F.lit(0))
-    return F.size(F.array_distinct(F.transform(found, F.lower)))
+    """How many different words of a vocabulary (in lower case) occur in the text."""
+    low = F.lower(text)
+    found = F.size(F.array_distinct(F.regexp_extract_all(low, F.lit(ascii_boundaries(pattern)), F.lit(0))))
+    hint = could_match(low, pattern.split("|"))
+    return found if hint is None else F.when(hint, found).otherwise(0)
 
 
 def family_scores(text: Column) -> dict[str, Column]:
@@ -30,6 +33,10 @@ def score_struct(text: Column) -> Column:
     return F.struct(*[score.alias(name) for name, score in family_scores(text).items()])
 
 
+def total_score(scores: Column) -> Column:
+    return sum((scores[name] for name in FAMILIES), F.lit(0))
+
+
 def top_family(scores: Column) -> Column:
     """Family with the highest score; the earlier family wins a tie, no score gives null."""
     best = F.greatest(*[scores[name] for name in FAMILIES])
@@ -41,8 +48,7 @@ def top_family(scores: Column) -> Column:
 
 def _weighted(scores: Column, position: int) -> Column:
     total = sum((scores[f[0]] * F.lit(float(f[position])) for f in rules.FLAVOUR_FAMILIES), F.lit(0.0))
-    hits = sum((scores[name] for name in FAMILIES), F.lit(0))
-    return total / F.nullif(hits, F.lit(0))
+    return total / F.nullif(total_score(scores), F.lit(0))
 
 
 def _clamp(value: Column) -> Column:
@@ -54,15 +60,14 @@ def _jitter(seed: Column, factor: int) -> Column:
     return F.pmod(F.pmod(seed, F.lit(21)) * factor, F.lit(21)) - 10
 
 
-def note_coordinates(name: Column, notes: Column, seed: Column, scores: Column, ferment: Column) -> Column:
+def note_coordinates(notes: Column, seed: Column, scores: Column, ferment: Column) -> Column:
     """Struct (x, y, family, source) from notes, null when the notes name no flavour."""
-    hits = sum((scores[f] for f in FAMILIES), F.lit(0))
     spread = sum((F.when(scores[f] > 0, 1).otherwise(0) for f in FAMILIES), F.lit(0))
     amplitude = F.when(spread >= 3, 0.5).otherwise(0.25)
     x = F.lit(50.0) + _weighted(scores, 2) * 2.2 + F.least(F.lit(3), ferment) * 9
     y = F.lit(50.0) + _weighted(scores, 1) * 2.2
     return F.when(
-        (F.coalesce(notes, F.lit("")) != "") & (hits > 0),
+        (F.coalesce(notes, F.lit("")) != "") & (total_score(scores) > 0),
         F.struct(
             _clamp(x + _jitter(seed, 53) * amplitude).alias("x"),
             _clamp(y + _jitter(seed, 97) * amplitude).alias("y"),

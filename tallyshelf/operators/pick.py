@@ -8,6 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def once(df: DataFrame, name: str, column: Column) -> DataFrame:
+    """Add a costly column that is evaluated once per row.
+
+    A plain projection may be copied into every later expression and filter that uses it; a
+    one-element generator is not.
+    """
+    return df.select("*", F.explode(F.array(column)).alias(name))
+
+
 def _pick(df: DataFrame, keys: Sequence[str], choose: Callable, order: Sequence[Column]) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
     row = choose(F.struct(*[F.col(c) for c in rest]), F.struct(*order)).alias("_row")

@@ -12,6 +12,7 @@ from tallyshelf.functions.rounding import round_even
 from tallyshelf.functions.status import stock_status
 from tallyshelf.functions.text import has_letter
 from tallyshelf.operators import dims
+from tallyshelf.operators.pick import once
 
 MAX_LIVE, MAX_PAST = 60, 12
 
@@ -89,14 +90,16 @@ def locate(items: DataFrame, seed_column: str = "id", manual: DataFrame | None =
 
     ``manual`` has id, x, y, family for the few items placed by hand.
     """
-    scored = items.withColumn(
-        "_text", F.when(F.coalesce("notes", F.lit("")) != "", F.concat_ws(" ", F.coalesce("name", F.lit("")), "notes"))
-        .otherwise(F.coalesce("name", F.lit("")))
-    ).withColumn("_scores", flavour.score_struct(F.col("_text"))).withColumn(
-        "_name_scores", flavour.score_struct(F.col("name"))
-    ).withColumn("_ferment", flavour.distinct_words(F.col("_text"), rules.FERMENT_WORDS))
+    name, noted = F.coalesce(F.col("name"), F.lit("")), F.coalesce("notes", F.lit("")) != ""
+    text = F.when(noted, F.concat_ws(" ", name, "notes")).otherwise(name)
+    scored = once(items, "_s", F.struct(
+        flavour.score_struct(text).alias("text"), flavour.distinct_words(text, rules.FERMENT_WORDS).alias("ferment")
+    ))
+    # The name is scored by itself only where notes are present but name no flavour.
+    alone = F.when(noted & (flavour.total_score(F.col("_s.text")) == 0), flavour.score_struct(name))
+    scored = once(scored, "_name_scores", F.coalesce(alone, F.col("_s.text")))
     seed = F.col(seed_column)
-    from_notes = flavour.note_coordinates(F.col("name"), F.col("notes"), seed, F.col("_scores"), F.col("_ferment"))
+    from_notes = flavour.note_coordinates(F.col("notes"), seed, F.col("_s.text"), F.col("_s.ferment"))
     guess = flavour.guessed_coordinates(F.col("process"), F.col("origin"), seed, F.col("_name_scores"))
     if manual is None:
         point = F.coalesce(from_notes, guess)
@@ -105,4 +108,4 @@ def locate(items: DataFrame, seed_column: str = "id", manual: DataFrame | None =
             F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "family",
             F.lit("manual").alias("source")).alias("_manual")), "id", "left")
         point = F.coalesce(from_notes, F.col("_manual"), guess)
-    return scored.withColumn("_p", point).select(*items.columns, "_p.x", "_p.y", "_p.family", "_p.source")
+    return once(scored, "_p", point).select(*items.columns, "_p.x", "_p.y", "_p.family", "_p.source")

@@ -1,3 +1,3 @@
 """Imports every query module, which registers its queries."""
 
-from workload import curation, tracking  # noqa: F401
+from workload import catalogue, curation, tracking  # noqa: F401
