@@ -15,22 +15,16 @@ from tallyshelf.functions.prefilter import could_match
 FAMILIES = [f[0] for f in rules.FLAVOUR_FAMILIES]
 
 
-def distinct_words(text: Column, pattern: str) -> Column:
-    """How many different words of a vocabulary (in lower case) occur in the text."""
-    low = F.lower(text)
+def distinct_words(low: Column, pattern: str) -> Column:
+    """How many different words of a vocabulary occur in a lower-case text."""
     found = F.size(F.array_distinct(F.regexp_extract_all(low, F.lit(ascii_boundaries(pattern)), F.lit(0))))
     hint = could_match(low, pattern.split("|"))
     return found if hint is None else F.when(hint, found).otherwise(0)
 
 
-def family_scores(text: Column) -> dict[str, Column]:
-    text = F.coalesce(text, F.lit(""))
-    return {name: distinct_words(text, pattern) for name, _, _, pattern in rules.FLAVOUR_FAMILIES}
-
-
-def score_struct(text: Column) -> Column:
-    """Scores of all families as one struct, so later expressions reuse a single evaluation."""
-    return F.struct(*[score.alias(name) for name, score in family_scores(text).items()])
+def score_struct(low: Column) -> Column:
+    """Number of distinct words per family in a lower-case text, as one struct."""
+    return F.struct(*[distinct_words(low, pattern).alias(name) for name, _, _, pattern in rules.FLAVOUR_FAMILIES])
 
 
 def total_score(scores: Column) -> Column:

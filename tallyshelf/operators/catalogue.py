@@ -212,9 +212,12 @@ def process_stats(items: DataFrame, shops: DataFrame, priced_only: bool = False)
     ``priced_only``.
     """
     price = F.when(F.col("amount") > 0, F.col("p100")) if priced_only else F.col("p100")
-    stats = (
-        buyable(items, shops).groupBy(process_class(F.col("process")).alias("process_class"))
-        .agg(F.count(F.lit(1)).alias("n"), F.avg(price).alias("mean_p100"))
+    # Summed per process name first, so the patterns run on names and not on items.
+    by_name = buyable(items, shops).groupBy("process").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(price).alias("_sum"), F.count(price).alias("_priced")
+    )
+    stats = by_name.groupBy(process_class(F.col("process")).alias("process_class")).agg(
+        F.sum("n").alias("n"), (F.sum("_sum") / F.nullif(F.sum("_priced"), F.lit(0))).alias("mean_p100")
     )
     # At most one row per process class is left here.
     return stats.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))))

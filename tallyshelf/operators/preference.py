@@ -102,8 +102,10 @@ def favourites_of(features: DataFrame) -> DataFrame:
     """Most liked origin group, process and flavour family per user; ties by name."""
     def top(kind: str) -> Column:
         chosen = F.col("kind") == kind
-        # The least (-weight, name) is the heaviest entry, the first name on a tie.
-        return F.min(F.when(chosen, F.struct((-F.col("weight")).alias("w"), F.col("name").alias("name"))))["name"]
+        # The least (-weight, name) is the heaviest entry, the first name on a tie. Rounding makes
+        # equal sums equal whatever the order they were added in.
+        weight = F.round(-F.col("weight"), 9).alias("w")
+        return F.min(F.when(chosen, F.struct(weight, F.col("name").alias("name"))))["name"]
 
     return features.groupBy("user").agg(
         top("group").alias("top_group"), top("process").alias("top_process"), top("family").alias("top_family")

@@ -12,6 +12,7 @@ from tallyshelf.functions.classify import origin_group
 from tallyshelf.functions.price import believable
 from tallyshelf.functions.rounding import round_half_up
 from tallyshelf.operators.pick import order_stats, top_per_group, upper_median
+from tallyshelf.session import settle
 
 PRIOR = 8
 ORIGIN_SHARES = ["africa", "latam", "asia"]
@@ -21,22 +22,31 @@ FEATURES = [*ORIGIN_SHARES, *STOCK_SHARES, *STYLE_FEATURES, "budget"]
 
 
 def shop_tally(items: DataFrame, order: str = "id") -> DataFrame:
-    """Counts per shop, its currency (that of its first item) and upper median unit price."""
-    group = origin_group(F.col("origin"))
-    process = F.coalesce("process", F.lit(""))
+    """Counts per shop, its currency (that of its first item) and upper median unit price.
 
-    def count(pattern: str) -> Column:
-        return F.count_if(process.rlike("(?i)" + pattern))
-
-    counts = items.withColumn("_group", group).groupBy("shop").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count("_group").alias("n_origin"),
-        *[F.count_if(F.col("_group") == g).alias(g) for g in ORIGIN_SHARES],
-        (count("Washed") - count(r"Anaerobic\s*Washed")).alias("clean"),
-        (count("Natural|Honey") - count(r"Anaerobic\s*Natural")).alias("natural"),
-        count("Anaerobic|Carbonic|Thermal|Yeast|Koji|Lactic").alias("experimental"),
-        F.count_if(F.col("variety").isin("geisha", "sidra")).alias("geisha"),
-        F.min_by("cur", order).alias("cur"),
+    Items are first counted per distinct (shop, currency, origin, process, variety); the patterns
+    then run on those few combinations instead of on every item.
+    """
+    kinds = ["shop", "cur", "origin", "process", "variety"]
+    combos = items.groupBy(*kinds).agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_first"))
+    process = F.coalesce("process", F.lit(""))
+    combos = combos.withColumn("_group", origin_group(F.col("origin")))
+
+    def count(test: Column) -> Column:
+        return F.sum(F.when(test, F.col("_n")).otherwise(0))
+
+    def named(pattern: str) -> Column:
+        return count(process.rlike("(?i)" + pattern))
+
+    counts = combos.groupBy("shop").agg(
+        F.sum("_n").alias("n"),
+        count(F.col("_group").isNotNull()).alias("n_origin"),
+        *[count(F.col("_group") == g).alias(g) for g in ORIGIN_SHARES],
+        (named("Washed") - named(r"Anaerobic\s*Washed")).alias("clean"),
+        (named("Natural|Honey") - named(r"Anaerobic\s*Natural")).alias("natural"),
+        named("Anaerobic|Carbonic|Thermal|Yeast|Koji|Lactic").alias("experimental"),
+        count(F.col("variety").isin("geisha", "sidra")).alias("geisha"),
+        F.min_by("cur", "_first").alias("cur"),
     )
     prices = order_stats(items.filter(believable(F.col("p100"))), ["shop"], "p100", {"price": upper_median}, "n_price")
     return counts.join(prices, "shop", "left").withColumn("price", F.coalesce("price", F.lit(0.0))).withColumn(
@@ -109,10 +119,13 @@ def z_scores(values: DataFrame) -> DataFrame:
     return values.join(spread, "feature").withColumn("z", (F.col("value") - F.col("_mean")) / sd).drop("_mean", "_sd")
 
 
-def shop_profiles(items: DataFrame, shops: DataFrame, prior: float = PRIOR) -> tuple[DataFrame, DataFrame]:
-    """(profiles, tally): long (shop, feature, value, z) and one tally row per shop."""
-    tally = price_trust(shop_tally(items))
-    return z_scores(feature_values(tally, shops, prior)), tally
+def shop_profiles(items: DataFrame, shops: DataFrame, prior: float = PRIOR, order: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(profiles, tally): long (shop, feature, value, z) and one tally row per shop.
+
+    The tables per shop are small and read by many branches, so each is computed once.
+    """
+    tally = settle(price_trust(settle(shop_tally(items, order))))
+    return settle(z_scores(settle(feature_values(tally, shops, prior)))), tally
 
 
 def odd_prices(prices: DataFrame, shop: str = "shop", unit_price: str = "p100", low: float = 200,

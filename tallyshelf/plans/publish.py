@@ -92,12 +92,14 @@ def locate(items: DataFrame, seed_column: str = "id", manual: DataFrame | None =
     """
     name, noted = F.coalesce(F.col("name"), F.lit("")), F.coalesce("notes", F.lit("")) != ""
     text = F.when(noted, F.concat_ws(" ", name, "notes")).otherwise(name)
-    scored = once(items, "_s", F.struct(
-        flavour.score_struct(text).alias("text"), flavour.distinct_words(text, rules.FERMENT_WORDS).alias("ferment")
+    low = items.withColumn("_low", F.lower(text)).withColumn("_low_name", F.lower(name))
+    scored = once(low, "_s", F.struct(
+        flavour.score_struct(F.col("_low")).alias("text"),
+        flavour.distinct_words(F.col("_low"), rules.FERMENT_WORDS).alias("ferment"),
     ))
     # The name is scored by itself only where notes are present but name no flavour.
-    alone = F.when(noted & (flavour.total_score(F.col("_s.text")) == 0), flavour.score_struct(name))
-    scored = once(scored, "_name_scores", F.coalesce(alone, F.col("_s.text")))
+    alone = noted & (flavour.total_score(F.col("_s.text")) == 0)
+    scored = once(scored, "_name_scores", F.when(alone, flavour.score_struct(F.col("_low_name"))).otherwise(F.col("_s.text")))
     seed = F.col(seed_column)
     from_notes = flavour.note_coordinates(F.col("notes"), seed, F.col("_s.text"), F.col("_s.ferment"))
     guess = flavour.guessed_coordinates(F.col("process"), F.col("origin"), seed, F.col("_name_scores"))

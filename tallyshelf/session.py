@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -46,3 +46,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="tallyshelf-checkpoint-")
     context.setCheckpointDir(folder)
     return folder
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute a small table once that several later branches read, and cut its lineage.
+
+    The rows go to the checkpoint folder, so they survive the loss of an executor.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()

@@ -189,10 +189,10 @@ def rare_ladder(spark, sf):
   st AS (SELECT shop, n, max(p) FILTER (r = n // 10) AS lo_end, max(p) FILTER (r = n - 1 - n // 10) AS hi_end,
     max(p) FILTER (r = n // 2) AS mid FROM o GROUP BY shop, n)""", body="""
   SELECT shop, n, round(lo_end, 6) AS lo_end, round(hi_end, 6) AS hi_end, round(mid, 6) AS mid FROM st
-    WHERE n >= 3 AND (lo_end > 2000 OR hi_end < 3500)"""))
+    WHERE n >= 3 AND (lo_end > 400 OR hi_end < 2000)"""))
 def odd_prices(spark, sf):
     items = priced(spark, sf, default_rate=1).filter((F.col("amount") > 0) & (F.col("status") == "now"))
-    odd = profile.odd_prices(items, low=3500, high=2000)
+    odd = profile.odd_prices(items, low=2000, high=400)
     return odd.select("shop", "n", *[F.round(c, 6).alias(c) for c in ("lo_end", "hi_end", "mid")])
 
 
