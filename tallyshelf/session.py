@@ -55,3 +55,13 @@ def settle(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread an input that comes in fewer pieces than the cluster has cores.
+
+    Costly expressions on a table of few, small files would leave most cores idle. A large table
+    has more pieces than cores and is passed on as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -25,7 +25,7 @@ from workload.tracking import SQL_EVENTS
 
 def _goods(spark, sf):
     """Parts with the texts a shop would write about them."""
-    p, key = S.table(spark, sf, "part"), F.col("p_partkey")
+    p, key = session.spread(S.table(spark, sf, "part")), F.col("p_partkey")
     return p.select(
         key.alias("k"), F.col("p_brand").alias("shop"), F.pmod(key, F.lit(40)).alias("page"),
         F.concat_ws(" ", "p_name", S.choose(["Kenya", "", "Peru"], key), S.choose(["Washed", "", "Honey 250g", "1kg"], key)).alias("title"),
@@ -91,7 +91,7 @@ def store_feed(spark, sf):
 
 @query(with_(SQL_GOODS, body="""SELECT shop || '::p' || k AS key, trim(title || ' & Co') AS title, CASE WHEN size % 4 = 0 THEN 0 ELSE price END AS price, text_grams AS grams,
     CASE WHEN text_grams > 0 AND size % 4 <> 0 THEN printf('%.2f', price / text_grams * 100)::DOUBLE ELSE -1 END AS per100, true AS available,
-    origin, process, notes FROM known WHERE size % 5 <> 0"""))
+    origin, CASE WHEN b = 2 AND pr <> 'Honey' THEN 'Natural' ELSE pr END AS process, notes FROM known WHERE size % 5 <> 0"""))
 def atom_feed(spark, sf):
     escaped = F.replace(F.replace(F.replace("body", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     price = F.when(F.col("size") % 4 == 0, "").otherwise(F.concat(F.lit('<s:price currency="EUR">'), "price", F.lit("</s:price>")))
@@ -200,21 +200,21 @@ SQL_PLAIN = r"""trim(regexp_replace(regexp_replace(regexp_replace(replace(replac
 
 @query(f"SELECT page_id, {SQL_PLAIN} AS text FROM pages")
 def page_text(spark, sf):
-    return S.table(spark, sf, "pages").select("page_id", X.html_to_text(F.col("html")).alias("text"))
+    return session.spread(S.table(spark, sf, "pages")).select("page_id", X.html_to_text(F.col("html")).alias("text"))
 
 
 @query(f"""WITH l AS (SELECT page_id, unnest(string_split({SQL_PLAIN}, chr(10))) AS line, generate_subscripts(string_split({SQL_PLAIN}, chr(10)), 1) AS i FROM pages),
   s AS (SELECT *, len(list_distinct(regexp_extract_all(lower(line), 'berr|cassis|cherry|plum|straw|blueberr|raspberr|currant|acerola|hibiscus|citrus|lemon|lime|orange|grapefruit|mandarin|bergamot|yuzu|floral|jasmine|rose|tea\\b|lavender|chamomile|blossom|tropical|pineapple|mango|lychee|passion|guava|melon|peach|apricot|papaya|chocolate|cocoa|cacao|nut|almond|hazelnut|caramel|toffee|brown\\s*sugar|honey|vanilla|malt|molasses|syrup|apple|pear|grape|fig|date|raisin|tamarind|rhubarb|lemongrass|nougat|cane|spice|cinnamon'))) AS words FROM l)
   SELECT p.page_id, coalesce((SELECT arg_min(trim(line, ' .．、,:：-–—/|'), i) FROM s WHERE s.page_id = p.page_id AND words >= 2 AND length(line) BETWEEN 5 AND 90), '') AS notes FROM pages p""")
 def page_notes(spark, sf):
-    return S.table(spark, sf, "pages").select("page_id", X.extract_notes(F.col("html")).alias("notes"))
+    return session.spread(S.table(spark, sf, "pages")).select("page_id", X.extract_notes(F.col("html")).alias("notes"))
 
 
 @query("""SELECT page_id, CASE WHEN regexp_matches(html || url, '(?i)cdn\\.shopify\\.com') THEN 'Shopify' WHEN regexp_matches(html || url, '(?i)wix\\.com') THEN 'Wix'
   WHEN regexp_matches(html || url, '(?i)wp-content|wp-json') THEN 'WordPress' WHEN page_id % 4 = 0 THEN 'WooCommerce' ELSE 'unknown' END AS platform,
   len(regexp_extract_all(html, '(?i)href="/[^"/]+"')) AS links FROM pages""")
 def page_platforms(spark, sf):
-    pages = S.table(spark, sf, "pages")
+    pages = session.spread(S.table(spark, sf, "pages"))
     marked = F.concat("html", "url", F.when(F.col("page_id") % 4 == 0, " <link href='/WooCommerce.css'>").otherwise(""))
     links = F.size(F.regexp_extract_all("html", F.lit('(?i)href="/[^"/]+"'), 0)).cast("bigint")
     return pages.select("page_id", classify.platform(marked, limit=None).alias("platform"), links.alias("links"))
@@ -241,7 +241,7 @@ def platform_tally(spark, sf):
 def word_families(spark, sf):
     from tallyshelf.functions import flavour
 
-    docs = S.table(spark, sf, "documents").filter((F.col("lang") == "en") & F.col("text").rlike(r"^[\x00-\x7F]*$"))
+    docs = session.spread(S.table(spark, sf, "documents")).filter((F.col("lang") == "en") & F.col("text").rlike(r"^[\x00-\x7F]*$"))
     scores = docs.select("doc_id", flavour.score_struct(F.lower("text")).alias("s"))
     return scores.select("doc_id", *[F.col(f"s.{f}").cast("bigint").alias(f) for f in ("berry", "floral", "choco")])
 

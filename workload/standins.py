@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyshelf.functions import classify, geo
 from tallyshelf.functions.price import pack_grams
+from tallyshelf.session import spread
 
 COUNTRIES = ["JP", "NO", "US", "GB", "AU", "DE", "KR", "TW", "CA", "SE", "FR", "IT", "NL", "DK", "ID", "TH", "IN",
              "BR", "CO", "MX", "AE", "ZA", "NZ", "FI", "CH"]
@@ -54,9 +55,9 @@ def shops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = table(spark, sf_dir, "lineitem").select(
+    line = spread(table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", "l_linestatus",
-        "l_shipdate")
+        "l_shipdate"))
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
     sup = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
     order, number, p = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")
