@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyshelf.functions import rules
 from tallyshelf.functions.lookup import look_up
-from tallyshelf.functions.prefilter import matches_any
+from tallyshelf.functions.prefilter import let, matches_any
 from tallyshelf.functions.text import fix_entities
 
 _WORD = "[A-Za-z0-9_]"
@@ -59,27 +59,28 @@ def _size_at_least(text: Column, unit: str, minimum: float) -> Column:
 def is_product(title: Column, grams: Column, excluded: Sequence[str] = DEFAULT_EXCLUDED,
                exempt: str = rules.AWARD) -> Column:
     """Feed-side rule: award lots skip the word list, nothing skips the size limits."""
-    text = fix_entities(title)
-    listed = matches_any(F.lower(text), excluded, any_of(excluded, "(?U)")) & ~text.rlike(exempt)
-    too_big = (F.coalesce(grams, F.lit(0)) >= 1000) | _size_at_least(text, "kg", 1) | _size_at_least(text, "lbs?", 2)
-    return ~(listed | too_big)
+    def rejected(text: Column) -> Column:
+        listed = matches_any(F.lower(text), excluded, any_of(excluded, "(?U)")) & ~text.rlike(exempt)
+        return listed | _size_at_least(text, "kg", 1) | _size_at_least(text, "lbs?", 2)
+
+    return (F.coalesce(grams, F.lit(0)) < 1000) & ~F.exists(F.array(fix_entities(title)), rejected)
 
 
 def is_listed_product(name: Column, excluded: Sequence[str] = DEFAULT_EXCLUDED) -> Column:
     """Consumer-side rule on the lower-cased name: award lots pass at once."""
-    text = F.lower(fix_entities(name))
-    unlisted = ~matches_any(text, excluded, ascii_boundaries(any_of(excluded, "")))
-    return unlisted | text.rlike(ascii_boundaries(AWARD_EXEMPT))
+    def listed(text: Column) -> Column:
+        unlisted = ~matches_any(text, excluded, ascii_boundaries(any_of(excluded, "")))
+        return unlisted | text.rlike(ascii_boundaries(AWARD_EXEMPT))
+
+    return F.exists(F.array(F.lower(fix_entities(name))), listed)
 
 
 def is_wholesale(name: Column, grams: Column, words: str = DEFAULT_WHOLESALE) -> Column:
-    text = F.lower(F.coalesce(name, F.lit("")))
-    return (
-        (F.coalesce(grams, F.lit(0)) >= 1000)
-        | text.rlike(ascii_boundaries(words))
-        | _size_at_least(text, "kg", 1)
-        | _size_at_least(text, "lbs?", 2)
-    )
+    def worded(text: Column) -> Column:
+        return text.rlike(ascii_boundaries(words)) | _size_at_least(text, "kg", 1) | _size_at_least(text, "lbs?", 2)
+
+    low = F.lower(F.coalesce(name, F.lit("")))
+    return (F.coalesce(grams, F.lit(0)) >= 1000) | F.exists(F.array(low), worded)
 
 
 def skipped_type(product_type: Column) -> Column:
@@ -111,12 +112,14 @@ def origin_group(origin: Column) -> Column:
 
 def variety(title: Column, tags: Column) -> Column:
     """``sidra`` or ``geisha``, null otherwise; a blend is never rare."""
-    text = F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(tags, F.lit("")))
-    return (
-        F.when(text.rlike(rules.BLEND_WORD), None)
-        .when(text.rlike(rules.SIDRA), "sidra")
-        .when(text.rlike(rules.GEISHA), "geisha")
-    )
+    def kind(text: Column) -> Column:
+        return (
+            F.when(text.rlike(rules.BLEND_WORD), None)
+            .when(text.rlike(rules.SIDRA), "sidra")
+            .when(text.rlike(rules.GEISHA), "geisha")
+        )
+
+    return let(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(tags, F.lit(""))), kind)
 
 
 def is_award(title: Column) -> Column:
@@ -142,13 +145,14 @@ def is_estate(title: Column, origin: Column) -> Column:
 
 def platform(html: Column, limit: int | None = 400_000) -> Column:
     """Shop platform by the first sign that occurs in a landed home page."""
-    body = F.coalesce(html, F.lit(""))
-    if limit:
-        body = F.substring(body, 1, limit)
-    chain = F
-    for name, pattern in rules.PLATFORM_SIGNS:
-        chain = chain.when(body.rlike("(?i)" + pattern), name)
-    return chain.otherwise("unknown")
+    def first_sign(body: Column) -> Column:
+        chain = F
+        for name, pattern in rules.PLATFORM_SIGNS:
+            chain = chain.when(body.rlike("(?i)" + pattern), name)
+        return chain.otherwise("unknown")
+
+    whole = F.coalesce(html, F.lit(""))
+    return let(F.substring(whole, 1, limit) if limit else whole, first_sign)
 
 
 def product_like_links(body: Column) -> Column:

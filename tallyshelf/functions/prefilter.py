@@ -1,4 +1,4 @@
-"""Cheap tests ahead of long pattern lists.
+"""Cheap tests ahead of long pattern lists, and values evaluated once.
 
 Trying dozens of alternatives at every place of a text is the costliest expression in a catalogue
 job. Most texts contain none of the words the patterns need, and looking for plain words is far
@@ -8,7 +8,7 @@ cheaper, so the patterns only run where one of their words occurs. The result is
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -38,7 +38,19 @@ def could_match(low: Column, patterns: Sequence[str]) -> Column | None:
     return reduce(lambda a, b: a | b, [low.contains(w) for w in kept])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, however often the body uses it.
+
+    Catalyst copies projected expressions into filters and conditions; the variable of a lambda
+    cannot be taken apart that way.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def matches_any(low: Column, patterns: Sequence[str], compiled: str) -> Column:
     """``low.rlike(compiled)`` for the alternation ``compiled`` of lower-case patterns."""
-    hint = could_match(low, patterns)
-    return low.rlike(compiled) if hint is None else hint & low.rlike(compiled)
+    def test(text: Column) -> Column:
+        hint = could_match(text, patterns)
+        return text.rlike(compiled) if hint is None else hint & text.rlike(compiled)
+
+    return F.exists(F.array(low), test)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from tallyshelf.functions import rules
+from tallyshelf.functions.prefilter import let
 
 _ENTITIES = [("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'")]
 _NOTE_TRIM = " .．、,:：-–—/|"
@@ -65,25 +66,27 @@ def notes_from_lines(lines: Column) -> Column:
     A labelled line wins (a label alone takes the next line); otherwise the first line of 5 to 90
     characters naming two different flavour words.
     """
-    def labelled(line: Column, i: Column) -> Column:
-        value = clean_note(F.regexp_extract(line, rules.NOTE_LABEL, 1))
-        following = F.get(lines, i + 1)
-        value = F.when((F.length(value) < 3) & following.isNotNull(), clean_note(following)).otherwise(value)
-        usable = line.rlike(rules.NOTE_LABEL) & (F.length(value) >= 3) & value.rlike(rules.NOTE_WORDS)
-        return F.when(usable, value)
-
-    def words(line: Column) -> Column:
-        return F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(rules.NOTE_WORDS), 0), F.lower))
-
-    by_label = F.get(F.filter(F.transform(lines, labelled), lambda v: v.isNotNull()), 0)
-    short_line = F.get(
-        F.filter(lines, lambda l: (F.length(l) >= 5) & (F.length(l) <= 90) & (F.size(words(l)) >= 2)), 0
-    )
+    def note(ls: Column) -> Column:
+        def labelled(line: Column, i: Column) -> Column:
+            def complete(value: Column) -> Column:
+                following = F.get(ls, i + 1)
+                return F.when((F.length(value) < 3) & following.isNotNull(), clean_note(following)).otherwise(value)
+
+            def usable(value: Column) -> Column:
+                return F.when((F.length(value) >= 3) & value.rlike(rules.NOTE_WORDS), value)
+
+            value = let(clean_note(F.regexp_extract(line, rules.NOTE_LABEL, 1)), complete)
+            return F.when(line.rlike(rules.NOTE_LABEL), let(value, usable))
+
+        def words(line: Column) -> Column:
+            return F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(rules.NOTE_WORDS), 0), F.lower))
+
+        by_label = F.get(F.filter(F.transform(ls, labelled), lambda v: v.isNotNull()), 0)
+        short_line = F.get(F.filter(ls, lambda l: F.length(l).between(5, 90) & (F.size(words(l)) >= 2)), 0)
+        return F.coalesce(by_label, clean_note(short_line), F.lit(""))
+
     # A description without any flavour word cannot yield a note; skip the line work for it.
-    return F.when(
-        F.array_join(lines, "\n").rlike(rules.NOTE_WORDS),
-        F.coalesce(by_label, clean_note(short_line), F.lit("")),
-    ).otherwise("")
+    return let(lines, lambda ls: F.when(F.exists(ls, lambda l: l.rlike(rules.NOTE_WORDS)), note(ls)).otherwise(""))
 
 
 def extract_notes(html: Column) -> Column:
@@ -101,11 +104,13 @@ def grams_from_text(text: Column) -> Column:
 
 def first_listed(text: Column, words: list[tuple[str, str]]) -> Column:
     """Label of the first *listed* word the text contains, whatever its place in the text."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    rule = F
-    for word, label in words:
-        rule = rule.when(low.contains(word), F.lit(label))
-    return rule.otherwise("")
+    def first(low: Column) -> Column:
+        rule = F
+        for word, label in words:
+            rule = rule.when(low.contains(word), F.lit(label))
+        return rule.otherwise("")
+
+    return let(F.lower(F.coalesce(text, F.lit(""))), first)
 
 
 def guess_origin(text: Column) -> Column:
@@ -118,8 +123,7 @@ def guess_process(text: Column) -> Column:
 
 def guess_with_fallback(guess, text: Column, deep: Column) -> Column:
     """Guess from the short text, else from the long one."""
-    short = guess(text)
-    return F.when(short != "", short).otherwise(guess(deep))
+    return F.coalesce(F.nullif(guess(text), F.lit("")), guess(deep))
 
 
 def fix_entities(title: Column) -> Column:

@@ -232,14 +232,17 @@ def process_listing(items: DataFrame, shops: DataFrame, process_key: str, by_pri
 
 
 def coordinate_medians(points: DataFrame) -> DataFrame:
-    """Rounded upper median of x and y per process class; points have process_class, x, y."""
-    def median(axis: str) -> DataFrame:
-        return order_stats(points, ["process_class"], axis, {f"med_{axis}": upper_median})
+    """Rounded upper median of x and y per process class; points have process_class, x, y.
 
-    return (
-        median("x").join(median("y").drop("n"), "process_class")
-        .select("process_class", "n", round_half_up(F.col("med_x")).alias("med_x"),
-                round_half_up(F.col("med_y")).alias("med_y"))
+    Both axes are stacked into one column, so the points are worked out once.
+    """
+    axes = F.array(*[F.struct(F.lit(axis).alias("axis"), F.col(axis).alias("value")) for axis in ("x", "y")])
+    stats = order_stats(points.select("process_class", F.inline(axes)), ["process_class", "axis"], "value",
+                        {"median": upper_median})
+    rounded = round_half_up(F.col("median"))
+    return stats.groupBy("process_class").agg(
+        F.max("n").alias("n"), F.max(F.when(F.col("axis") == "x", rounded)).alias("med_x"),
+        F.max(F.when(F.col("axis") == "y", rounded)).alias("med_y"),
     )
 
 

@@ -14,9 +14,9 @@ from tallyshelf.operators.pick import earliest_per_key, latest_per_key, top_per_
 
 def dedupe_by_title(df: DataFrame, group: str, title: str, order: Sequence[Column], row_id: str) -> DataFrame:
     """One row per (group, normalised title), the first by ``order``; empty titles are all kept."""
-    key = title_key(F.col(title))
+    key = F.nullif(title_key(F.col(title)), F.lit(""))
     # A row without a usable title is its own group.
-    own = F.when(key != "", F.concat(F.lit("t"), key)).otherwise(F.concat(F.lit("r"), F.col(row_id).cast("string")))
+    own = F.coalesce(F.concat(F.lit("t"), key), F.concat(F.lit("r"), F.col(row_id).cast("string")))
     return earliest_per_key(df.withColumn("_title", own), [group, "_title"], order).drop("_title")
 
 

@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyshelf.session import settle
+
 
 def once(df: DataFrame, name: str, column: Column) -> DataFrame:
     """Add a costly column that is evaluated once per row.
@@ -54,14 +56,16 @@ def order_stats(df: DataFrame, group: Sequence[str], value: str,
     is ever sorted as a whole. Equal values collapse to (value, copies); values fall into narrow
     bins; running bin totals tell which bin holds each rank; only the rows of those bins are
     sorted, each bin apart. A group that holds a third of the rows is spread over its values.
+    Null values and null groups are left out.
     """
     group = list(group)
-    low = (
+    values = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*group, F.col(value).alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_bin", value_bin(F.col("_v")))
     )
+    # Read twice below, so the narrow counted values are kept instead of deriving them again.
+    low = settle(values).withColumn("_bin", value_bin(F.col("_v")))
     in_group = Window.partitionBy(*group)
     bins = (
         low.groupBy(*group, "_bin").agg(F.sum("_c").alias("_size"))

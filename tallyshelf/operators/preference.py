@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyshelf.functions import rules
 from tallyshelf.functions.classify import origin_group
+from tallyshelf.operators.pick import top_per_group
+from tallyshelf.operators.profile import FEATURES
 
 # Strength of the parts of a blend, cap and rate of learning.
 PAST_WEIGHT, LOG_WEIGHT = 0.35, 3.5
@@ -222,10 +226,16 @@ def blocks_for(shops: DataFrame, per_block: int = 512) -> int:
     return max(1, -(-shops.count() // per_block))
 
 
+def _aligned(df: DataFrame, key: str, value: str, features: Sequence[str]) -> DataFrame:
+    """One row per key with its feature values as an array in the order of ``features``."""
+    cells = [F.coalesce(F.max(F.when(F.col("feature") == f, F.col(value))), F.lit(0.0)) for f in features]
+    return df.groupBy(key).agg(F.array(*cells).alias(value))
+
+
 def score_shops(weights: DataFrame, profiles: DataFrame, affinity: DataFrame | None = None, *, n: int = 5,
                 shops: DataFrame | None = None, country: str | None = None, scale: float = 1.0,
-                affinity_weight: float = 1.2, shop_blocks: int = 8,
-                user_shares: int = 16) -> DataFrame:
+                affinity_weight: float = 1.2, shop_blocks: int = 8, user_shares: int = 16,
+                features: Sequence[str] = FEATURES) -> DataFrame:
     """Best ``n`` shops per user: (user, place, shop, score).
 
     The score is the weighted sum of z-scores plus a bounded bonus for liked shops. Every user is
@@ -237,45 +247,35 @@ def score_shops(weights: DataFrame, profiles: DataFrame, affinity: DataFrame | N
     if country is not None:
         home = shops.filter(F.col("country") == country).select("shop")
         profiles = profiles.join(home, "shop", "left_semi")
-    shop_rows = profiles.groupBy("shop").agg(
-        F.map_from_entries(F.collect_list(F.struct("feature", "z"))).alias("z")
-    )
     blocks = (
-        shop_rows.groupBy(F.pmod(F.xxhash64("shop"), F.lit(shop_blocks)).cast("int").alias("_block"))
+        _aligned(profiles, "shop", "z", features)
+        .groupBy(F.pmod(F.xxhash64("shop"), F.lit(shop_blocks)).cast("int").alias("_block"))
         .agg(F.collect_list(F.struct("shop", "z")).alias("_shops"))
         .withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(user_shares - 1))))
     )
-    users = weights.groupBy("user").agg(
-        F.map_from_entries(F.collect_list(F.struct("feature", (F.col("weight") * scale).alias("w")))).alias("_w")
-    )
+    users = _aligned(weights, "user", "weight", features)
     if affinity is not None:
         liked = affinity.groupBy("user").agg(
-            F.map_from_entries(F.collect_list(F.struct("shop", "weight"))).alias("_liked")
+            F.map_from_entries(F.collect_list(F.struct(F.col("shop").cast("string"), "weight"))).alias("_liked")
         )
         users = users.join(liked, "user", "full_outer")
-    else:
-        users = users.withColumn("_liked", F.lit(None).cast("map<string,double>"))
+    users = users.withColumn("weight", F.coalesce("weight", F.array_repeat(F.lit(0.0), len(features))))
     users = users.withColumn("_share", F.pmod(F.xxhash64("user"), F.lit(user_shares)).cast("int")).withColumn(
         "_block", F.explode(F.sequence(F.lit(0), F.lit(shop_blocks - 1)))
     )
 
     def score(s: Column) -> Column:
-        dot = F.aggregate(
-            F.map_entries(F.coalesce("_w", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>")))),
-            F.lit(0.0),
-            lambda acc, e: acc + e["value"] * F.coalesce(F.try_element_at(s["z"], e["key"]), F.lit(0.0)),
-        )
-        bonus = F.tanh(F.coalesce(F.try_element_at(F.col("_liked"), s["shop"].cast("string")), F.lit(0.0)) / 3)
-        return dot + bonus * affinity_weight
+        dot = sum((F.get("weight", F.lit(i)) * F.get(s["z"], F.lit(i)) for i in range(len(features))), F.lit(0.0)) * scale
+        if affinity is None:
+            return dot
+        liking = F.coalesce(F.try_element_at(F.col("_liked"), s["shop"].cast("string")), F.lit(0.0))
+        return dot + F.tanh(liking / 3) * affinity_weight
 
     ranked = F.slice(F.array_sort(F.transform("_shops", lambda s: F.struct(
         (-score(s)).alias("minus"), s["shop"].alias("shop")))), 1, n)
     winners = users.join(blocks, ["_block", "_share"]).select("user", F.inline(ranked))
-    window = Window.partitionBy("user").orderBy("minus", "shop")
-    return (
-        winners.withColumn("place", F.row_number().over(window)).filter(F.col("place") <= n)
-        .select("user", "place", "shop", (-F.col("minus")).alias("score"))
-    )
+    best = top_per_group(winners, ["user"], [F.asc("minus"), F.asc("shop")], n, rank="place")
+    return best.select("user", "place", "shop", (-F.col("minus")).alias("score"))
 
 
 def recommend_from_log(vectors: DataFrame, profiles: DataFrame, affinity: DataFrame, n: int = 3) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,12 +50,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute a small table once that several later branches read, and cut its lineage.
+    """Compute a table once that several later branches read, and cut its lineage.
 
-    The rows go to the checkpoint folder, so they survive the loss of an executor.
+    The rows are written as a table beside the checkpoints, in the folder all executors share, so
+    they survive the loss of an executor; Spark then knows their real size when it plans joins.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
