@@ -260,6 +260,9 @@ def score_shops(weights: DataFrame, profiles: DataFrame, affinity: DataFrame | N
         )
         users = users.join(liked, "user", "full_outer")
     users = users.withColumn("weight", F.coalesce("weight", F.array_repeat(F.lit(0.0), len(features))))
+    # Scoring is bound by computation: a fixed number of tasks, as Spark would merge them by bytes.
+    tasks = int(weights.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    users = users.repartition(tasks, "user")
     users = users.withColumn("_share", F.pmod(F.xxhash64("user"), F.lit(user_shares)).cast("int")).withColumn(
         "_block", F.explode(F.sequence(F.lit(0), F.lit(shop_blocks - 1)))
     )
