@@ -57,7 +57,7 @@ def _located(items: DataFrame, levels: int) -> DataFrame:
     return (
         items.withColumn("z", z)
         .withColumn("cx", cell(F.col("x"), _PLANE)).withColumn("cy", cell(F.col("y"), _PLANE))
-        .withColumn("cz", F.coalesce(cell(F.col("z"), _LOG_PRICE), F.lit(-1)))
+        .withColumn("cz", F.when(F.col("z").isNull(), -1).otherwise(cell(F.col("z"), _LOG_PRICE)))
     )
 
 
