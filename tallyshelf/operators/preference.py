@@ -200,8 +200,9 @@ def suggested_options(vectors: DataFrame, threshold: float = 0.08) -> DataFrame:
     )
 
     def dot(option: dict[str, float]) -> Column:
-        return sum((F.coalesce(F.try_element_at(F.col("_v"), F.lit(f)), F.lit(0.0)) * float(w)
-                    for f, w in option.items()), F.lit(0.0))
+        total = sum((F.coalesce(F.try_element_at(F.col("_v"), F.lit(f)), F.lit(0.0)) * float(w)
+                     for f, w in option.items()), F.lit(0.0))
+        return F.round(total, 9)  # equal options stay equal, whatever the order of the sums
 
     def best(question: list[dict[str, float]]) -> Column:
         scores = F.array(*[dot(option) for option in question])

@@ -167,8 +167,8 @@ _DOTS = " UNION ALL ".join(
     for q, options in enumerate(rules.QUIZ) for o, option in enumerate(options))
 
 
-@query(with_(S.sql_shops(), SQL_TASTE, f"dots AS ({_DOTS})", body="""SELECT "user", question, CASE WHEN max(s) > 0.08 THEN arg_max(opt, s) ELSE -1 END AS option
-  FROM (SELECT * FROM dots ORDER BY opt) GROUP BY 1, 2"""))
+@query(with_(S.sql_shops(), SQL_TASTE, f"dots AS ({_DOTS})", body="""SELECT "user", question, CASE WHEN round(s, 9) > 0.08 THEN opt ELSE -1 END AS option
+  FROM dots QUALIFY row_number() OVER (PARTITION BY "user", question ORDER BY round(s, 9) DESC, opt) = 1"""))
 def suggested_options(spark, sf):
     return preference.suggested_options(preference.taste_vector(_taste(spark, sf)))
 
