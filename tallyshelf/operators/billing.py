@@ -20,6 +20,28 @@ def once_per_event(events: DataFrame) -> DataFrame:
     return earliest_per_key(events, ["event_id"], [F.col("ts")])
 
 
+def _ownership(checkouts: DataFrame, slice_days: float = 7) -> DataFrame:
+    """Spans in which a customer belongs to a user: (_customer, _owner, _from, _to).
+
+    Only checkouts that name another customer than the one before start a span. Repeats are dropped
+    inside (user, time slice) first, so a user with very many checkouts is never ordered whole.
+    """
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)
+    rows = checkouts.select("user_id", "customer_id", "ts", "event_id", F.floor(seconds / (slice_days * 86400)).alias("_slice"))
+
+    def switches(df: DataFrame, *keys: str) -> DataFrame:
+        before = F.lag("customer_id").over(Window.partitionBy(*keys).orderBy("ts", "event_id"))
+        kept = df.withColumn("_before", before)
+        return kept.filter(F.col("_before").isNull() | (F.col("_before") != F.col("customer_id"))).drop("_before")
+
+    starts = switches(switches(rows, "user_id", "_slice"), "user_id")
+    per_user = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return starts.select(
+        F.col("customer_id").alias("_customer"), F.col("user_id").alias("_owner"), F.col("ts").alias("_from"),
+        F.lead("ts").over(per_user).alias("_to"),
+    )
+
+
 def with_user(events: DataFrame) -> DataFrame:
     """Add the user: named by a checkout, looked up by customer for later events.
 
@@ -27,11 +49,7 @@ def with_user(events: DataFrame) -> DataFrame:
     names another one. Events of an unknown customer, and checkouts without user, are dropped.
     """
     checkouts = events.filter((F.col("type") == CHECKOUT) & F.col("user_id").isNotNull())
-    per_user = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    owned = checkouts.select(
-        F.col("customer_id").alias("_customer"), F.col("user_id").alias("_owner"), F.col("ts").alias("_from"),
-        F.lead("ts").over(per_user).alias("_to"),
-    )
+    owned = _ownership(checkouts)
     later = events.filter(F.col("type") != CHECKOUT).drop("user_id")
     match = (
         (F.col("customer_id") == F.col("_customer")) & (F.col("ts") >= F.col("_from"))

@@ -146,6 +146,16 @@ def test_entitlements(spark):
     check_entitlements(billing.fold_entitlements(spark.createDataFrame(billing_rows(), BILLING)).collect())
 
 
+def test_customer_follows_the_latest_checkout(spark):
+    day = lambda d: dt.datetime(2024, 1, d)
+    def event(i, kind, d, user, customer, status):
+        return (f"e{i}", kind, day(d), user, customer, f"s{i}", status, None, "month", day(d))
+    rows = [event(i, billing.CHECKOUT, d, "u", c, "active") for i, (d, c) in enumerate([(1, "a"), (2, "a"), (9, "a"), (12, "b"), (20, "a")])]
+    rows += [event(i, billing.PAID, d, None, c, "x") for i, (d, c) in enumerate([(3, "a"), (13, "a"), (14, "b"), (21, "b"), (22, "a")], 10)]
+    found = billing.with_user(spark.createDataFrame(rows, BILLING)).filter(F.col("type") == billing.PAID)
+    assert sorted(r.event_id for r in found.collect()) == ["e10", "e12", "e14"]
+
+
 def test_entitlement_stream_equals_batch(spark, tmp_path):
     rows = billing_rows()
     for i, part in enumerate((rows[:3], rows[3:5], rows[5:])):
