@@ -49,8 +49,12 @@ def _marked_rows(snapshots: DataFrame, key: str, ts: str, available: str, order:
     )
 
 
-def _slice_summary(rows: DataFrame) -> DataFrame:
-    """One row per (key, slice), with what the slices before it carry in."""
+def _slice_summary(rows: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """One row per (key, slice), with what the slices before it carry in.
+
+    ``before`` (key, available, last_status_change) is what was known ahead of all rows; it takes
+    part as one more, earliest slice.
+    """
     summary = rows.groupBy("key", "slice").agg(
         F.min("ts").alias("first_ts"),
         F.min_by("available", "ts").alias("first_available"),
@@ -59,6 +63,13 @@ def _slice_summary(rows: DataFrame) -> DataFrame:
         F.max_by("available", "ts").alias("last_available"),
         F.max("ts").alias("last_ts"),
     )
+    if before is not None:
+        kinds = dict(summary.dtypes)
+        known = before.select(
+            F.col("key").cast(kinds["key"]).alias("key"), F.lit(-(2**62)).alias("slice"), F.col("available").alias("last_available"),
+            F.col("last_status_change").cast(kinds["first_ts"]).alias("inner_change"),
+        )
+        summary = summary.unionByName(known, allowMissingColumns=True)
     over_slices = Window.partitionBy("key").orderBy("slice")
     earlier = over_slices.rowsBetween(Window.unboundedPreceding, -1)
     carried = F.lag("last_available").over(over_slices)
@@ -67,6 +78,7 @@ def _slice_summary(rows: DataFrame) -> DataFrame:
         .withColumn("first_changed", F.col("carried").isNull() | (F.col("carried") != F.col("first_available")))
         .withColumn("change", F.coalesce("inner_change", F.when(F.col("first_changed"), F.col("first_ts"))))
         .withColumn("carried_change", F.last("change", ignorenulls=True).over(earlier))
+        .filter(F.col("first_ts").isNotNull())
     )
 
 
@@ -83,9 +95,12 @@ def _plain(kind: str, ts: Column) -> Column:
 
 
 def snapshot_diff(snapshots: DataFrame, key: str = "key", ts: str = "ts", available: str = "available",
-                  min_oos_hours: float = 12, order: str | None = None, slice_days: float = 7) -> DataFrame:
+                  min_oos_hours: float = 12, order: str | None = None, slice_days: float = 7,
+                  before: DataFrame | None = None) -> DataFrame:
     """All events of a history of snapshots: columns key, type, ts, oos_hours.
 
+    ``before`` is the state the history continues: key, available, last_status_change.
+
     The history of a key is cut into time slices, which are compared apart; only a short row per
     slice travels on to link the slices. A key that holds a third of all rows is thus spread over
     its time line, and the rows themselves are shuffled once.
@@ -105,7 +120,7 @@ def snapshot_diff(snapshots: DataFrame, key: str = "key", ts: str = "ts", availa
     )
 
     # The first two changes depend on what earlier slices left behind.
-    s = _slice_summary(rows)
+    s = _slice_summary(rows, before)
     first, second = F.col("first_available"), F.col("second_ts")
     first_event = (
         F.when(F.col("carried").isNull() & first, _plain("new", F.col("first_ts")))
@@ -127,9 +142,13 @@ def snapshot_diff(snapshots: DataFrame, key: str = "key", ts: str = "ts", availa
 
 
 def replay_state(snapshots: DataFrame, key: str = "key", ts: str = "ts", available: str = "available",
-                 order: str | None = None, slice_days: float = 7) -> DataFrame:
-    """Stock state after a history: key, available, first_seen, last_seen, last_status_change."""
-    s = _slice_summary(_marked_rows(snapshots, key, ts, available, order, slice_days))
+                 order: str | None = None, slice_days: float = 7, before: DataFrame | None = None) -> DataFrame:
+    """Stock state after a history: key, available, first_seen, last_seen, last_status_change.
+
+    Continuing ``before``, first_seen and last_status_change tell of the new rows only; the latter
+    is null where they changed nothing.
+    """
+    s = _slice_summary(_marked_rows(snapshots, key, ts, available, order, slice_days), before)
     return s.groupBy("key").agg(
         F.max_by("last_available", "slice").alias("available"),
         F.min("first_ts").alias("first_seen"),
@@ -181,6 +200,36 @@ def apply_snapshot(state: DataFrame, snapshot: DataFrame, now: Column, min_oos_h
     return new_state, events
 
 
+def apply_history(state: DataFrame, snapshots: DataFrame, ts: str = "ts", min_oos_hours: float = 12,
+                  order: str | None = None, slice_days: float = 7) -> tuple[DataFrame, DataFrame]:
+    """(new state, events) of several snapshots at once, the same as applying them one by one.
+
+    ``snapshots`` has the product columns and the time of each row. Rows older than the key's
+    stored ``last_seen`` are dropped. The number of snapshots does not matter: there is no loop.
+    """
+    known = state.select("key", F.col("last_seen").alias("_seen"))
+    fresh = snapshots.join(known, "key", "left").filter(F.col("_seen").isNull() | (F.col(ts) >= F.col("_seen"))).drop("_seen")
+    before = state.select("key", "available", "last_status_change")
+    events = snapshot_diff(fresh, "key", ts, "available", min_oos_hours, order, slice_days, before)
+    marks = replay_state(fresh, "key", ts, "available", order, slice_days, before).drop("available")
+    last = latest_per_key(fresh, ["key"], [F.col(ts), *([F.col(order)] if order else [])]).drop(ts, *([order] if order else []))
+    new = last.join(marks, "key")
+    fields = [c for c in last.columns if c != "key"]
+    joined = state.alias("old").join(new.withColumn("_new", F.lit(True)).alias("new"), "key", "full_outer")
+    seen = F.col("new._new").isNotNull()
+    kept = [c for c in state.columns if c not in fields and c not in ("key", "first_seen", "last_seen", "last_status_change")]
+    new_state = joined.select(
+        "key",
+        *[F.when(seen, F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")).alias(c) if c in state.columns
+          else F.col(f"new.{c}").alias(c) for c in fields],
+        *[F.col(f"old.{c}").alias(c) for c in kept],
+        F.coalesce("old.first_seen", "new.first_seen").alias("first_seen"),
+        F.coalesce("new.last_seen", "old.last_seen").alias("last_seen"),
+        F.coalesce("new.last_status_change", "old.last_status_change").alias("last_status_change"),
+    )
+    return new_state, events
+
+
 def recent_events(events: DataFrame, products: DataFrame, now: Column, days: float = 14,
                   limit: int = 500) -> DataFrame:
     """Newest events of the last ``days`` with the attributes of their product."""

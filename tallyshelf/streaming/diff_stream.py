@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
-from tallyshelf.sinks.tables import VersionedTable, take_snapshot
+from tallyshelf.operators.diff import apply_history
+from tallyshelf.sinks.tables import VersionedTable, append_events
 
 EVENT_SCHEMA = "key STRING, type STRING, ts TIMESTAMP, oos_hours DOUBLE"
 _STATE_SCHEMA = "available BOOLEAN, changed_us LONG, seen_us LONG"
@@ -73,19 +74,18 @@ def snapshot_diff_stream(snapshots: DataFrame, key: str = "key", ts: str = "ts",
 
 
 def track(snapshots: DataFrame, state: VersionedTable, events_path: str, checkpoint: str, *,
-          ts: str = "ts", min_oos_hours: float = 12, trigger: dict | None = None):
+          ts: str = "ts", min_oos_hours: float = 12, order: str | None = None, trigger: dict | None = None):
     """Run a stream of snapshots into the state table and the event log, batch by batch.
 
-    A batch may hold several snapshots; they are applied in time order. The loop runs over the
-    distinct snapshot times of a batch, not over rows.
+    A batch may hold any number of snapshots and is applied in one pass. A key that dominates a
+    batch is spread over time slices, which the per-key state of ``snapshot_diff_stream`` cannot do.
     """
     def apply(batch: DataFrame, _: int) -> None:
         batch.persist()
         try:
-            times = [r[0] for r in batch.select(ts).distinct().orderBy(ts).collect()]
-            for time in times:
-                now = F.lit(time).cast("timestamp")
-                take_snapshot(state, events_path, batch.filter(F.col(ts) == F.lit(time)).drop(ts), now, min_oos_hours)
+            new_state, events = apply_history(state.read(), batch, ts, min_oos_hours, order)
+            append_events(events, events_path)
+            state.write(new_state)
         finally:
             batch.unpersist()
 

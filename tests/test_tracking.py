@@ -89,12 +89,32 @@ def test_snapshot_by_snapshot_equals_replay(spark, tmp_path):
         k: tuple(v) for k, v in replay(rows)[1].items()}
 
 
+def test_histories_in_pieces_equal_one_replay(spark):
+    rows = sorted(history(keys=9, steps=24), key=lambda r: r[1])
+    want, end = replay(rows)
+    state = spark.createDataFrame([], "key STRING, available BOOLEAN, first_seen TIMESTAMP, last_seen TIMESTAMP, last_status_change TIMESTAMP")
+    got, cuts = [], [0, 40, 41, len(rows)]
+    for a, b in zip(cuts, cuts[1:]):
+        state, events = diff.apply_history(state, frame(spark, rows[a:b]), slice_days=3)
+        got += as_rows(events)
+        state = spark.createDataFrame(state.collect(), state.schema)
+    assert sorted(got, key=str) == want
+    assert {r.key: (r.available, r.last_status_change) for r in state.collect()} == {k: tuple(v) for k, v in end.items()}
+    firsts = {}
+    for key, ts, _ in rows:
+        firsts.setdefault(key, ts)
+    assert {r.key: r.first_seen for r in state.collect()} == firsts
+
+
 def test_late_snapshot_is_left_alone(spark):
     state = spark.createDataFrame([("a", True, DAY0, DAY0, DAY0)], "key string, available boolean, first_seen timestamp, "
                                   "last_seen timestamp, last_status_change timestamp")
     new, events = diff.apply_snapshot(state, spark.createDataFrame([("a", False)], "key string, available boolean"),
                                       F.lit(DAY0 - dt.timedelta(days=1)).cast("timestamp"))
     assert events.count() == 0 and new.first().available is True
+    late = frame(spark, [("a", DAY0 - dt.timedelta(days=1), False)])
+    new, events = diff.apply_history(state, late)
+    assert events.count() == 0 and new.first().available is True
 
 
 def test_stream_equals_batch(spark, tmp_path):

@@ -92,6 +92,23 @@ def upsert_events(spark, sf):
     return diff.apply_snapshot(state, late, F.lit("2024-02-01").cast("timestamp_ntz"), order="at")[1]
 
 
+def _continued(spark, sf):
+    """The second part of the history applied at once to the state the first part left."""
+    rows = S.snapshots(spark, sf)
+    cut = F.lit("2024-01-25").cast("timestamp_ntz")
+    return diff.apply_history(diff.replay_state(rows.filter(F.col("ts") < cut)), rows.filter(F.col("ts") >= cut))
+
+
+@query(with_(SQL_EVENTS, SQL_STATE, body="SELECT * FROM state"))
+def continued_state(spark, sf):
+    return _continued(spark, sf)[0]
+
+
+@query(with_(SQL_EVENTS, body="SELECT * FROM diff WHERE ts >= TIMESTAMP '2024-01-25'"))
+def continued_events(spark, sf):
+    return _continued(spark, sf)[1]
+
+
 @query(with_(SQL_EVENTS, body="""SELECT d.key, d.type, d.ts, d.oos_hours, c.c_name AS title, c.c_mktsegment AS shop
   FROM diff d JOIN customer c ON d.key = c.c_custkey WHERE d.ts > TIMESTAMP '2024-01-31' - INTERVAL 14 DAY
   ORDER BY d.ts DESC, d.key LIMIT 500"""))
