@@ -18,6 +18,8 @@ the three that can be an answer for anyone.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,13 +124,20 @@ def _least_distance(q: str = "q") -> Column:
     return F.hypot(gap("x"), gap("y")) + z + family + F.when(own_shop, SHOP_PENALTY).otherwise(0.0)
 
 
-def nearest_item(items: DataFrame, candidates: DataFrame, *, same_origin: bool, levels: int = 4) -> DataFrame:
+def levels_for(candidates: DataFrame, per_cell: int = 32) -> int:
+    """Depth of the tree so that a finest cell holds about ``per_cell`` candidates (one count)."""
+    cells = max(1, candidates.count() // per_cell)
+    return max(1, min(10, math.ceil(math.log(cells, _PARTS * _PARTS))))
+
+
+def nearest_item(items: DataFrame, candidates: DataFrame, *, same_origin: bool, levels: int | None = None) -> DataFrame:
     """Nearest candidate per item: (id, match, distance); items without any candidate are left out.
 
     Both sides have id, origin, shop, family, x, y, p100. With ``same_origin`` the match shares the
     item's origin; otherwise it has another one. Blends and unknown origins are never a match, and
-    have none of the same origin.
+    have none of the same origin. The depth of the tree follows the number of candidates unless given.
     """
+    levels = levels or levels_for(candidates)
     known = (F.coalesce("origin", F.lit("")) != "") & (F.col("origin") != rules.BLEND)
     group = ["origin"] if same_origin else []
     fields = ["id", "origin", "shop", "family", "x", "y", "p100"]
@@ -204,8 +213,9 @@ def nearest_item(items: DataFrame, candidates: DataFrame, *, same_origin: bool,
     return best.select("id", "best.match", "best.distance")
 
 
-def next_items(items: DataFrame, candidates: DataFrame, levels: int = 4) -> DataFrame:
+def next_items(items: DataFrame, candidates: DataFrame, levels: int | None = None) -> DataFrame:
     """Both suggestions per item: (id, same_origin, similar)."""
+    levels = levels or levels_for(candidates)
     same = nearest_item(items, candidates, same_origin=True, levels=levels)
     other = nearest_item(items, candidates, same_origin=False, levels=levels)
     return (

@@ -59,9 +59,11 @@ def test_nearest_item_against_brute_force(spark):
             x, y, price, shop = rnd.uniform(4, 96), rnd.uniform(4, 96), rnd.choice([0.0, rnd.uniform(200, 90000)]), f"s{rnd.randint(0, 9)}"
         items.append((i, rnd.choice(["A", "A", "A", "B", "ブレンド", "", "C"]), shop, rnd.choice(["berry", "citrus", "choco"]), x, y, price))
     df = spark.createDataFrame(items, "id int, origin string, shop string, family string, x double, y double, p100 double")
-    for same in (True, False):
-        got = neighbours.nearest_item(df, df, same_origin=same, levels=3).collect()
+    for same, levels in ((True, 3), (False, 3), (True, None), (False, None)):
+        got = neighbours.nearest_item(df, df, same_origin=same, levels=levels).collect()
         assert {r.id: (r.match, round(r.distance, 6)) for r in got} == brute_nearest(items, same)
+    both = {r.id: (r.same_origin, r.similar) for r in neighbours.next_items(df, df).collect()}
+    assert len(both) == len(items) and both[items[1][0]][1] == brute_nearest(items, False)[items[1][0]][0]
 
 
 def test_digest_wording(spark):
@@ -169,6 +171,16 @@ def test_entitlement_stream_equals_batch(spark, tmp_path):
     assert log.read().count() == 6
 
 
+def test_one_message_per_batch(spark, tmp_path):
+    ddl = "key string, type string, ts timestamp, oos_hours double"
+    rows = [("k1", "restock", dt.datetime(2024, 1, 2), 30.0), ("k2", "soldout", dt.datetime(2024, 1, 2), None)]
+    spark.createDataFrame(rows, ddl).coalesce(1).write.parquet(str(tmp_path / "in"))
+    products = spark.createDataFrame([("k1", "Kenya AA", "S"), ("k2", "Peru", "S")], "key string, title string, shop string")
+    source = spark.readStream.schema(ddl).parquet(str(tmp_path / "in"))
+    alerts.digest_per_batch(source, products, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert [(r.body, r.batch) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("Kenya AA — S（約1日ぶり）", 0)]
+
+
 def test_alerts_once_per_user(spark):
     events = spark.createDataFrame([("k", "restock", 1), ("k", "restock", 1), ("k", "new", 2), ("x", "restock", 3)], "key string, type string, ts int")
     watches = spark.createDataFrame([("u1", "k"), ("u2", "k")], "user string, key string")
