@@ -20,7 +20,7 @@ def once_per_event(events: DataFrame) -> DataFrame:
     return earliest_per_key(events, ["event_id"], [F.col("ts")])
 
 
-def _ownership(checkouts: DataFrame, slice_days: float = 7) -> DataFrame:
+def _ownership(checkouts: DataFrame, slice_days: float = 1) -> DataFrame:
     """Spans in which a customer belongs to a user: (_customer, _owner, _from, _to).
 
     Only checkouts that name another customer than the one before start a span. Repeats are dropped

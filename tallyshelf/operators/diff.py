@@ -95,7 +95,7 @@ def _plain(kind: str, ts: Column) -> Column:
 
 
 def snapshot_diff(snapshots: DataFrame, key: str = "key", ts: str = "ts", available: str = "available",
-                  min_oos_hours: float = 12, order: str | None = None, slice_days: float = 7,
+                  min_oos_hours: float = 12, order: str | None = None, slice_days: float = 1,
                   before: DataFrame | None = None) -> DataFrame:
     """All events of a history of snapshots: columns key, type, ts, oos_hours.
 
@@ -103,7 +103,8 @@ def snapshot_diff(snapshots: DataFrame, key: str = "key", ts: str = "ts", availa
 
     The history of a key is cut into time slices, which are compared apart; only a short row per
     slice travels on to link the slices. A key that holds a third of all rows is thus spread over
-    its time line, and the rows themselves are shuffled once.
+    its time line, and the rows themselves are shuffled once. Shorter slices spread a busy key
+    further, at the price of more rows per slice summary.
     """
     rows = _marked_rows(snapshots, key, ts, available, order, slice_days)
 
@@ -142,7 +143,7 @@ def snapshot_diff(snapshots: DataFrame, key: str = "key", ts: str = "ts", availa
 
 
 def replay_state(snapshots: DataFrame, key: str = "key", ts: str = "ts", available: str = "available",
-                 order: str | None = None, slice_days: float = 7, before: DataFrame | None = None) -> DataFrame:
+                 order: str | None = None, slice_days: float = 1, before: DataFrame | None = None) -> DataFrame:
     """Stock state after a history: key, available, first_seen, last_seen, last_status_change.
 
     Continuing ``before``, first_seen and last_status_change tell of the new rows only; the latter
@@ -201,7 +202,7 @@ def apply_snapshot(state: DataFrame, snapshot: DataFrame, now: Column, min_oos_h
 
 
 def apply_history(state: DataFrame, snapshots: DataFrame, ts: str = "ts", min_oos_hours: float = 12,
-                  order: str | None = None, slice_days: float = 7) -> tuple[DataFrame, DataFrame]:
+                  order: str | None = None, slice_days: float = 1) -> tuple[DataFrame, DataFrame]:
     """(new state, events) of several snapshots at once, the same as applying them one by one.
 
     ``snapshots`` has the product columns and the time of each row. Rows older than the key's
