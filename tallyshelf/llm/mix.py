@@ -52,9 +52,11 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3)) -> DataFra
     before = upto.rowsBetween(Window.unboundedPreceding, -1)
     rest = upto.rowsBetween(0, Window.unboundedFollowing)
     total = F.sum("source_size").over(Window.partitionBy())
-    # Sources before this one are full; were all from here on open, this would be the level.
+    # Were the sources before this one full and all from here on open, this would be the level. It is the
+    # level at the first source that it leaves open.
     rows = rows.withColumn("level", (total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(rest))
-    found = F.min(F.when(F.col("cap") >= F.col("level") * F.col("weight"), F.col("level"))).over(Window.partitionBy())
+    found = F.min(F.when(F.col("cap") >= F.col("level") * F.col("weight"), F.struct(
+        (F.col("cap") / F.col("weight")).alias("at"), F.col("level").alias("level")))).over(Window.partitionBy())["level"]
     return rows.select("source", "source_size", F.least(F.col("cap"), F.coalesce(
         found * F.col("weight"), F.col("cap"))).alias("target"))
 

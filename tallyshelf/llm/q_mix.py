@@ -21,7 +21,7 @@ l AS (SELECT *, 3.0::DOUBLE * source_size AS cap,
             source IS NULL, encode(source) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
         / sum(weight) OVER (ORDER BY 3.0::DOUBLE * source_size / weight, source IS NULL, encode(source)
             ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s),
-t AS (SELECT source, source_size, least(cap, coalesce(min(CASE WHEN cap >= level * weight THEN level END) OVER () * weight, cap)) AS target
+t AS (SELECT source, source_size, least(cap, coalesce((SELECT arg_min(level, cap / weight) FROM l WHERE cap >= level * weight) * weight, cap)) AS target
       FROM l),
 g AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS copies FROM t),
 h AS (SELECT *, target - copies * source_size AS missing,
