@@ -83,19 +83,23 @@ def scan(automaton, text: str | None) -> dict:
     return out
 
 
-#: The automaton of this Python worker; it is built once and used by all tasks of a scan.
 _BUILT: dict = {}
 
 
+def _automaton(key: str, shared, window: int):
+    """The automaton of this Python worker: built once, used by all tasks of a scan."""
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = build(shared.value, window)
+    return _BUILT[key]
+
+
 def _scanner(spark, items: list[tuple[str, str]], window: int):
     shared, key = spark.sparkContext.broadcast(items), uuid.uuid4().hex
 
     @F.arrow_udf(RESULT)
     def scanned(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        if key not in _BUILT:
-            _BUILT.clear()
-            _BUILT[key] = build(shared.value, window)
-        automaton = _BUILT[key]
+        automaton = _automaton(key, shared, window)
         for batch in batches:
             yield pa.array([scan(automaton, t) for t in batch.to_pylist()], _ARROW)
 
