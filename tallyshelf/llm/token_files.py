@@ -51,7 +51,7 @@ def _open(folder: str):
 def _put(folder: str, name: str, parts: Sequence[bytes]) -> None:
     fs, path = _open(folder)
     aside = f"{path}/.{name}-{uuid.uuid4().hex}"
-    with fs.open_output_stream(aside) as out:
+    with fs.open_output_stream(aside, compression=None) as out:
         for part in parts:
             out.write(part)
     fs.move(aside, f"{path}/{name}")
@@ -59,7 +59,7 @@ def _put(folder: str, name: str, parts: Sequence[bytes]) -> None:
 
 def _get(folder: str, name: str) -> bytes:
     fs, path = _open(folder)
-    with fs.open_input_stream(f"{path}/{name}") as file:
+    with fs.open_input_stream(f"{path}/{name}", compression=None) as file:
         return file.read()
 
 
