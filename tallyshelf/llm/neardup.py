@@ -29,7 +29,7 @@ from tallyshelf.session import settle
 
 ORDERS, DEPTH, WINDOW, CROWDED = 16, 6, 16, 3
 #: Nodes per block when pairs are confirmed, and the size from which a crowded region is cut at full depth.
-BLOCK, LARGE_REGION = 128, 4096
+BLOCK, LARGE_REGION = 256, 4096
 #: Of ORDERS * DEPTH signature values a pair agrees in at least this share to be confirmed: 5.5 standard
 #: deviations below the similarity asked for.
 SLACK = 5.5
@@ -271,11 +271,14 @@ def _labelled(known: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFram
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Links among the candidate pairs. Nodes are dealt into blocks, those with a common candidate
+    """Links among the candidate pairs. Nodes are dealt into blocks, those with a common candidate of a candidate
     together, and a pair goes to the block pair of its nodes with their sets; no block pair is large."""
     ends = pairs.select(F.col("a").alias("id"), F.col("b").alias("other")).unionAll(
         pairs.select(F.col("b").alias("id"), F.col("a").alias("other")))
-    label = settle(ends.groupBy("id").agg(F.min("other").alias("label")).select("id", F.least("id", "label").alias("label")))
+    ends = settle(ends)
+    near = settle(ends.groupBy("id").agg(F.min("other").alias("label")).select("id", F.least("id", "label").alias("label")))
+    # One hop more, so that a large group falls into few labels and its nodes meet in few block pairs.
+    label = settle(ends.join(near.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("label").alias("label")))
     sizes = label.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
     blocks = settle(label.join(sizes, "label").select(
         "id", F.struct("label", F.pmod(F.xxhash64("id"), "parts").alias("part")).alias("block")))
