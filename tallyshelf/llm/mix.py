@@ -17,7 +17,7 @@ from tallyshelf.session import settle
 #: No document is taken more often.
 MOST_COPIES = 3
 #: Ranks fall into so many bins by their place between 0 and 1; only the bin of the cut is sorted.
-BINS = 1 << 16
+BINS = 1 << 12
 #: Words at which a document has half the preference of a very long one: short scraps are taken less.
 HALF_SIZE = 100
 
@@ -107,9 +107,10 @@ def plan(sized: DataFrame, weights: tuple[float, ...] = (1, 2, 3)) -> DataFrame:
 
 
 def rank(u: Column, size: Column, part: Column) -> Column:
-    """Random odds over inclusion odds. The odds of the part that is wanted are weighed by preference."""
+    """Random odds over inclusion odds. The odds of the part that is wanted are weighed by preference.
+    Null where nothing of a source or of a document is wanted."""
     preference = size / (size + F.lit(float(HALF_SIZE)))
-    return (u / (1 - u)) / (part / (1 - part) * preference)
+    return (u / (1 - u)) / F.nullif(part / (1 - part) * preference, F.lit(0.0))
 
 
 def _bin(q: Column) -> Column:
