@@ -18,6 +18,8 @@ from tallyshelf.session import settle
 MOST_COPIES = 3
 #: Ranks fall into so many bins by their place between 0 and 1; only the bin of the cut is sorted.
 BINS = 1 << 12
+#: So many documents beyond the cut, each of the size nearest to the words still missing, close a sample.
+LAST_PLACES = 4
 #: Words at which a document has half the preference of a very long one: short scraps are taken less.
 HALF_SIZE = 100
 
@@ -64,10 +66,10 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3)) -> DataFra
 def plan(sized: DataFrame, weights: tuple[float, ...] = (1, 2, 3)) -> DataFrame:
     """One row per source that says who is taken: ``copies`` of every document, one more up to ``cut``.
 
-    ``sized`` has the fields of ``_sized`` as columns and is read three times, so it should be settled.
+    ``sized`` has the fields of ``_sized`` as columns and is read several times, so it should be settled.
     A source may hold any share of the rows: its words are added up per bin of rank before the shuffle,
-    and only the rows of the bin in which the missing words run out are ordered. ``last`` is the one
-    document beyond the cut whose size comes nearest to the words still missing then.
+    and only the rows of the bin in which the missing words run out are ordered. ``lasts`` are documents
+    beyond the cut, each that whose size comes nearest to the words still missing then.
     """
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     goals = settle(targets(sizes, weights).withColumn(
@@ -96,14 +98,18 @@ def plan(sized: DataFrame, weights: tuple[float, ...] = (1, 2, 3)) -> DataFrame:
         F.max(F.when(F.col("sum") <= F.col("missing"), F.col("sum"))).alias("sum"))
     cuts = settle(cuts.select("source", "bin", "cut", (
         F.col("missing") - F.coalesce(F.col("sum"), F.col("before").cast("double"))).alias("left")))
-    beyond = ranked.alias("r").join(cuts.alias("c"), F.col("r.source").eqNullSafe(F.col("c.source"))).filter(
-        (F.col("r.size") < 2 * F.col("left")) & ~_taken(F.col("r.bin"), F.col("r.at"), F.col("c.bin"), F.col("c.cut")))
-    lasts = settle(beyond.groupBy("c.source").agg(F.min(F.struct(
-        F.abs(F.col("r.size") - F.col("left")).alias("off"), F.col("r.at").alias("at"))).alias("last")))
-    return settle(goals.alias("g").join(cuts.alias("c"), F.col("g.source").eqNullSafe(F.col("c.source")), "left").join(
-        lasts.alias("l"), F.col("g.source").eqNullSafe(F.col("l.source")), "left").select(
-        "g.source", "g.source_size", "g.target", "g.copies", "g.part", F.col("c.bin").alias("cut_bin"), "c.cut", "l.last.at")
-        .withColumnRenamed("at", "last"))
+    state = cuts.withColumn("lasts", F.array().cast("array<struct<q: double, key: string>>"))
+    for _ in range(LAST_PLACES):
+        beyond = ranked.alias("r").join(state.alias("c"), F.col("r.source").eqNullSafe(F.col("c.source"))).filter(
+            (F.col("r.size") < 2 * F.col("left")) & ~F.array_contains("lasts", F.col("r.at"))
+            & ~_taken(F.col("r.bin"), F.col("r.at"), F.col("c.bin"), F.col("c.cut")))
+        one = beyond.groupBy("c.source").agg(F.min(F.struct(
+            F.abs(F.col("r.size") - F.col("left")).alias("off"), F.col("r.at").alias("at"), F.col("r.size").alias("size"))).alias("one"))
+        state = settle(state.alias("s").join(one.alias("o"), F.col("s.source").eqNullSafe(F.col("o.source")), "left").select(
+            "s.source", "s.bin", "s.cut", (F.col("left") - F.coalesce(F.col("one.size"), F.lit(0))).alias("left"),
+            F.when(F.col("one").isNull(), F.col("lasts")).otherwise(F.array_append("lasts", F.col("one.at"))).alias("lasts")))
+    return settle(goals.alias("g").join(state.alias("c"), F.col("g.source").eqNullSafe(F.col("c.source")), "left").select(
+        "g.source", "g.source_size", "g.target", "g.copies", "g.part", F.col("c.bin").alias("cut_bin"), "c.cut", "c.lasts"))
 
 
 def rank(u: Column, size: Column, part: Column) -> Column:
@@ -140,7 +146,7 @@ def mix(docs: DataFrame, into: str, key: str = "doc_id", text: str = "text", sou
     out = join_small(out, sources.toDF(p, n, m), [n, m], "left", 512)
     at = F.struct(rank(column(f)["u"], column(f)["size"], column(p)["part"]).alias("q"), column(f)["key"].alias("key"))
     more = (column(p)["part"] > 0) & (column(f)["size"] > 0) & (
-        _taken(_bin(at["q"]), at, column(p)["cut_bin"], column(p)["cut"]) | F.coalesce(at == column(p)["last"], F.lit(False)))
+        _taken(_bin(at["q"]), at, column(p)["cut_bin"], column(p)["cut"]) | F.coalesce(F.array_contains(column(p)["lasts"], at), F.lit(False)))
     return out.withColumn(into, F.struct(
         column(f)["size"].alias("size"), column(p)["source_size"].alias("source_size"), column(p)["target"].alias("target"),
         (column(p)["copies"] + F.when(F.coalesce(more, F.lit(False)), 1).otherwise(0)).cast("bigint").alias("copies"),

@@ -30,12 +30,19 @@ r AS (SELECT d.*, h.source_size, h.target, h.copies, h.missing, h.part, CASE WHE
         (u / (1 - u)) / (part / (1 - part) * (size / (size + 100.0::DOUBLE))) END AS q
       FROM d JOIN h ON d.source IS NOT DISTINCT FROM h.source),
 c AS (SELECT *, sum(CASE WHEN q IS NOT NULL THEN size END) OVER (PARTITION BY source ORDER BY q NULLS LAST, key) AS upto FROM r),
-k AS (SELECT *, missing - coalesce(max(CASE WHEN q IS NOT NULL AND upto <= missing THEN upto END) OVER (PARTITION BY source), 0) AS left_over FROM c),
-n AS (SELECT *, CASE WHEN q IS NOT NULL AND upto > missing AND size < 2 * left_over THEN
-        row_number() OVER (PARTITION BY source, q IS NOT NULL AND upto > missing AND size < 2 * left_over
-                           ORDER BY abs(size - left_over), q, key) END AS place FROM k)
-SELECT doc_id, size, source_size, target,
-  (size * (copies + CASE WHEN q IS NOT NULL AND upto <= missing THEN 1 WHEN place = 1 THEN 1 ELSE 0 END))::BIGINT AS taken FROM n
+k0 AS (SELECT *, q IS NOT NULL AND upto <= missing AS chosen,
+         missing - coalesce(max(CASE WHEN q IS NOT NULL AND upto <= missing THEN upto END) OVER (PARTITION BY source), 0) AS left_over FROM c)
+"""
+# The places that close a sample, one after the other.
+for _k in range(4):
+    _SQL += f""",
+n{_k} AS (SELECT *, CASE WHEN q IS NOT NULL AND NOT chosen AND size < 2 * left_over THEN
+        row_number() OVER (PARTITION BY source, q IS NOT NULL AND NOT chosen AND size < 2 * left_over
+                           ORDER BY abs(size - left_over), q, key) END AS place FROM k{_k}),
+k{_k + 1} AS (SELECT * EXCLUDE (chosen, left_over, place), chosen OR coalesce(place = 1, false) AS chosen,
+        left_over - coalesce(max(CASE WHEN place = 1 THEN size END) OVER (PARTITION BY source), 0) AS left_over FROM n{_k})"""
+_SQL += """
+SELECT doc_id, size, source_size, target, (size * (copies + CASE WHEN chosen THEN 1 ELSE 0 END))::BIGINT AS taken FROM k4
 """
 
 
