@@ -12,25 +12,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyshelf.functions import rules
+from tallyshelf.functions import goods, rules
 from tallyshelf.functions.lookup import look_up
 from tallyshelf.functions.prefilter import let, matches_any
 from tallyshelf.functions.text import fix_entities
 
 _WORD = "[A-Za-z0-9_]"
 
-# Kinds of goods that are not the product itself, in lower case. A shop list has its own vocabulary,
-# so the list is a parameter everywhere; this default names the common kinds.
-DEFAULT_EXCLUDED = [
-    r"subscription", r"gift\s?(card|set|box)", r"\bvoucher\b",
-    r"t-?shirt", r"hoodie", r"\btote\b", r"apron", r"\bstickers?\b", r"\bhat\b", r"\bsocks\b",
-    r"\bmugs?\b", r"tumbler", r"\bglass(es)?\b", r"\bbottle\b", r"\bcup\b", r"carafe",
-    r"grinder", r"dripper", r"kettle", r"\bscale\b", r"\bserver\b", r"paper\s?filter", r"tamper",
-    r"matcha", r"\btea\b", r"\bchai\b", r"cold\s?brew", r"\binstant\b", r"drip\s?bags?", r"\bsyrup\b",
-    r"\bbook\b", r"magazine", r"\btraining\b", r"\bcourse\b", r"\bworkshop\b",
-    r"\bcapsules?\b", r"\bpods?\b", r"\bwholesale\b", r"\bbulk\b", r"sample\s?box", r"assort",
-    r"^shipping$", r"^donation$",
-]
+# Fixed values.
 DEFAULT_WHOLESALE = r"wholesale|卸売?|業務用|バルク|\bbulk\b|カートン|coffee ?sacks?|\bjute\b"
 AWARD_EXEMPT = r"cup of excellence|\bcoe\b"
 
@@ -50,26 +39,32 @@ def ascii_boundaries(pattern: str) -> str:
     return leading.replace(r"\b", f"(?!{_WORD})")
 
 
+def ascii_edges(pattern: str) -> str:
+    """Rewrite ``\\b`` to an edge of ASCII words on either side, and ``\\s`` to white space of any script."""
+    edge = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+    return pattern.replace(r"\b", edge).replace(r"\s", r"[\s\p{Z}\x{FEFF}]")
+
+
 def _size_at_least(text: Column, unit: str, minimum: float) -> Column:
     number = F.regexp_extract(text, rf"(?iU)(\d+(?:\.\d+)?)\s?{unit}\b", 1).try_cast("double")
     # Looking for the unit first spares most titles the pattern.
     return F.lower(text).contains(unit[:2]) & F.coalesce(number >= minimum, F.lit(False))
 
 
-def is_product(title: Column, grams: Column, excluded: Sequence[str] = DEFAULT_EXCLUDED,
+def is_product(title: Column, grams: Column, excluded: Sequence[str] = goods.FEED_EXCLUDED,
                exempt: str = rules.AWARD) -> Column:
     """Feed-side rule: award lots skip the word list, nothing skips the size limits."""
     def rejected(text: Column) -> Column:
-        listed = matches_any(F.lower(text), excluded, any_of(excluded, "(?U)")) & ~text.rlike(exempt)
+        listed = matches_any(F.lower(text), excluded, lambda some: any_of(some, "(?U)")) & ~text.rlike(exempt)
         return listed | _size_at_least(text, "kg", 1) | _size_at_least(text, "lbs?", 2)
 
     return (F.coalesce(grams, F.lit(0)) < 1000) & ~F.exists(F.array(fix_entities(title)), rejected)
 
 
-def is_listed_product(name: Column, excluded: Sequence[str] = DEFAULT_EXCLUDED) -> Column:
+def is_listed_product(name: Column, excluded: Sequence[str] = goods.READER_EXCLUDED) -> Column:
     """Consumer-side rule on the lower-cased name: award lots pass at once."""
     def listed(text: Column) -> Column:
-        unlisted = ~matches_any(text, excluded, ascii_boundaries(any_of(excluded, "")))
+        unlisted = ~matches_any(text, excluded, lambda some: ascii_edges(any_of(some, "")))
         return unlisted | text.rlike(ascii_boundaries(AWARD_EXEMPT))
 
     return F.exists(F.array(F.lower(fix_entities(name))), listed)
@@ -143,7 +138,7 @@ def is_estate(title: Column, origin: Column) -> Column:
     return ~text.rlike(rules.ESTATE_LOOKALIKE) & (text.rlike(rules.ESTATE) | farm)
 
 
-def platform(html: Column, limit: int | None = 400_000) -> Column:
+def platform(html: Column, limit: int | None = None) -> Column:
     """Shop platform by the first sign that occurs in a landed home page."""
     def first_sign(body: Column) -> Column:
         chain = F

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,7 +34,15 @@ def could_match(low: Column, patterns: Sequence[str]) -> Column | None:
         return None
     # A word that contains another needed word adds nothing.
     kept = [w for w in dict.fromkeys(words) if not any(o != w and o in w for o in words)]
-    return reduce(lambda a, b: a | b, [low.contains(w) for w in kept])
+    return any_true([low.contains(w) for w in kept])
+
+
+def any_true(tests: Sequence[Column]) -> Column:
+    """The tests joined by or, as a tree of little depth."""
+    tests = list(tests) or [F.lit(False)]
+    while len(tests) > 1:
+        tests = [a | b for a, b in zip(tests[::2], tests[1::2])] + tests[len(tests) // 2 * 2:]
+    return tests[0]
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -47,10 +54,39 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def matches_any(low: Column, patterns: Sequence[str], compiled: str) -> Column:
-    """``low.rlike(compiled)`` for the alternation ``compiled`` of lower-case patterns."""
+def alternatives(pattern: str) -> list[str]:
+    """The alternatives of a pattern, split at its outermost bars."""
+    out, depth, start, i = [], 0, 0, 0
+    in_class = False
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            i += 1
+        elif in_class:
+            in_class = c != "]"
+        elif c == "[":
+            in_class = True
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == "|" and not depth:
+            out.append(pattern[start:i])
+            start = i + 1
+        i += 1
+    return [*out, pattern[start:]]
+
+
+def matches_any(low: Column, patterns: Sequence[str], compiled: Callable[[Sequence[str]], str]) -> Column:
+    """Whether lower-case text matches any of the patterns; ``compiled`` makes one expression of several.
+
+    Alternatives whose needed text is known run where one of their words occurs, the rest on every text.
+    """
+    single = [a for p in patterns for a in alternatives(p)]
+    known = [p for p in single if needed_text(p) is not None]
+    rest = [p for p in single if needed_text(p) is None]
+
     def test(text: Column) -> Column:
-        hint = could_match(text, patterns)
-        return text.rlike(compiled) if hint is None else hint & text.rlike(compiled)
+        parts = [could_match(text, known) & text.rlike(compiled(known))] if known else []
+        parts += [text.rlike(compiled(rest))] if rest else []
+        return any_true(parts)
 
     return F.exists(F.array(low), test)

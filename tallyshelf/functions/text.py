@@ -14,7 +14,6 @@ from tallyshelf.functions.prefilter import let
 
 _ENTITIES = [("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'")]
 _NOTE_TRIM = " .．、,:：-–—/|"
-DEEP_CHARS = 1200
 
 
 def _replace_all(text: Column, pairs: list[tuple[str, str]]) -> Column:
@@ -47,21 +46,23 @@ def strip_tags(text: Column, by: str = "") -> Column:
     return F.regexp_replace(text, r"<[^>]+>", by)
 
 
-def plain_excerpt(html: Column, limit: int = 90) -> Column:
-    """One line without markup, cut to ``limit`` characters."""
+def plain_excerpt(html: Column, limit: int | None = None) -> Column:
+    """One line without markup, cut to ``limit`` characters if given."""
     text = strip_tags(F.coalesce(html, F.lit("")), " ")
     text = _replace_all(text, _ENTITIES[:5])
-    return F.substring(strip(F.regexp_replace(text, r"(?U)\s+", " ")), 1, limit)
+    line = strip(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.substring(line, 1, limit) if limit else line
 
 
-def clean_note(text: Column) -> Column:
+def clean_note(text: Column, limit: int | None = None) -> Column:
     text = F.btrim(F.coalesce(text, F.lit("")), F.lit(_NOTE_TRIM))
     text = F.regexp_replace(text, r"(?iU)^(and|of)\s+", "")
-    return F.substring(F.regexp_replace(text, "[ \t　]+", " "), 1, 160)
+    text = F.regexp_replace(text, "[ \t　]+", " ")
+    return F.substring(text, 1, limit) if limit else text
 
 
-def notes_from_lines(lines: Column) -> Column:
-    """Tasting note in the lines of a description, empty if there is none.
+def notes_from_lines(lines: Column, limit: int | None = None) -> Column:
+    """Tasting note in the lines of a description, cut to ``limit`` characters if given, empty if there is none.
 
     A labelled line wins (a label alone takes the next line); otherwise the first line of 5 to 90
     characters naming two different flavour words.
@@ -70,12 +71,12 @@ def notes_from_lines(lines: Column) -> Column:
         def labelled(line: Column, i: Column) -> Column:
             def complete(value: Column) -> Column:
                 following = F.get(ls, i + 1)
-                return F.when((F.length(value) < 3) & following.isNotNull(), clean_note(following)).otherwise(value)
+                return F.when((F.length(value) < 3) & following.isNotNull(), clean_note(following, limit)).otherwise(value)
 
             def usable(value: Column) -> Column:
                 return F.when((F.length(value) >= 3) & value.rlike(rules.NOTE_WORDS), value)
 
-            value = let(clean_note(F.regexp_extract(line, rules.NOTE_LABEL, 1)), complete)
+            value = let(clean_note(F.regexp_extract(line, rules.NOTE_LABEL, 1), limit), complete)
             return F.when(line.rlike(rules.NOTE_LABEL), let(value, usable))
 
         def words(line: Column) -> Column:
@@ -83,14 +84,14 @@ def notes_from_lines(lines: Column) -> Column:
 
         by_label = F.get(F.filter(F.transform(ls, labelled), lambda v: v.isNotNull()), 0)
         short_line = F.get(F.filter(ls, lambda l: F.length(l).between(5, 90) & (F.size(words(l)) >= 2)), 0)
-        return F.coalesce(by_label, clean_note(short_line), F.lit(""))
+        return F.coalesce(by_label, clean_note(short_line, limit), F.lit(""))
 
     # A description without any flavour word cannot yield a note; skip the line work for it.
     return let(lines, lambda ls: F.when(F.exists(ls, lambda l: l.rlike(rules.NOTE_WORDS)), note(ls)).otherwise(""))
 
 
-def extract_notes(html: Column) -> Column:
-    return notes_from_lines(html_lines(html))
+def extract_notes(html: Column, limit: int | None = None) -> Column:
+    return notes_from_lines(html_lines(html), limit)
 
 
 def grams_from_text(text: Column) -> Column:
@@ -153,10 +154,10 @@ def has_letter(text: Column) -> Column:
 
 
 def unescape_html(text: Column) -> Column:
-    """Full HTML entity decoding; Spark has no built-in for the named entities."""
+    """Full HTML entity decoding. Only texts with an ampersand reach Python; Spark has no built-in for the named entities."""
     # Built here, so that the function travels to executors by value.
     @F.pandas_udf(StringType())
     def decode(values: pd.Series) -> pd.Series:
         return values.map(html_lib.unescape, na_action="ignore")
 
-    return decode(text)
+    return F.coalesce(decode(F.when(text.contains("&"), text)), text)

@@ -232,15 +232,23 @@ def apply_history(state: DataFrame, snapshots: DataFrame, ts: str = "ts", min_oo
 
 
 def recent_events(events: DataFrame, products: DataFrame, now: Column, days: float = 14,
-                  limit: int = 500) -> DataFrame:
-    """Newest events of the last ``days`` with the attributes of their product."""
-    fresh = events.filter(F.col("ts") > now - F.expr(f"make_dt_interval(0, 0, 0, {days * 86400})"))
-    return fresh.join(products, "key").orderBy(F.desc("ts"), "key").limit(limit)
+                  limit: int | None = None) -> DataFrame:
+    """Events of the last ``days`` with the attributes of their product, the newest ``limit`` if given.
+
+    Of a log with an ``event_date`` only the day folders since then are read.
+    """
+    since = now - F.expr(f"make_dt_interval(0, 0, 0, {days * 86400})")
+    fresh = events.filter(F.col("ts") > since)
+    if "event_date" in events.columns:
+        fresh = fresh.filter(F.col("event_date") >= F.to_date(since))
+    listed = fresh.join(products, "key")
+    return listed if limit is None else listed.orderBy(F.desc("ts"), "key").limit(limit)
 
 
 def fresh_events(events: DataFrame, since: Column) -> DataFrame:
     """Events of this run worth a message."""
-    return events.filter((F.col("ts") > since) & F.col("type").isin("new", "restock"))
+    fresh = events.filter((F.col("ts") > since) & F.col("type").isin("new", "restock"))
+    return fresh.filter(F.col("event_date") >= F.to_date(since)) if "event_date" in events.columns else fresh
 
 
 def event_counts(events: DataFrame, products: DataFrame) -> DataFrame:

@@ -105,12 +105,13 @@ def distinct_places(products: DataFrame) -> DataFrame:
     )
 
 
-def unresolved_cities(places: DataFrame, cities: DataFrame, limit: int = 80) -> DataFrame:
-    """Cities still to look up, at most ``limit`` per run; known-missing ones are not asked again."""
+def unresolved_cities(places: DataFrame, cities: DataFrame, limit: int | None = None) -> DataFrame:
+    """Cities still to look up, the first ``limit`` if given; known-missing ones are not asked again."""
     asked = places.filter(F.trim(F.coalesce("city", F.lit(""))) != "").select(
         geo.city_key(F.col("city"), F.col("country")).alias("city_key")
     ).distinct()
-    return asked.join(cities.select("city_key"), "city_key", "left_anti").orderBy("city_key").limit(limit)
+    left = asked.join(cities.select("city_key"), "city_key", "left_anti")
+    return left if limit is None else left.orderBy("city_key").limit(limit)
 
 
 def countries_as_cities(shops: DataFrame) -> DataFrame:

@@ -44,11 +44,12 @@ def merge_lww(current: DataFrame, incoming: DataFrame, key: Sequence[str], at: s
 
 
 def merge_insert_only(current: DataFrame, incoming: DataFrame, key: Sequence[str], order: Sequence[Column],
-                      group: Sequence[str] = ("user",), cap: int = 50) -> DataFrame:
-    """Current rows plus the incoming ones with a new key; the first ``cap`` by ``order`` per group."""
+                      group: Sequence[str] = ("user",), cap: int | None = None) -> DataFrame:
+    """Current rows plus the incoming ones with a new key; the first ``cap`` by ``order`` per group if given."""
     keys = list(key)
     fresh = incoming.join(current.select(*keys), keys, "left_anti")
-    return top_per_group(current.unionByName(fresh, allowMissingColumns=True), group, order, cap)
+    rows = current.unionByName(fresh, allowMissingColumns=True)
+    return rows if cap is None else top_per_group(rows, group, order, cap)
 
 
 def import_backup(current: DataFrame, backup: DataFrame, keys: Sequence[str] = ("user", "item_id")) -> DataFrame:

@@ -7,15 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyshelf.functions import classify, flavour, links, price, rules
+from tallyshelf.functions import classify, flavour, goods, links, price, rules
 from tallyshelf.functions.rounding import round_even
 from tallyshelf.functions.status import stock_status
 from tallyshelf.functions.text import has_letter
 from tallyshelf.operators import dims
 from tallyshelf.operators.pick import once
 
-MAX_LIVE, MAX_PAST = 60, 12
-
 
 def with_status(state: DataFrame, now: Column, archive_days: float = 14) -> DataFrame:
     """Add the stock status at ``now`` to a product state."""
@@ -24,13 +22,15 @@ def with_status(state: DataFrame, now: Column, archive_days: float = 14) -> Data
     )
 
 
-def curate(products: DataFrame, excluded: Sequence[str] = classify.DEFAULT_EXCLUDED,
-           order: Sequence[str] = ("key",), max_live: int = MAX_LIVE, max_past: int = MAX_PAST) -> DataFrame:
-    """Products fit to publish: goods only, one per title and shop, capped per shop."""
+def curate(products: DataFrame, excluded: Sequence[str] = goods.FEED_EXCLUDED,
+           order: Sequence[str] = ("key",), max_live: int | None = None, max_past: int | None = None) -> DataFrame:
+    """Products fit to publish: goods only, one per title and shop; with both limits, at most so many per shop."""
     live = (F.col("status") == "now") | F.col("available")
     goods = products.filter(classify.is_product(F.col("title"), F.col("grams"), excluded))
     place = [F.when(live, 0).otherwise(1), *[F.col(c) for c in order]]
     unique = dims.dedupe_by_title(goods, "shop", "title", place, "key")
+    if max_live is None or max_past is None:
+        return unique
     return dims.cap_per_group(unique, "shop", live, max_live, max_past, [F.col(c) for c in order])
 
 
@@ -77,7 +77,7 @@ def new_shops(products: DataFrame, seed: DataFrame, cities: DataFrame) -> DataFr
     return placed.withColumn("city", F.when(F.col("city") != "", F.col("city")).otherwise(F.col("country")))
 
 
-def shown_items(live: DataFrame, seed: DataFrame, excluded: Sequence[str] = classify.DEFAULT_EXCLUDED) -> DataFrame:
+def shown_items(live: DataFrame, seed: DataFrame, excluded: Sequence[str] = goods.READER_EXCLUDED) -> DataFrame:
     """What the reader sees: live rows that pass the consumer-side rules, laid over the seed rows."""
     listed = live.filter(
         classify.is_listed_product(F.col("name"), excluded) & ~classify.is_wholesale(F.col("name"), F.col("grams"))

@@ -24,12 +24,14 @@ def run(spark: SparkSession, products: DataFrame, now: Column, state_path: str,
 def report(spark: SparkSession, state: tables.VersionedTable, events_path: str, now: Column,
            export_path: str | None = None) -> dict[str, DataFrame]:
     products = with_status(state.read(), now)
-    events = tables.read_events(spark, events_path).dropDuplicates(["key", "type", "ts"])
-    recent = diff.recent_events(events, products.drop("first_seen", "last_seen", "last_status_change"), now)
+    events = tables.read_events(spark, events_path)
+    same = ["key", "type", "ts"]  # a run that failed half-way may have logged its events twice
+    shown = products.drop("first_seen", "last_seen", "last_status_change")
+    recent = diff.recent_events(events, shown, now).dropDuplicates(same)
     stats = catalogue.site_stats(products)
     if export_path:
         tables.export_site(products, recent, stats, export_path)
-    fresh = diff.fresh_events(recent, now - F.expr("interval 1 microsecond"))
+    fresh = diff.fresh_events(events, now - F.expr("interval 1 microsecond")).dropDuplicates(same).join(shown, "key")
     order = [-F.unix_micros("ts"), F.col("key")]
     return {
         "products": products, "events": recent, "stats": stats,

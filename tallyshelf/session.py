@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,6 +19,10 @@ SETTINGS = {
 }
 
 
+#: Tables written by ``settle`` in this session; see ``drop_settled``.
+_SETTLED: list[str] = []
+
+
 def build_session(app: str = "tallyshelf", master: str | None = None, **conf: str) -> SparkSession:
     """Session with the library's defaults; ``conf`` keys use ``__`` for dots."""
     builder = SparkSession.builder.appName(app)
@@ -42,7 +47,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return context.getCheckpointDir()
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="tallyshelf-checkpoint-")
     context.setCheckpointDir(folder)
@@ -58,14 +63,13 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _SETTLED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread an input that comes in fewer pieces than the cluster has cores.
-
-    Costly expressions on a table of few, small files would leave most cores idle. A large table
-    has more pieces than cores and is passed on as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+def drop_settled(spark: SparkSession) -> None:
+    """Delete the tables this session has settled, once their readers are done."""
+    conf = spark._jsc.hadoopConfiguration()
+    while _SETTLED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_SETTLED.pop())
+        path.getFileSystem(conf).delete(path, True)

@@ -9,7 +9,6 @@ from tallyshelf.functions.lookup import look_up
 from tallyshelf.functions.text import plain_excerpt, strip, unescape_html
 from tallyshelf.operators.pick import top_per_group
 
-MAX_ITEMS = 5
 MONTHS = {m: f"{i:02d}" for i, m in enumerate(
     ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"], 1)}
 
@@ -20,10 +19,11 @@ def _element(item: str, tag: str):
     return strip(F.when(inner.rlike(r"^\s*<!\[CDATA\["), plain).otherwise(unescape_html(inner)))
 
 
-def parse_rss(landed: DataFrame, limit: int = MAX_ITEMS) -> DataFrame:
-    """First articles per landed feed: (feed, place, title, url, date, excerpt, image).
+def parse_rss(landed: DataFrame, limit: int | None = None, excerpt: int | None = None) -> DataFrame:
+    """Articles per landed feed, the first ``limit`` if given: (feed, place, title, url, date, excerpt, image).
 
-    An article needs a title and a link. An unknown month counts as January.
+    An article needs a title and a link. An unknown month counts as January. Without a limit the place is
+    the one in the feed, with it the rank among usable articles.
     """
     rows = landed.select(
         "feed", F.posexplode(F.regexp_extract_all("body", F.lit(r"(?s)<item(?:\s[^>]*)?>(.*?)</item>"), 1)).alias("pos", "item")
@@ -38,9 +38,11 @@ def parse_rss(landed: DataFrame, limit: int = MAX_ITEMS) -> DataFrame:
         F.nullif(_element("item", "media:thumbnail"), F.lit("")),
         F.regexp_extract("item", r'<media:thumbnail[^>]*url="([^"]*)"', 1),
     )
-    rows = rows.withColumn("excerpt", plain_excerpt(_element("item", "description"))).withColumn("image", image)
+    rows = rows.withColumn("excerpt", plain_excerpt(_element("item", "description"), excerpt)).withColumn("image", image)
     # The place inside the feed is known, so the first ones are found without ordering the rest.
     usable = rows.filter((F.col("title") != "") & (F.col("url") != ""))
-    return top_per_group(usable, ["feed"], [F.col("pos")], limit, rank="place").select(
-        "feed", "place", "title", "url", "date", "excerpt", "image"
-    )
+    if limit is None:
+        placed = usable.withColumn("place", F.col("pos") + 1)
+    else:
+        placed = top_per_group(usable, ["feed"], [F.col("pos")], limit, rank="place")
+    return placed.select("feed", "place", "title", "url", "date", "excerpt", "image")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyshelf.sinks.tables import product_state
+
 # Fixed value: shape of a seed line.
 SEED_LINE = (
     r'^\s+([A-Za-z0-9_]+): \{ name: "([^"]+)", city: "([^"]*)", country: "([^"]*)"'
@@ -41,7 +44,14 @@ def city_cache(texts: DataFrame, column: str = "value") -> DataFrame:
 
 
 def read_city_cache(spark: SparkSession, path: str) -> DataFrame:
-    return city_cache(spark.read.text(path, wholetext=True))
+    """The cache of a file; a missing file is an empty cache."""
+    try:
+        texts = spark.read.text(path, wholetext=True)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        texts = spark.createDataFrame([], "value string")
+    return city_cache(texts)
 
 
 def rate_payloads(texts: DataFrame, column: str = "value") -> DataFrame:
@@ -62,5 +72,5 @@ def shop_list(rows: list[dict], spark: SparkSession) -> DataFrame:
 
 
 def read_state(spark: SparkSession, path: str) -> DataFrame:
-    """Whole product state, last seen first."""
-    return spark.read.parquet(path).orderBy(F.desc("last_seen"))
+    """Newest version of the whole product state, last seen first."""
+    return product_state(spark, path).read().orderBy(F.desc("last_seen"))

@@ -21,8 +21,7 @@ def _finish(rows: DataFrame) -> DataFrame:
 
     Needs text (short) and lines (of the description) besides the plain product columns.
     """
-    head = F.substring(F.array_join("lines", "\n"), 1, X.DEEP_CHARS)
-    deep = F.concat_ws(" ", "text", head)
+    deep = F.concat_ws(" ", "text", F.array_join("lines", "\n"))
     rows = rows.withColumn("origin", X.guess_with_fallback(X.guess_origin, F.col("text"), deep))
     rows = rows.withColumn("process", X.guess_with_fallback(X.guess_process, F.col("text"), deep))
     rows = rows.withColumn("notes", X.notes_from_lines(F.col("lines")))
@@ -92,7 +91,7 @@ def normalise_shop_json(landed: DataFrame) -> DataFrame:
         F.concat(F.col("base"), F.lit("/products/"), handle).alias("url"),
         F.coalesce(F.get("p.images", F.lit(0))["src"], F.lit("")).alias("image"), "price", "currency", "grams",
         per100(F.col("price"), F.col("grams")).alias("per100"), "available", "text",
-        F.substring("text", 1, 300).alias("tags"), X.html_lines(F.col("p.body_html")).alias("lines"), *place,
+        F.col("text").alias("tags"), X.html_lines(F.col("p.body_html")).alias("lines"), *place,
     ))
 
 
@@ -143,7 +142,7 @@ def normalise_atom(landed: DataFrame) -> DataFrame:
         F.coalesce(_first(F.col("e"), r'<s:price[^>]*currency="([^"]+)"'), "currency", F.lit("")).alias("currency"),
         "grams", per100(F.col("price"), F.col("grams")).alias("per100"), F.lit(True).alias("available"),
         F.concat_ws(" ", "title", X.strip_tags(F.col("e"), " ")).alias("text"),
-        F.substring("title", 1, 300).alias("tags"), X.html_lines(F.col("summary")).alias("lines"),
+        F.col("title").alias("tags"), X.html_lines(F.col("summary")).alias("lines"),
     ))
 
 
@@ -201,7 +200,7 @@ def normalise_product_pages(pages: DataFrame) -> DataFrame:
     return _finish(rows.select(
         F.concat_ws("::", "shop", last_part).alias("key"), "shop", "country", "title", "url", "image", "price",
         F.col("cur").alias("currency"), "grams", per100(F.col("price"), F.col("grams")).alias("per100"), "available",
-        F.col("title").alias("text"), F.substring("title", 1, 300).alias("tags"),
+        F.col("title").alias("text"), F.col("title").alias("tags"),
         X.html_lines(F.col("description")).alias("lines"),
     ))
 

@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyshelf.operators.pick import earliest_per_key, top_per_group
+from tallyshelf.session import settle
 
-# Where to look, what a product address looks like, and how much to read per shop.
+# Where to look, and what a product address looks like.
 ROOTS = ["/sitemap.xml", "/sitemap_index.xml", "/sitemap_products_1.xml"]
 PRODUCT_URL = r"(?i)/(?:products?|items?|goods|shop)/[^/?#]+/?$"
 SKIPPED_URL = r"(?i)/(cart|account|login|search|blogs?|pages?|policies|collections)/"
 FOLLOWED = r"(?i)product|item|shop|goods"
-MAX_PRODUCTS, MAX_SITEMAPS = 40, 12
 
 
 def resolve_url(base: Column, loc: Column) -> Column:
@@ -37,39 +37,45 @@ def _locations(documents: DataFrame) -> DataFrame:
     ).filter(F.col("loc").rlike("^https?://"))
 
 
-def product_urls(landed: DataFrame, shops: DataFrame, max_products: int = MAX_PRODUCTS,
-                 max_sitemaps: int = MAX_SITEMAPS, depth: int = 3) -> DataFrame:
-    """Product addresses per shop in order of discovery: (shop, url, place).
+def product_urls(landed: DataFrame, shops: DataFrame, max_products: int | None = None,
+                 max_sitemaps: int | None = None, depth: int | None = None) -> DataFrame:
+    """Product addresses per shop: (shop, url, place); ``place`` sorts in order of discovery after its size.
 
     ``landed`` has shop, url, body; ``shops`` has shop and base address. Starting from the usual
-    places, sitemaps are followed ``depth`` levels down by joining their addresses to the landed
-    documents. Each level is one equi-join on (shop, address).
+    places, sitemaps are followed, until none is new or ``depth`` levels down, by joining their addresses
+    to the landed documents. Each level is one equi-join on (shop, address); addresses asked for before
+    are not followed again. ``max_products`` and ``max_sitemaps`` bound a shop, by default nothing does.
     """
     roots = F.array(*[
         F.struct(F.concat(F.regexp_replace("base", "/+$", ""), F.lit(r)).alias("url"), F.array(F.lit(i)).alias("path"))
         for i, r in enumerate(ROOTS)
     ])
-    asked = shops.select("shop", F.inline(roots))
-    every_asked, every_found = None, None
-    for _ in range(depth):
-        opened = asked.join(landed.select("shop", "url", "body"), ["shop", "url"])
-        found = _locations(opened)
-        every_asked = asked if every_asked is None else every_asked.unionByName(asked)
+    asked = settle(shops.select("shop", F.inline(roots)))
+    documents = landed.select("shop", "url", "body")
+    every_asked, every_found, level = asked, None, 0
+    while True:
+        found = settle(_locations(asked.join(documents, ["shop", "url"])))
         every_found = found if every_found is None else every_found.unionByName(found)
-        asked = found.filter(F.col("loc").endswith(".xml") & F.col("loc").rlike(FOLLOWED)).select(
-            "shop", F.col("loc").alias("url"), "path"
-        )
+        level += 1
+        if level == depth:
+            break
+        maps = found.filter(F.col("loc").endswith(".xml") & F.col("loc").rlike(FOLLOWED)).select("shop", F.col("loc").alias("url"), "path")
+        asked = settle(earliest_per_key(maps, ["shop", "url"], [F.size("path"), F.col("path")]).join(
+            every_asked.select("shop", "url"), ["shop", "url"], "left_anti"))
+        if asked.isEmpty():
+            break
+        every_asked = every_asked.unionByName(asked)
     place = [F.size("path"), F.col("path")]
-    # Only the first few sitemaps of a shop are opened; what the others list does not count.
-    allowed = top_per_group(
-        earliest_per_key(every_asked, ["shop", "url"], place), ["shop"], [F.size("path"), F.col("path")], max_sitemaps
-    ).select("shop", F.col("path").alias("parent"))
-    found = every_found.withColumn("parent", F.slice("path", F.lit(1), F.size("path") - 1))
-    found = found.join(allowed, ["shop", "parent"], "left_semi").drop("parent")
+    found = every_found
+    if max_sitemaps is not None:  # what the later sitemaps of a shop list does not count
+        allowed = top_per_group(earliest_per_key(every_asked, ["shop", "url"], place), ["shop"], place, max_sitemaps)
+        found = found.withColumn("parent", F.slice("path", F.lit(1), F.size("path") - 1)).join(
+            allowed.select("shop", F.col("path").alias("parent")), ["shop", "parent"], "left_semi").drop("parent")
     wanted = found.filter(
         ~F.col("loc").endswith(".xml") & F.col("loc").rlike(PRODUCT_URL) & ~F.col("loc").rlike(SKIPPED_URL)
     )
     distinct = earliest_per_key(wanted, ["shop", "loc"], place)
-    return top_per_group(distinct, ["shop"], [F.size("path"), F.col("path")], max_products, rank="place").select(
-        "shop", F.col("loc").alias("url"), "place"
-    )
+    if max_products is not None:
+        distinct = top_per_group(distinct, ["shop"], place, max_products)
+    # The order of discovery is the path itself, so no shop's addresses are numbered in one task.
+    return distinct.select("shop", F.col("loc").alias("url"), F.col("path").alias("place"))

@@ -25,7 +25,7 @@ from workload.tracking import SQL_EVENTS
 
 def _goods(spark, sf):
     """Parts with the texts a shop would write about them."""
-    p, key = session.spread(S.table(spark, sf, "part")), F.col("p_partkey")
+    p, key = S.dealt(S.table(spark, sf, "part")), F.col("p_partkey")
     return p.select(
         key.alias("k"), F.col("p_brand").alias("shop"), F.pmod(key, F.lit(40)).alias("page"),
         F.concat_ws(" ", "p_name", S.choose(["Kenya", "", "Peru"], key), S.choose(["Washed", "", "Honey 250g", "1kg"], key)).alias("title"),
@@ -134,7 +134,7 @@ def page_feed(spark, sf):
 
 @query("""WITH d AS (SELECT p_brand AS shop, p_partkey AS k, p_partkey % 8 AS m, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS pos FROM part),
   u AS (SELECT shop, CASE WHEN m = 1 THEN 'https://x.example/items/i' ELSE 'https://x.example/products/i' END || k AS url, pos FROM d WHERE m NOT IN (2, 3, 4))
-  SELECT shop, url, row_number() OVER (PARTITION BY shop ORDER BY pos) AS place FROM u QUALIFY place <= 40""")
+  SELECT shop, url, pos AS place FROM u""")
 def sitemap_urls(spark, sf):
     key = F.col("p_partkey")
     loc = (F.when(key % 8 == 1, F.concat(F.lit("https://x.example/items/i"), key)).when(key % 8 == 2, F.concat(F.lit("https://x.example/pages/i"), key))
@@ -147,21 +147,26 @@ def sitemap_urls(spark, sf):
         "<loc>https://x.example/sm/pages_1.xml</loc><loc> /sm/products_1.xml </loc>").alias("body"))
     landed = index.unionByName(product_map.select("shop", "url", "body"))
     shops = index.select("shop", F.lit("https://x.example/").alias("base"))
-    return sitemaps.product_urls(landed, shops).select("shop", "url", F.col("place").cast("bigint").alias("place"))
+    return sitemaps.product_urls(landed, shops).select("shop", "url", F.element_at("place", -1).cast("bigint").alias("place"))
 
 
-@query("""SELECT lang AS feed, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS place, 'Doc ' || doc_id || ' <1>' AS title, 'https://x.example/' || doc_id AS url,
-  '2026-' || CASE WHEN doc_id % 2 = 0 THEN '08' ELSE '01' END || '-0' || (1 + doc_id % 9) AS date, left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 90) AS excerpt
-  FROM documents WHERE doc_id % 3 <> 0 AND NOT regexp_matches(text, '[<>&]') QUALIFY place <= 5""")
+@query("""SELECT lang || doc_id // 20 AS feed, row_number() OVER (PARTITION BY lang, doc_id // 20 ORDER BY doc_id) AS place, 'Doc ' || doc_id || ' <1>' AS title, 'https://x.example/' || doc_id AS url,
+  '2026-' || CASE WHEN doc_id % 2 = 0 THEN '08' ELSE '01' END || '-0' || (1 + doc_id % 9) AS date,
+  left(trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(replace(text, ']]>', ']] >'), '<[^>]+>', ' ', 'g'),
+    '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '\\s+', ' ', 'g')), 90) AS excerpt
+  FROM documents WHERE doc_id % 3 <> 0 QUALIFY place <= 5""")
 def rss_articles(spark, sf):
-    d, key = S.table(spark, sf, "documents").filter(~F.col("text").rlike("[<>&]")), F.col("doc_id")
+    """Feeds of twenty documents at most: their number grows with the table, their size does not."""
+    d, key = S.table(spark, sf, "documents"), F.col("doc_id")
     month = F.when(key % 2 == 0, "Aug").otherwise("Xxx")
     link = F.when(key % 3 == 0, "").otherwise(F.concat(F.lit("<link>https://x.example/"), key, F.lit("</link>")))
     item = F.concat(F.lit("<item><title>Doc "), key, F.lit(" &lt;1&gt;</title>"), link, F.lit("<pubDate>Sat, 0"), 1 + key % 9, F.lit(" "), month,
-                    F.lit(" 2026 09:00:00 +0900</pubDate><description><![CDATA[<p>"), "text", F.lit("</p>]]></description></item>"))
-    packed = d.groupBy(F.col("lang").alias("feed")).agg(F.array_sort(F.collect_list(F.struct(key, item.alias("item")))).alias("e"))
+                    F.lit(" 2026 09:00:00 +0900</pubDate><description><![CDATA[<p>"), F.replace("text", F.lit("]]>"), F.lit("]] >")),
+                    F.lit("</p>]]></description></item>"))
+    feed = F.concat("lang", F.floor(key / 20).cast("string"))
+    packed = d.groupBy(feed.alias("feed")).agg(F.array_sort(F.collect_list(F.struct(key, item.alias("item")))).alias("e"))
     landed = packed.select("feed", F.concat(F.lit("<rss>"), F.array_join(F.transform("e", lambda e: e["item"]), ""), F.lit("</rss>")).alias("body"))
-    rows = articles.parse_rss(landed)
+    rows = articles.parse_rss(landed, 5, 90)
     return rows.select("feed", F.col("place").cast("bigint").alias("place"), "title", "url", "date", "excerpt")
 
 
@@ -200,21 +205,21 @@ SQL_PLAIN = r"""trim(regexp_replace(regexp_replace(regexp_replace(replace(replac
 
 @query(f"SELECT page_id, {SQL_PLAIN} AS text FROM pages")
 def page_text(spark, sf):
-    return session.spread(S.table(spark, sf, "pages")).select("page_id", X.html_to_text(F.col("html")).alias("text"))
+    return S.dealt(S.table(spark, sf, "pages")).select("page_id", X.html_to_text(F.col("html")).alias("text"))
 
 
 @query(f"""WITH l AS (SELECT page_id, unnest(string_split({SQL_PLAIN}, chr(10))) AS line, generate_subscripts(string_split({SQL_PLAIN}, chr(10)), 1) AS i FROM pages),
   s AS (SELECT *, len(list_distinct(regexp_extract_all(lower(line), 'berr|cassis|cherry|plum|straw|blueberr|raspberr|currant|acerola|hibiscus|citrus|lemon|lime|orange|grapefruit|mandarin|bergamot|yuzu|floral|jasmine|rose|tea\\b|lavender|chamomile|blossom|tropical|pineapple|mango|lychee|passion|guava|melon|peach|apricot|papaya|chocolate|cocoa|cacao|nut|almond|hazelnut|caramel|toffee|brown\\s*sugar|honey|vanilla|malt|molasses|syrup|apple|pear|grape|fig|date|raisin|tamarind|rhubarb|lemongrass|nougat|cane|spice|cinnamon'))) AS words FROM l)
   SELECT p.page_id, coalesce((SELECT arg_min(trim(line, ' .．、,:：-–—/|'), i) FROM s WHERE s.page_id = p.page_id AND words >= 2 AND length(line) BETWEEN 5 AND 90), '') AS notes FROM pages p""")
 def page_notes(spark, sf):
-    return session.spread(S.table(spark, sf, "pages")).select("page_id", X.extract_notes(F.col("html")).alias("notes"))
+    return S.dealt(S.table(spark, sf, "pages")).select("page_id", X.extract_notes(F.col("html"), 160).alias("notes"))
 
 
 @query("""SELECT page_id, CASE WHEN regexp_matches(html || url, '(?i)cdn\\.shopify\\.com') THEN 'Shopify' WHEN regexp_matches(html || url, '(?i)wix\\.com') THEN 'Wix'
   WHEN regexp_matches(html || url, '(?i)wp-content|wp-json') THEN 'WordPress' WHEN page_id % 4 = 0 THEN 'WooCommerce' ELSE 'unknown' END AS platform,
   len(regexp_extract_all(html, '(?i)href="/[^"/]+"')) AS links FROM pages""")
 def page_platforms(spark, sf):
-    pages = session.spread(S.table(spark, sf, "pages"))
+    pages = S.dealt(S.table(spark, sf, "pages"))
     marked = F.concat("html", "url", F.when(F.col("page_id") % 4 == 0, " <link href='/WooCommerce.css'>").otherwise(""))
     links = F.size(F.regexp_extract_all("html", F.lit('(?i)href="/[^"/]+"'), 0)).cast("bigint")
     return pages.select("page_id", classify.platform(marked, limit=None).alias("platform"), links.alias("links"))
@@ -234,23 +239,24 @@ def platform_tally(spark, sf):
     return dims.platform_tally(shops)
 
 
-@query("""SELECT doc_id, len(list_distinct(regexp_extract_all(lower(text), 'red\\s*fruit|berr|cassis|currant|cherry|plum|acerola|hibiscus|rhubarb|raisin|fig\\b|date\\b|pomegranate'))) AS berry,
-  len(list_distinct(regexp_extract_all(lower(text), 'floral|jasmine|rose\\b|blossom|tea\\b|bergamot|earl\\s*grey|lavender|chamomile|violet|lemongrass|herbal|citronella'))) AS floral,
-  len(list_distinct(regexp_extract_all(lower(text), 'chocolate|cocoa|cacao|nut|almond|hazelnut|walnut|caramel|toffee|brown\\s*sugar|molasses|honey|vanilla|malt|spice|cinnamon|nougat|cane\\s*sugar|praline|fudge'))) AS choco
-  FROM documents WHERE lang = 'en' AND regexp_matches(text, '^[\\x00-\\x7F]*$')""")
+@query(r"""SELECT doc_id, len(list_distinct(regexp_extract_all(lower(text), 'ベリー|苺|いちご|ストロベリー|ラズベリー|ブルーベリー|カシス|クランベリー|赤い果実|レッドフルーツ|プラム|チェリー|さくらんぼ|アセロラ|ハイビスカス|レーズン|干しぶどう|イチジク|red\s*fruit|berr|cassis|currant|cherry|plum|acerola|hibiscus|rhubarb|raisin|fig\b|date\b|pomegranate'))) AS berry,
+  len(list_distinct(regexp_extract_all(lower(text), 'トロピカル|パイナップル|マンゴー|ライチ|パッション|パパイヤ|グァバ|グアバ|メロン|マスカット|白ぶどう|ピーチ|白桃|杏|アプリコット|スターフルーツ|バナナ|tropical|pineapple|mango|lychee|passion|guava|papaya|melon|muscat|peach|apricot|starfruit|banana|nectarine'))) AS tropical,
+  len(list_distinct(regexp_extract_all(lower(text), 'フローラル|花|ジャスミン|ローズ|薔薇|バラ|紅茶|ティー|ベルガモット|アールグレイ|オレンジフラワー|カモミール|ラベンダー|すみれ|バイオレット|レモングラス|ハーブ|floral|jasmine|rose\b|blossom|tea\b|bergamot|earl\s*grey|lavender|chamomile|violet|lemongrass|herbal|citronella'))) AS floral,
+  len(list_distinct(regexp_extract_all(lower(text), '柑橘|シトラス|レモン|ライム|オレンジ|グレープフルーツ|マンダリン|みかん|ゆず|すだち|グレフル|青りんご|青リンゴ|リンゴ酸|citrus|lemon|lime|orange|grapefruit|mandarin|yuzu|clementine|tangerine|green\s*apple|crisp'))) AS citrus,
+  len(list_distinct(regexp_extract_all(lower(text), 'チョコ|カカオ|ココア|ナッツ|アーモンド|ヘーゼル|クルミ|キャラメル|ブラウンシュガー|黒糖|きび砂糖|蜂蜜|はちみつ|バニラ|モルト|麦芽|スパイス|シナモン|クローブ|香ばし|ロースト|トフィー|糖蜜|ヌガー|chocolate|cocoa|cacao|nut|almond|hazelnut|walnut|caramel|toffee|brown\s*sugar|molasses|honey|vanilla|malt|spice|cinnamon|nougat|cane\s*sugar|praline|fudge'))) AS choco
+  FROM documents""")
 def word_families(spark, sf):
     from tallyshelf.functions import flavour
 
-    docs = session.spread(S.table(spark, sf, "documents")).filter((F.col("lang") == "en") & F.col("text").rlike(r"^[\x00-\x7F]*$"))
-    scores = docs.select("doc_id", flavour.score_struct(F.lower("text")).alias("s"))
-    return scores.select("doc_id", *[F.col(f"s.{f}").cast("bigint").alias(f) for f in ("berry", "floral", "choco")])
+    scores = S.dealt(S.table(spark, sf, "documents")).select("doc_id", flavour.score_struct(F.lower("text")).alias("s"))
+    return scores.select("doc_id", *[F.col(f"s.{f}").cast("bigint").alias(f) for f in ("berry", "tropical", "floral", "citrus", "choco")])
 
 
-@query("""SELECT turn_key, c AS excerpt FROM (SELECT conv_id * 1000 + turn AS turn_key, left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 90) AS c, text FROM conversations)
-  WHERE NOT regexp_matches(text, '[<>&]')""")
+@query("""SELECT turn_key, c AS excerpt FROM (SELECT conv_id * 1000 + turn AS turn_key, left(trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(text, '<[^>]+>', ' ', 'g'),
+  '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '\\s+', ' ', 'g')), 90) AS c FROM conversations)""")
 def excerpts(spark, sf):
-    rows = S.table(spark, sf, "conversations").filter(~F.col("text").rlike("[<>&]"))
-    return rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_key"), X.plain_excerpt(F.col("text")).alias("excerpt"))
+    rows = S.table(spark, sf, "conversations")
+    return rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_key"), X.plain_excerpt(F.col("text"), 90).alias("excerpt"))
 
 
 # --- streams -----------------------------------------------------------------------------------------

@@ -260,7 +260,7 @@ def lww_merge(spark, sf):
 def history_cap(spark, sf):
     log = S.ratings(spark, sf).select("user", "event_id", "at")
     current, incoming = log.filter(F.col("event_id") % 2 == 0), log.filter(F.col("event_id") % 3 == 0)
-    return userlog.merge_insert_only(current, incoming, ["user", "event_id"], [F.desc("at"), F.asc("event_id")])
+    return userlog.merge_insert_only(current, incoming, ["user", "event_id"], [F.desc("at"), F.asc("event_id")], cap=50)
 
 
 @query(with_(SQL_LOG, body="""SELECT "user", item_id, arg_max(rating, "at") AS rating, max("at") AS "at" FROM log GROUP BY 1, 2"""))

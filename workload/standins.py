@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from tallyshelf.functions import classify, geo
 from tallyshelf.functions.price import pack_grams
-from tallyshelf.session import spread
 
 COUNTRIES = ["JP", "NO", "US", "GB", "AU", "DE", "KR", "TW", "CA", "SE", "FR", "IT", "NL", "DK", "ID", "TH", "IN",
              "BR", "CO", "MX", "AE", "ZA", "NZ", "FI", "CH"]
@@ -34,6 +33,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """A given table dealt over all cores: its file is one row group, which one task would read and work on alone."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def choose(values: list, index: Column) -> Column:
     """Entry of a short fixed list by an index expression, taken modulo its length."""
     return F.get(F.array(*[F.lit(v) for v in values]), F.pmod(index, F.lit(len(values))).cast("int"))
@@ -55,7 +59,7 @@ def shops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = spread(table(spark, sf_dir, "lineitem").select(
+    line = dealt(table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", "l_linestatus",
         "l_shipdate"))
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")

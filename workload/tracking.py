@@ -111,7 +111,7 @@ def continued_events(spark, sf):
 
 @query(with_(SQL_EVENTS, body="""SELECT d.key, d.type, d.ts, d.oos_hours, c.c_name AS title, c.c_mktsegment AS shop
   FROM diff d JOIN customer c ON d.key = c.c_custkey WHERE d.ts > TIMESTAMP '2024-01-31' - INTERVAL 14 DAY
-  ORDER BY d.ts DESC, d.key LIMIT 500"""))
+"""))
 def recent_events(spark, sf):
     products = S.table(spark, sf, "customer").select(
         F.col("c_custkey").alias("key"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("shop"))
