@@ -27,7 +27,7 @@ from tallyshelf.llm.common import column, fresh, join_small
 from tallyshelf.llm.components import components
 from tallyshelf.session import settle
 
-ORDERS, DEPTH, WINDOW, CROWDED = 16, 6, 16, 3
+ORDERS, DEPTH, WINDOW, CROWDED = 16, 6, 8, 3
 #: Nodes per block when pairs are confirmed, and the size from which a crowded region is cut at full depth.
 BLOCK, LARGE_REGION = 256, 4096
 #: Of ORDERS * DEPTH signature values a pair agrees in at least this share to be confirmed: 5.5 standard
