@@ -32,6 +32,7 @@ _LOG_PRICE = 170.0  # 8 * log2 of any price below 2**21
 _TOP_LEVELS = 2  # levels with so few cells that many items meet in one
 _SHARES = 16
 _EPS = 1e-9
+_ANY_PRICE = -2  # layer of the samples of all prices; -1 is that of unpriced candidates
 
 
 def item_distance(a: str, b: str) -> Column:
@@ -167,11 +168,16 @@ def nearest_item(items: DataFrame, candidates: DataFrame, *, same_origin: bool,
     for level, summary in enumerate(cells):
         part = _spread_cells(summary.select(*group, "cx", "cy", "cz", "sample_min", "sample_max"), level)
         part = part.withColumn("_level", F.lit(level))
+        # To an unpriced item no price is far: it looks for samples of every price in its x, y cell.
+        every = part.groupBy(*group, "cx", "cy", "_share", "_level").agg(
+            F.min("sample_min").alias("sample_min"), F.max("sample_max").alias("sample_max"))
+        part = part.unionByName(every.withColumn("cz", F.lit(_ANY_PRICE)))
         samples = part if samples is None else samples.unionByName(part)
     own = F.array(*[
         F.struct(
             F.lit(level).alias("_level"), _share_of("q.id", level).alias("_share"),
-            *[F.floor(F.col(c) / _PARTS ** (levels - level)).cast("int").alias(c) for c in ("cx", "cy", "cz")],
+            *[F.floor(F.col(c) / _PARTS ** (levels - level)).cast("int").alias(c) for c in ("cx", "cy")],
+            F.when(F.col("cz") < 0, _ANY_PRICE).otherwise(F.floor(F.col("cz") / _PARTS ** (levels - level)).cast("int")).alias("cz"),
         ) for level in range(levels + 1)
     ])
     met = queries.select("q", *origin_key(), F.inline(own)).join(
@@ -190,7 +196,7 @@ def nearest_item(items: DataFrame, candidates: DataFrame, *, same_origin: bool,
 
     # Step 2: open cells level by level.
     for level in range(1, levels + 1):
-        children = cells[level].drop("sample_min", "sample_max")
+        children = cells[level]
         children = children.select(
             *children.columns, *[F.floor(F.col(c) / _PARTS).cast("int").alias(f"p{c}") for c in ("cx", "cy", "cz")]
         )
@@ -200,6 +206,10 @@ def nearest_item(items: DataFrame, candidates: DataFrame, *, same_origin: bool,
         parents = parents.withColumn("_share", _share_of("q.id", level))
         opened = parents.join(_spread_cells(children, level), [*group, *family, "pcx", "pcy", "pcz", "_share"])
         kept = opened.filter((_least_distance() <= F.col("bound") + _EPS) & cell_fits())
+        # The samples of the opened cells lower the bound before the next level.
+        near = F.least(*[F.when(fits(s), item_distance("q", s)) for s in ("sample_min", "sample_max")])
+        kept = kept.withColumn("bound", F.least("bound", F.min(near).over(Window.partitionBy("q.id"))))
+        kept = kept.filter(_least_distance() <= F.col("bound") + _EPS)
         frontier = kept.select("q", "bound", *group, "cell_family", "cx", "cy", "cz")
 
     # Step 3: the candidates of the cells that are left.

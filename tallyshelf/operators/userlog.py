@@ -52,6 +52,11 @@ def merge_insert_only(current: DataFrame, incoming: DataFrame, key: Sequence[str
     return rows if cap is None else top_per_group(rows, group, order, cap)
 
 
+def import_history(current: DataFrame, backup: DataFrame, cap: int | None = None) -> DataFrame:
+    """History lists after reading a backup: entries with a new time are added, the newest ``cap`` kept if given."""
+    return merge_insert_only(current, backup, ["user", "at"], [F.desc("at")], cap=cap)
+
+
 def import_backup(current: DataFrame, backup: DataFrame, keys: Sequence[str] = ("user", "item_id")) -> DataFrame:
     """Log after reading a backup: rows are added or refreshed, never removed."""
     return merge_lww(current, backup, keys)

@@ -6,6 +6,7 @@ the finished versions. A write that dies half-way leaves a folder no one reads.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,12 +27,18 @@ class VersionedTable:
     def version(self) -> int | None:
         """Newest finished version, None for a table that was never written."""
         try:
-            found = self.spark.read.schema("version BIGINT").parquet(self._manifest).agg(F.max("version")).first()[0]
-        except Exception as error:  # an unwritten manifest is the normal first run
+            return self._written().agg(F.max("version")).first()[0]
+        except AnalysisException as error:  # an unwritten manifest is the normal first run
             if "PATH_NOT_FOUND" not in str(error):
                 raise
             return None
-        return found
+
+    def _written(self) -> DataFrame:
+        return self.spark.read.schema("version BIGINT, batch STRING").parquet(self._manifest)
+
+    def applied(self, batch: str) -> bool:
+        """Whether a version was finished for this batch id."""
+        return self.version() is not None and not self._written().filter(F.col("batch") == batch).isEmpty()
 
     def read(self) -> DataFrame:
         version = self.version()
@@ -39,25 +46,54 @@ class VersionedTable:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.option("mergeSchema", True).parquet(f"{self.path}/v={version}")
 
-    def write(self, df: DataFrame) -> int:
+    def write(self, df: DataFrame, batch: str | None = None) -> int:
+        """Write a new version, for a batch at most one: a batch that is tried again changes nothing."""
+        if batch is not None and self.applied(batch):
+            return self.version()
         version = (self.version() or 0) + 1
         df.write.mode("overwrite").parquet(f"{self.path}/v={version}")
-        done = self.spark.createDataFrame([(version,)], "version BIGINT").coalesce(1)
+        done = self.spark.createDataFrame([(version, batch)], "version BIGINT, batch STRING").coalesce(1)
         done.write.mode("append").parquet(self._manifest)
         return version
 
 
-def append_events(events: DataFrame, path: str) -> None:
+class BatchLog:
+    """Append-only table with one folder per batch id; a batch that is written again replaces its own rows."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str):
+        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+
+    def read(self, before: int | None = None) -> DataFrame:
+        """All rows, or those of batches before one."""
+        try:
+            rows = self.spark.read.schema(f"{self.schema}, batch BIGINT").parquet(self.path)
+        except AnalysisException as error:
+            if "PATH_NOT_FOUND" not in str(error):
+                raise
+            rows = self.spark.createDataFrame([], f"{self.schema}, batch BIGINT")
+        return (rows if before is None else rows.filter(F.col("batch") < before)).drop("batch")
+
+    def write(self, df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+
+
+def append_events(events: DataFrame, path: str, batch: int | None = None) -> None:
     """Append to the event log, one folder per day so that time filters skip files.
 
     Rows are dealt by day first, so a write makes few files per day; Spark splits a day that is large.
+    With a batch id a day has one folder per batch, and a batch that is tried again replaces its own.
     """
     dated = events.withColumn("event_date", F.to_date("ts")).hint("rebalance", "event_date")
+    if batch is not None:
+        dated.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            "event_date", "batch").parquet(path)
+        return
     dated.write.mode("append").partitionBy("event_date").parquet(path)
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("key STRING, type STRING, ts TIMESTAMP, oos_hours DOUBLE, event_date DATE").parquet(path)
+    fields = ["key", "type", "ts", "oos_hours", "event_date"]
+    return spark.read.schema("key STRING, type STRING, ts TIMESTAMP, oos_hours DOUBLE, event_date DATE").parquet(path).select(*fields)
 
 
 def take_snapshot(state: VersionedTable, events_path: str, snapshot: DataFrame, now, min_oos_hours: float = 12) -> int:

@@ -43,12 +43,12 @@ def _pick_variant(variants: Column) -> tuple[Column, Column]:
     return F.coalesce(F.get(available, 0), F.get(variants, 0)), F.size(available) > 0
 
 
-def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """Products of a folder of snapshot files, each a shop header with its products.
+def read_snapshot(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Products of a folder of snapshot files, each a shop header with its products, or one such per line.
 
     The plain form: sizes come from the variant only, and a known size alone gives a unit price.
     """
-    feed = spark.read.schema(schemas.SHOP_FEED).option("multiLine", True).json(path)
+    feed = spark.read.schema(schemas.SHOP_FEED).option("multiLine", not lines).json(path)
     rows = feed.select(F.col("_roaster").alias("r"), F.explode("products").alias("p"))
     variant, available = _pick_variant(F.col("p.variants"))
     rows = rows.withColumn("v", variant).withColumn("available", available)
@@ -205,6 +205,11 @@ def normalise_product_pages(pages: DataFrame) -> DataFrame:
     ))
 
 
+def failed_shops(asked: DataFrame, products: DataFrame) -> DataFrame:
+    """Shops that were asked for but gave no product row."""
+    return asked.select("shop").distinct().join(products.select("shop").distinct(), "shop", "left_anti")
+
+
 def union_feeds(*feeds: DataFrame) -> DataFrame:
     """All feeds as one bag of product rows."""
     union = feeds[0]

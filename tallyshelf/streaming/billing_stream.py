@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyshelf.operators.billing import fold_entitlements, once_per_event
-from tallyshelf.sinks.tables import VersionedTable
+from tallyshelf.sinks.tables import BatchLog, VersionedTable
 
 
 def deduplicated(events: DataFrame, delay: str = "7 days") -> DataFrame:
@@ -14,20 +14,23 @@ def deduplicated(events: DataFrame, delay: str = "7 days") -> DataFrame:
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def maintain_entitlements(events: DataFrame, log: VersionedTable, table: VersionedTable, checkpoint: str, *,
+def maintain_entitlements(events: DataFrame, log: BatchLog, table: VersionedTable, checkpoint: str, *,
                           plans_by_price: dict[str, str] | None = None, trigger: dict | None = None):
     """Keep the entitlement table up to date: per batch, refold the users the batch touches.
 
-    The log keeps every event once. Only the log rows of users and customers of the batch are
-    folded again; all other entitlements are carried over.
+    The log is only appended to, one folder per batch, and keeps every event once. Only the log rows of
+    users and customers of the batch are folded again; all other entitlements are carried over. A batch
+    that is tried again replaces its own log rows, and its entitlements only if they were not finished.
     """
-    def apply(batch: DataFrame, _: int) -> None:
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        if table.applied(str(batch_id)):
+            return
         batch.persist()
         try:
-            known = log.read()
+            known = log.read(before=batch_id)
             fresh = once_per_event(batch).join(known.select("event_id"), "event_id", "left_anti")
-            log.write(known.unionByName(fresh))
-            everything = log.read()
+            log.write(fresh, batch_id)
+            everything = log.read(before=batch_id + 1)
             customers = batch.select("customer_id").filter(F.col("customer_id").isNotNull()).distinct()
             named = batch.select("user_id").filter(F.col("user_id").isNotNull()).distinct()
             owners = everything.join(customers, "customer_id", "left_semi").select("user_id").distinct()
@@ -38,7 +41,7 @@ def maintain_entitlements(events: DataFrame, log: VersionedTable, table: Version
             )
             refolded = fold_entitlements(related, plans_by_price)
             kept = table.read().join(users, "user_id", "left_anti")
-            table.write(kept.unionByName(refolded, allowMissingColumns=True))
+            table.write(kept.unionByName(refolded, allowMissingColumns=True), str(batch_id))
         finally:
             batch.unpersist()
 

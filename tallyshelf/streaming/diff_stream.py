@@ -80,12 +80,14 @@ def track(snapshots: DataFrame, state: VersionedTable, events_path: str, checkpo
     A batch may hold any number of snapshots and is applied in one pass. A key that dominates a
     batch is spread over time slices, which the per-key state of ``snapshot_diff_stream`` cannot do.
     """
-    def apply(batch: DataFrame, _: int) -> None:
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        if state.applied(str(batch_id)):
+            return
         batch.persist()
         try:
             new_state, events = apply_history(state.read(), batch, ts, min_oos_hours, order)
-            append_events(events, events_path)
-            state.write(new_state)
+            append_events(events, events_path, batch_id)
+            state.write(new_state, str(batch_id))
         finally:
             batch.unpersist()
 

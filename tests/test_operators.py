@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyshelf.operators import billing, digest, neighbours, pick, preference, userlog
 from tallyshelf.operators.pick import order_stats, upper_median
-from tallyshelf.sinks.tables import VersionedTable
+from tallyshelf.sinks.tables import BatchLog, VersionedTable
 from tallyshelf.streaming import alerts, billing_stream
 
 
@@ -163,12 +163,17 @@ def test_entitlement_stream_equals_batch(spark, tmp_path):
     for i, part in enumerate((rows[:3], rows[3:5], rows[5:])):
         spark.createDataFrame(part, BILLING).coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"p={i}"))
     source = spark.readStream.schema(BILLING + ", p int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).drop("p")
-    log = VersionedTable(spark, str(tmp_path / "log"), BILLING)
+    log = BatchLog(spark, str(tmp_path / "log"), BILLING)
     fields = "user_id string, plan string, status string, current_period_end timestamp, customer_id string, subscription_id string, updated_at timestamp"
     table = VersionedTable(spark, str(tmp_path / "ent"), fields)
     billing_stream.maintain_entitlements(source, log, table, str(tmp_path / "cp")).awaitTermination()
     check_entitlements(table.read().collect())
     assert log.read().count() == 6
+    # A batch that is tried again adds no row and no version.
+    version, last = table.version(), log.read().count()
+    table.write(table.read(), "0")
+    log.write(spark.createDataFrame(log.read(before=1).collect(), log.read().schema), 0)
+    assert (table.version(), log.read().count()) == (version, last)
 
 
 def test_one_message_per_batch(spark, tmp_path):

@@ -1,3 +1,3 @@
 """Imports every query module, which registers its queries."""
 
-from workload import catalogue, curation, feeds, people, tracking  # noqa: F401
+from workload import catalogue, curation, feeds, people, runs, tracking  # noqa: F401

@@ -12,6 +12,7 @@ from tallyshelf.functions import classify
 from tallyshelf.functions import text as X
 from tallyshelf.operators import dims
 from tallyshelf.operators.pick import latest_per_key
+from tallyshelf.sinks.tables import VersionedTable, read_events
 from tallyshelf.sources import articles, feeds, sitemaps
 from tallyshelf.sources import dims as dim_sources
 from tallyshelf.streaming import billing_stream, diff_stream
@@ -24,10 +25,10 @@ from workload.tracking import SQL_EVENTS
 
 
 def _goods(spark, sf):
-    """Parts with the texts a shop would write about them."""
+    """Parts with the texts a shop would write about them, forty to a document however many there are."""
     p, key = S.dealt(S.table(spark, sf, "part")), F.col("p_partkey")
     return p.select(
-        key.alias("k"), F.col("p_brand").alias("shop"), F.pmod(key, F.lit(40)).alias("page"),
+        key.alias("k"), F.col("p_brand").alias("shop"), F.floor(key / 40).alias("page"),
         F.concat_ws(" ", "p_name", S.choose(["Kenya", "", "Peru"], key), S.choose(["Washed", "", "Honey 250g", "1kg"], key)).alias("title"),
         F.format_string("%.2f", "p_retailprice").alias("price"), F.col("p_size").alias("size"),
         S.choose(["<p>Region: Huila</p><p>Tasting Notes</p><p>peach, lime &amp; cocoa</p>",
@@ -132,7 +133,7 @@ def page_feed(spark, sf):
     return _shown(feeds.normalise_product_pages(pages), "image")
 
 
-@query("""WITH d AS (SELECT p_brand AS shop, p_partkey AS k, p_partkey % 8 AS m, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS pos FROM part),
+@query("""WITH d AS (SELECT p_brand AS shop, p_partkey AS k, p_partkey % 8 AS m, row_number() OVER (PARTITION BY p_brand, p_partkey // 200 ORDER BY p_partkey) - 1 AS pos FROM part),
   u AS (SELECT shop, CASE WHEN m = 1 THEN 'https://x.example/items/i' ELSE 'https://x.example/products/i' END || k AS url, pos FROM d WHERE m NOT IN (2, 3, 4))
   SELECT shop, url, pos AS place FROM u""")
 def sitemap_urls(spark, sf):
@@ -140,11 +141,13 @@ def sitemap_urls(spark, sf):
     loc = (F.when(key % 8 == 1, F.concat(F.lit("https://x.example/items/i"), key)).when(key % 8 == 2, F.concat(F.lit("https://x.example/pages/i"), key))
            .when(key % 8 == 3, F.concat(F.lit("mailto:a@x.example/products/i"), key)).when(key % 8 == 4, F.concat(F.lit("https://x.example/blogs/shop/i"), key))
            .otherwise(F.concat(F.lit("/products/i"), key)))
-    parts = S.table(spark, sf, "part").select(F.col("p_brand").alias("shop"), F.struct(key, F.concat(F.lit("<url><loc>"), loc, F.lit("</loc></url>"))).alias("e"))
-    product_map = parts.groupBy("shop").agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["col2"]), "\n").alias("body"))
-    product_map = product_map.withColumn("url", F.lit("https://x.example/sm/products_1.xml"))
-    index = product_map.select("shop", F.lit("https://x.example/sitemap.xml").alias("url"), F.lit(
-        "<loc>https://x.example/sm/pages_1.xml</loc><loc> /sm/products_1.xml </loc>").alias("body"))
+    parts = S.table(spark, sf, "part").select(F.col("p_brand").alias("shop"), F.floor(key / 200).alias("map"), F.struct(key, F.concat(F.lit("<url><loc>"), loc, F.lit("</loc></url>"))).alias("e"))
+    product_map = parts.groupBy("shop", "map").agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["col2"]), "\n").alias("body"))
+    product_map = product_map.withColumn("url", F.concat(F.lit("https://x.example/sm/products_"), "map", F.lit(".xml")))
+    # The index of a shop names a map for every two hundred parts.
+    index = product_map.groupBy("shop").agg(F.concat(F.lit("<loc>https://x.example/sm/pages_1.xml</loc>"), F.array_join(F.collect_list(
+        F.concat(F.lit("<loc> /sm/products_"), "map", F.lit(".xml </loc>"))), "")).alias("body")).select(
+        "shop", F.lit("https://x.example/sitemap.xml").alias("url"), "body")
     landed = index.unionByName(product_map.select("shop", "url", "body"))
     shops = index.select("shop", F.lit("https://x.example/").alias("base"))
     return sitemaps.product_urls(landed, shops).select("shop", "url", F.element_at("place", -1).cast("bigint").alias("place"))
@@ -274,13 +277,12 @@ def _as_stream(spark, table, folder):
 
 @query(with_(SQL_EVENTS, body="SELECT CAST(key AS VARCHAR) AS key, type, ts, oos_hours FROM diff"))
 def snapshot_stream(spark, sf):
+    """Batches go into the state table by time slices, so a key that fills a batch is no single task."""
     folder = _run_folder(spark)
-    events = diff_stream.snapshot_diff_stream(_as_stream(spark, S.snapshots(spark, sf), folder))
-    run = (events.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/cp")
-           .trigger(availableNow=True).start())
-    run.awaitTermination()
-    found = spark.read.schema(diff_stream.EVENT_SCHEMA).parquet(f"{folder}/out")
-    return found.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    rows = S.snapshots(spark, sf).select(F.col("key").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"), "available")
+    state = VersionedTable(spark, f"{folder}/state", "key STRING, available BOOLEAN, first_seen TIMESTAMP, last_seen TIMESTAMP, last_status_change TIMESTAMP")
+    diff_stream.track(_as_stream(spark, rows, folder), state, f"{folder}/events", f"{folder}/cp").awaitTermination()
+    return read_events(spark, f"{folder}/events").drop("event_date").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query(with_(SQL_BILLING, body="SELECT event_id, type FROM ev"))
