@@ -10,6 +10,7 @@ record is still found where it stands.
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -46,8 +47,9 @@ def _member(data: bytes) -> bytes:
 
 
 def write(pages: DataFrame, folder: str, url: str = "url", html: str = "html") -> None:
-    """Write pages as part-PPPPPP-RRRR.warc.gz, one gzip member per record, and the manifest (file, row,
-    offset, length, record_id) beside them, where the pages lie: nothing is shuffled.
+    """Write pages as part-PPPPPP-RRRR.warc.gz, one gzip member per record, each with its records' offsets
+    in a .cdx file beside it, and the manifest (file, row, offset, length, record_id) of all files. Pages
+    are written where they are read: nothing is shuffled.
 
     Null urls and bodies are empty, repeated rows are records of equal id, an empty table makes no file,
     bodies are written whole. A task holds one unfinished file. A task that is run again replaces its files.
@@ -61,6 +63,7 @@ def write(pages: DataFrame, folder: str, url: str = "url", html: str = "html") -
         def close() -> pa.RecordBatch:
             name = f"part-{task:06d}-{roll:04d}.warc.gz"
             _put(folder, name, members)
+            _put(folder, f"{name}.cdx", ["".join(json.dumps(e) + "\n" for e in entries).encode()])
             offsets, lengths, ids = zip(*entries)
             return pa.RecordBatch.from_arrays(
                 [pa.array([name] * len(ids)), pa.array(range(len(ids)), pa.int64()), pa.array(offsets, pa.int64()),
@@ -92,41 +95,41 @@ def _files(spark: SparkSession, folder: str) -> DataFrame:
     return held.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
 
 
-def replicate(spark: SparkSession, source: str, target: str, change: Callable[[str, bytes, list], bytes] | None = None) -> None:
-    """Copy the files of a folder to another. ``change`` (name, bytes, entries of the manifest) stands for
-    what storage does to a file, in tests and drills; it returns the bytes that arrive, or None for no file."""
+def entries_of(folder: str, name: str) -> list[tuple[int, int, str]]:
+    """Offset, length and id of the records of one file, in order."""
+    return [tuple(json.loads(line)) for line in _get(folder, f"{name}.cdx").splitlines()]
+
+
+def replicate(spark: SparkSession, source: str, target: str, change: Callable[[str, bytes, list], bytes | None] | None = None) -> None:
+    """Copy the files of a folder to another. ``change`` (name, bytes, records) stands for what storage does
+    to a file, in tests and drills; it returns the bytes that arrive, or None for no file."""
     fs, path = _open(target)
     fs.create_dir(path, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in range(batch.num_rows):
-                name, entries = batch.column(0)[r].as_py(), batch.column(1)[r].as_py()
+            for name in batch.column(0).to_pylist():
                 data = _get(source, name)
-                data = data if change is None else change(name, data, entries)
+                data = data if change is None else change(name, data, entries_of(source, name))
                 if data is not None:
                     _put(target, name, [data])
-                yield pa.RecordBatch.from_arrays([pa.array([name])], ["file"])
-
-    _listed(manifest(spark, source)).mapInArrow(run, "file string").agg(F.count(F.lit(1))).collect()
-
+            yield batch
 
-def _listed(rows: DataFrame) -> DataFrame:
-    """One row per file with its records in order; a file's size bounds them."""
-    return rows.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("offset", "length", "record_id"))).alias("entries"))
+    manifest(spark, source).select("file").distinct().mapInArrow(run, "file string").agg(F.count(F.lit(1))).collect()
 
 
-def leaves(spark: SparkSession, folder: str, records: DataFrame) -> DataFrame:
-    """Leaf (file, index, stop, record_id, hash) of each record of the manifest, as this replica holds it.
+def leaves(spark: SparkSession, folder: str, trusted: str) -> DataFrame:
+    """Leaf (file, index, stop, record_id, hash) of each record, as this replica holds it at the offsets that
+    the ``trusted`` folder, the one first written, has in its .cdx files.
 
     Bytes that a file lacks are left out of the hash, a missing file has no leaves, bytes beyond the last
-    record are a leaf of their own without record.
+    record are a leaf of their own without record. Contents are hashed where they are read.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in range(batch.num_rows):
-                name, content = batch.column(0)[r].as_py(), batch.column(1)[r].as_py()
-                rows = [(e["offset"], e["offset"] + e["length"], e["record_id"]) for e in batch.column(2)[r].as_py() or ()]
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                content = content.as_py()
+                rows = [(at, at + length, id_) for at, length, id_ in entries_of(trusted, name)]
                 end = max((stop for _, stop, _ in rows), default=0)
                 if len(content) > end:
                     rows.append((end, len(content), None))
@@ -136,8 +139,7 @@ def leaves(spark: SparkSession, folder: str, records: DataFrame) -> DataFrame:
                      pa.array([hashlib.sha256(b"%d:%d:" % (s, e) + content[s:e]).hexdigest() for s, e, _ in rows], pa.string())],
                     ["file", "index", "stop", "record_id", "hash"])
 
-    held = _files(spark, folder).join(_listed(records), "file", "left").select("file", "content", "entries")
-    return held.mapInArrow(run, "file string, index bigint, stop bigint, record_id string, hash string")
+    return _files(spark, folder).mapInArrow(run, "file string, index bigint, stop bigint, record_id string, hash string")
 
 
 class Tree:

@@ -23,7 +23,7 @@ def length_of(records):
 
 def trees(spark, one, two):
     records = warc.manifest(spark, one)
-    return [warc.tree(warc.leaves(spark, f, records), length_of(records)) for f in (one, two)]
+    return [warc.tree(warc.leaves(spark, f, one), length_of(records)) for f in (one, two)]
 
 
 def test_files_are_warc(spark, written):
@@ -56,9 +56,9 @@ def test_damage_is_found_where_it_is(spark, written, monkeypatch):
         if name == files[0]:
             return None
         out = bytearray(data)
-        for e in entries:
-            if (name, e["offset"]) in bad:
-                out[e["offset"]] ^= 1
+        for offset, _, _ in entries:
+            if (name, offset) in bad:
+                out[offset] ^= 1
         return bytes(out) + b"tail" if name == files[1] else bytes(out[:-1])
 
     two = shared_folder(spark, "test-damage")
