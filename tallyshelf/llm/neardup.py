@@ -275,10 +275,9 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     together, and a pair goes to the block pair of its nodes with their sets; no block pair is large."""
     ends = pairs.select(F.col("a").alias("id"), F.col("b").alias("other")).unionAll(
         pairs.select(F.col("b").alias("id"), F.col("a").alias("other")))
-    ends = settle(ends)
     near = settle(ends.groupBy("id").agg(F.min("other").alias("label")).select("id", F.least("id", "label").alias("label")))
-    # One hop more, so that a large group falls into few labels and its nodes meet in few block pairs.
-    label = settle(ends.join(near.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("label").alias("label")))
+    # The label's own label, so that a large group falls into few labels and its nodes meet in few block pairs.
+    label = settle(near.join(near.toDF("label", "next"), "label").select("id", F.col("next").alias("label")))
     sizes = label.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
     blocks = settle(label.join(sizes, "label").select(
         "id", F.struct("label", F.pmod(F.xxhash64("id"), "parts").alias("part")).alias("block")))
