@@ -6,7 +6,8 @@ with long common prefixes are neighbours. A node is compared with the next WINDO
 least the first value: where few nodes share it, these are the whole region, where many do, the sort has
 brought the deepest matches together. That is the forest's adaptive depth. Regions that stay larger than
 the window at depth CROWDED are crowded; there, whoever did not end up in the region's main component is
-compared on full sets, block by block, with everyone in the region who is not connected to it yet.
+compared on full sets, block by block, with everyone in the region who is not connected to it yet,
+whatever the region's size.
 
 Two sets of similarity s agree in the first d values of some order with probability 1 - (1 - s^d)^ORDERS:
 for s = 0.8 all but 7e-12 (d = 1), 8e-8 (d = 2) and 1e-5 (d = 3).
@@ -14,6 +15,7 @@ for s = 0.8 all but 7e-12 (d = 1), 8e-8 (d = 2) and 1e-5 (d = 3).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +30,8 @@ from tallyshelf.llm.components import components
 from tallyshelf.session import settle
 
 ORDERS, DEPTH, WINDOW, CROWDED = 16, 6, 8, 3
-#: Nodes per block when pairs are confirmed, and the size from which a crowded region is cut at full depth.
+#: Nodes per block when pairs are confirmed, and the size from which a crowded region is also dealt by the sets' sizes,
+#: which leaves out only pairs whose sizes alone rule a link out.
 BLOCK, LARGE_REGION = 256, 4096
 #: Of ORDERS * DEPTH signature values a pair agrees in at least this share to be confirmed: 5.5 standard
 #: deviations below the similarity asked for.
@@ -103,14 +106,13 @@ def _least_agreement(threshold: int) -> int:
 
 
 def _neighbours(threshold: int):
-    """Pairs (a, b, agreement) of sorted rows, and rows (a, region, deep) of crowded regions.
+    """Pairs (a, b, agreement) of sorted rows, and rows (a, region) of crowded regions.
 
     Works through one partition of the sorted orders with a window that is carried from batch to batch.
     A region cut by a partition's end loses the pairs across that end in this one order of ORDERS.
     """
     least = _least_agreement(threshold)
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("agreement", pa.int32()), ("region", pa.binary()),
-                        ("deep", pa.binary())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("agreement", pa.int32()), ("region", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = None
@@ -137,13 +139,12 @@ def _neighbours(threshold: int):
                     crowd = np.unique(np.concatenate([full, full + j]))
             if found:
                 a, b, n = (np.concatenate(x) for x in zip(*found))
-                none = pa.nulls(len(a), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n.astype(np.int32)), none, none], schema=schema)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(a), pa.array(b), pa.array(n.astype(np.int32)), pa.nulls(len(a), pa.binary())], schema=schema)
             if len(crowd):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[crowd]), pa.nulls(len(crowd), pa.int64()), pa.nulls(len(crowd), pa.int32()),
-                     pa.array([k.tobytes() for k in keys[crowd, :1 + 4 * CROWDED]], pa.binary()),
-                     pa.array([k.tobytes() for k in keys[crowd]], pa.binary())], schema=schema)
+                     pa.array([k.tobytes() for k in keys[crowd, :1 + 4 * CROWDED]], pa.binary())], schema=schema)
             tail = [x[-WINDOW:] for x in (keys, low, ids, sizes)]
     return run
 
@@ -237,9 +238,9 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
         F.concat(F.unhex(F.lpad(F.hex("o"), 2, "0")), F.substring("key", F.col("o") * (4 * DEPTH) + 1, F.lit(4 * DEPTH))).alias("sorted"),
         "low", "id", "n_shingles")
     seen = settle(orders.repartitionByRange("sorted").sortWithinPartitions("sorted", "id").mapInArrow(
-        _neighbours(threshold), "a bigint, b bigint, agreement int, region binary, deep binary"))
+        _neighbours(threshold), "a bigint, b bigint, agreement int, region binary"))
     pairs = settle(seen.filter("b IS NOT NULL").groupBy("a", "b").agg(F.max("agreement").alias("agreement")))
-    crowd = seen.filter("b IS NULL").select(F.col("a").alias("id"), "region", "deep").distinct()
+    crowd = seen.filter("b IS NULL").select(F.col("a").alias("id"), "region").distinct()
     active = settle(pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).unionAll(crowd.select("id")).distinct())
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,27 +292,39 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
 def _crowded(crowd: DataFrame, labels: DataFrame, sets: DataFrame, threshold: int) -> DataFrame | None:
     """Links between components inside crowded regions, as (a, b) of component ids; None if no region
-    holds two components. A region is cut at depth CROWDED, or at full depth where that is too large."""
+    holds two components. Strays meet members in block pairs. In a region of more than LARGE_REGION nodes a
+    stray meets only members of its own and the two next bands of set sizes; a band spans the ratio of sizes
+    that a link allows, so no link is left out."""
     if crowd.isEmpty():
         return None
-    large = crowd.groupBy("region").agg(F.count(F.lit(1)).alias("n"))
-    rows = crowd.join(large, "region").select("id", F.when(F.col("n") > LARGE_REGION, F.col("deep")).otherwise(F.col("region")).alias("region"))
-    rows = settle(rows.distinct().join(labels, "id", "left").select("id", "region", F.coalesce("component", "id").alias("component")))
+    rows = settle(crowd.select("id", "region").distinct().join(labels, "id", "left").select(
+        "id", "region", F.coalesce("component", "id").alias("component")))
     parts = rows.groupBy("region", "component").agg(F.count(F.lit(1)).alias("n"))
     regions = settle(parts.groupBy("region").agg(
         F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "component")).alias("main")).filter(
-        "parts > 1").select("region", "main.component", F.ceil(F.col("n") / BLOCK).alias("mine"),
-                            F.ceil((F.col("n") - F.col("main.n")) / BLOCK).alias("strays")).withColumnRenamed("component", "main"))
+        "parts > 1").select("region", F.col("main.component").alias("main"), (F.col("n") > LARGE_REGION).alias("large")))
     if regions.isEmpty():
         return None
+    # A little wider than the ratio, so that rounding does not put a pair at the very ratio two bands apart.
+    width = 1.001 * max(-math.log(max(threshold, 1) / 100), 0.01)
+    sets = sets.filter(F.length("shingles") > 0)
+    bands = sets.select("id", F.floor(F.log(F.length("shingles") / 8) / width).alias("band")).distinct()
     rows = rows.join(regions, "region")
+    rows = rows.filter("NOT large").withColumn("band", F.lit(0).cast("bigint")).unionAll(rows.filter("large").join(bands, "id").select(
+        *rows.columns, "band"))
+    near = F.when(F.col("large"), F.sequence(F.col("band") - 1, F.col("band") + 1)).otherwise(F.array("band"))
+    rows = rows.select("region", "id", "component", (F.col("component") != F.col("main")).alias("stray"), "band", F.explode(near).alias("at"))
+    own = F.col("stray") & (F.col("at") == F.col("band"))
+    sizes = rows.groupBy("region", "at").agg(
+        F.ceil(F.count(F.lit(1)) / BLOCK).alias("mine"), F.ceil(F.count_if(own) / BLOCK).alias("strays")).filter("strays > 0")
+    rows = settle(rows.join(settle(sizes), ["region", "at"]))
     deal = F.xxhash64("id")
-    members = rows.select("region", F.pmod(deal, "mine").alias("m"), F.explode(F.sequence(F.lit(0), F.col("strays") - 1)).alias("s"),
+    members = rows.select("region", "at", F.pmod(deal, "mine").alias("m"), F.explode(F.sequence(F.lit(0), F.col("strays") - 1)).alias("s"),
                           "id", "component", F.lit(False).alias("stray"))
-    strays = rows.filter("component <> main").select(
-        "region", F.explode(F.sequence(F.lit(0), F.col("mine") - 1)).alias("m"), F.pmod(deal, "strays").alias("s"),
+    strays = rows.filter(own).select(
+        "region", "at", F.explode(F.sequence(F.lit(0), F.col("mine") - 1)).alias("m"), F.pmod(deal, "strays").alias("s"),
         "id", "component", F.lit(True).alias("stray"))
-    blocks = members.unionAll(strays).join(sets, "id").groupBy("region", "m", "s")
+    blocks = members.unionAll(strays).join(sets, "id").groupBy("region", "at", "m", "s")
     found = settle(blocks.applyInPandas(_compare(threshold), "a bigint, b bigint").distinct())
     if found.isEmpty():
         return None

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from tallyshelf.llm import neardup
@@ -68,6 +69,28 @@ def test_crowded_regions_keep_every_link(spark, monkeypatch):
     assert got == want
 
 
+def test_large_regions_keep_every_link(spark, monkeypatch):
+    """Nodes of one region that agree in no order's full key, in a region above the size of a large one."""
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(neardup, "LARGE_REGION", 16)
+    rng = random.Random(5)
+    sets = {}
+    for i in range(0, 120, 2):
+        n = rng.choice([1, 4, 5, 40, 50, 90, 300])
+        sets[i] = {rng.getrandbits(63) for _ in range(n)}
+        # Exactly at the threshold where the size allows it: four fifths of a set, with sizes a whole band apart.
+        sets[i + 1] = set(sorted(sets[i])[:-(-4 * n // 5)])
+    sets[1000] = sets[0] | {1}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    crowd = spark.createDataFrame([(i, b"r", b"r%d" % i) for i in sets], "id bigint, region binary, deep binary")
+    blobs = [(i, np.array(sorted(x), np.uint64).tobytes()) for i, x in sets.items()]
+    none = spark.createDataFrame([], "id bigint, component bigint")
+    found = neardup._crowded(crowd, none, spark.createDataFrame(blobs, "id bigint, shingles binary"), 80)
+    assert found is not None and len(links) > 50
+    got, want = (components(x).collect() for x in (found, spark.createDataFrame(links, "a bigint, b bigint")))
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
 def test_keep_first(spark):
     rows = made()
     docs = spark.createDataFrame(rows + [rows[5], rows[5], (None, "null id a b c d e f", "", 0), (None, "null id a b c d e f", "", 0)], SCHEMA)
