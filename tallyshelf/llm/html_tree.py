@@ -34,6 +34,7 @@ WORDS = frozenset("""nav navbar navigation menu menubar breadcrumb breadcrumbs s
     subscribe subscription signup share sharing social related recommended recommendations comment comments commentlist
     disqus respond replies reply pagination pager toolbar widget login search skip""".split())
 _ATTRIBUTE = re.compile(r"""([a-zA-Z][\w:-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_TAG_REST = re.compile(r"""(?:[\s/]+|[^\s/>][^\s/>=]*(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*)?)?)*+>""")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _WORDS_OF = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 _RAW_END = {t: re.compile(f"</{t}(?=[\\s/>])|\\Z", re.I) for t in RAW}
@@ -50,16 +51,15 @@ class Element:
 
 
 def _tag_end(html: str, at: int) -> int:
-    """Index after the tag that opens at ``at``; a quoted '>' does not end it."""
+    """Index after the tag whose attributes begin at ``at``; a '>' inside a quoted value does not end it, however
+    long the value. A quote opens a value only after '='; one that is never closed is no quote."""
     end = html.find(">", at)
     if end < 0:
         return len(html)
-    for quote in '"\'':
-        if html.count(quote, at, end) % 2:
-            close = html.find(quote, end, end + 4096)
-            if close >= 0 and (past := html.find(">", close, close + 4096)) >= 0:
-                return past + 1
-    return end + 1
+    if html.find('"', at, end) < 0 and html.find("'", at, end) < 0:
+        return end + 1
+    tag = _TAG_REST.match(html, at)
+    return tag.end() if tag else end + 1
 
 
 def parse(html: str) -> Element:

@@ -12,6 +12,12 @@ CASES = {
     "main with role": ("<div>top</div><div role=main><p>in main</p></div>", "in main"),
     "unclosed": ("<article><p>one<p>two <b>bold<ul><li>x<li>y</ul><div>z", "one two bold x y z"),
     "quoted bracket": ('<article><p title="a > b">t</p></article>', "t"),
+    "apostrophe in a quoted value": ("""<article><p title="today's note">First words kept, it isn't lost</p><p>next</p></article>""",
+                                     "First words kept, it isn't lost next"),
+    "quote in a quoted value": ("""<article><p title='5" x 7'>a "b" c</p><p title="a" alt='"'>d</p></article>""", 'a "b" c d'),
+    "apostrophe in a bare value": ("<article><p title=it's>don't go</p><p>next</p></article>", "don't go next"),
+    "long quoted value": ("<article><p data-json='" + '{"a": "<b>"},' * 2000 + "' srcdoc=\"" + "<p>no</p> isn't " * 1000 + '">t</p></article>', "t"),
+    "never closed": ("""<article><p title="a>one</p><p class='b>two</p></article>""", "one two"),
     "stray": ("</div><article></p>a < b </span>c</article>", "a < b c"),
     "hidden": ('<article><p hidden>no</p><p style="display: none">no</p><p>yes</p></article>', "yes"),
     "class on the article": ('<body class="has-sidebar ads"><article class="post comments-open"><p>kept</p></article></body>', "kept"),
