@@ -25,6 +25,8 @@ CLOSES = {
 _ENDS_P = BLOCK - {"td", "th", "tr", "li", "dt", "dd", "caption", "thead", "tbody", "tfoot", "html", "body"}
 _P_SCOPE = frozenset("article section div main td th li blockquote table aside nav header footer body".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that hold a piece of prose or data; alike on many pages they are still mostly content.
+PROSE = HEADINGS | frozenset("p li dt dd tr td th caption blockquote pre figcaption".split())
 #: Elements that hold no prose of an article, by tag, role, and words of class and id.
 DROPPED = frozenset("""nav aside footer form button input select option textarea script style noscript template iframe object
     embed svg canvas audio video dialog menu head title xmp noembed noframes""".split())
@@ -204,22 +206,23 @@ def main_parts(root: Element) -> list[Element]:
     return mains[:1] or [root]
 
 
-def subtrees(root: Element) -> tuple[set[int], int]:
-    """Hashes of the subtrees that may be a site's template, and a fingerprint of the page's main text.
+def subtrees(root: Element) -> tuple[dict[int, bool], int]:
+    """Hashes of the subtrees that may be a site's template, each with whether it is a piece of prose, and a
+    fingerprint of the page's main text.
 
     Counted are block elements with text that do not hold the main part; inside an article only sections
     and lists that are not its whole, since its paragraphs are content however often they recur.
     """
     mains = main_parts(root)
     whole = mains == [root]
-    out: set[int] = set()
+    out: dict[int, bool] = {}
     todo = [(root, False)]
     while todo:
         e, inside = todo.pop()
         inside = inside or (not whole and e in mains)
         if e.tag in BLOCK and e.tag not in ("html", "body", "main", "article") and e.size and not e.holds_main:
             if not inside or e.tag in ("div", "section", "aside", "nav", "header", "footer", "form"):
-                out.add(e.hash)
+                out[e.hash] = e.tag in PROSE
         todo.extend((p, inside) for p in e.parts if type(p) is Element)
     return out, xxhash.xxh3_64_intdigest(" ".join(text for e in mains for text in blocks(e, root, frozenset())).encode("utf-8", "replace"))
 

@@ -60,3 +60,16 @@ def test_recurring_subtrees_go_and_content_stays(spark):
     assert text[3] == "story 3 of the day" and text[100] == "Visit our shop today lone" and text[205] == "same page"
     assert text[304] == "shared passage own 4" and text[400] == "no host" and text[401] == text[402] == ""
     assert html_text.extract(pages.filter("false")).count() == 0
+
+
+def test_template_is_a_share_of_the_host(spark):
+    """What a few pages of a large host have in common is content; what nearly all of them have is template."""
+    box = "<div><b>Visit our shop</b></div>"
+    few = "<h2>Introduction</h2><table><tr><td>1</td></tr></table><ul><li>Salt</li></ul><div><p>A quoted passage.</p></div>"
+    most = "<h2>References</h2>"
+    page = lambda i: f"<body>{box}<p>story {i}</p>{few if i < 10 else ''}{most if i % 4 else ''}</body>"
+    rows = [(i, f"https://large.example/{i}", page(i)) for i in range(100)]
+    rows += [(200 + i, f"https://art.example/{i}", f"<article>{box}<p>own {i}</p>{few if i < 10 else ''}</article>") for i in range(100)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got[1] == "story 1 Introduction 1 Salt A quoted passage. References" and got[50] == "story 50 References"
+    assert got[203] == "own 3 Introduction 1 Salt A quoted passage." and got[250] == "own 50"
