@@ -16,6 +16,7 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,6 +101,12 @@ def entries_of(folder: str, name: str) -> list[tuple[int, int, str]]:
     return [tuple(json.loads(line)) for line in _get(folder, f"{name}.cdx").splitlines()]
 
 
+def _known(folder: str, name: str) -> bool:
+    """Whether a folder holds a file or its offsets."""
+    fs, path = _open(folder)
+    return any(x.type != pyarrow.fs.FileType.NotFound for x in fs.get_file_info([f"{path}/{name}", f"{path}/{name}.cdx"]))
+
+
 def replicate(spark: SparkSession, source: str, target: str, change: Callable[[str, bytes, list], bytes | None] | None = None) -> None:
     """Copy the files of a folder to another. ``change`` (name, bytes, records) stands for what storage does
     to a file, in tests and drills; it returns the bytes that arrive, or None for no file."""
@@ -123,15 +130,17 @@ def leaves(spark: SparkSession, folder: str, trusted: str) -> DataFrame:
     the ``trusted`` folder, the one first written, has in its .cdx files.
 
     Bytes that a file lacks are left out of the hash, a missing file has no leaves, bytes beyond the last
-    record are a leaf of their own without record. Contents are hashed where they are read.
+    record are a leaf of their own without record, and so is the whole content of a file that the trusted
+    folder does not have. Contents are hashed where they are read.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 content = content.as_py()
-                rows = [(at, at + length, id_) for at, length, id_ in entries_of(trusted, name)]
+                known = _known(trusted, name)
+                rows = [(at, at + length, id_) for at, length, id_ in entries_of(trusted, name)] if known else []
                 end = max((stop for _, stop, _ in rows), default=0)
-                if len(content) > end:
+                if len(content) > end or not known:
                     rows.append((end, len(content), None))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([name] * len(rows)), pa.array([s for s, _, _ in rows], pa.int64()), pa.array([e for _, e, _ in rows], pa.int64()),

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tallyshelf.llm import q_warc, warc
 from tallyshelf.llm.common import shared_folder
-from tallyshelf.llm.token_files import _get
+from tallyshelf.llm.token_files import _get, _put
 
 
 @pytest.fixture(scope="module")
@@ -77,6 +77,15 @@ def test_damage_is_found_where_it_is(spark, written, monkeypatch):
     assert got == want and {k for *_, k in got} == {"missing", "changed", "extra"}
 
 
+def test_file_the_trusted_folder_lacks_is_extra(spark, written):
+    folder, _ = written
+    two = shared_folder(spark, "test-extra")
+    warc.replicate(spark, folder, two)
+    _put(two, "other.warc.gz", [b"not ours"])
+    got = {tuple(r) for r in warc.audit(*trees(spark, folder, two)).collect()}
+    assert got == {("other.warc.gz", 0, 8, None, "extra")}
+
+
 def test_empty(spark):
     one, two = shared_folder(spark, "test-none"), shared_folder(spark, "test-none")
     warc.write(spark.createDataFrame([], "url string, html string"), one)
