@@ -124,7 +124,7 @@ def test_query_and_rows(spark, tmp_path):
     assert time.time() - begun < 120 and len(rows) == 10
     want = sorted((str(k), t or "") for k, t in [*enumerate(texts), (None, "a@b.c"), (1, "a@b.c")])
     got = sorted(rows, key=lambda r: (str(r["doc_id"]), len(r["base_sha256"]), r["n_email"]))
-    for (key, text), r in zip(sorted(want, key=lambda w: (w[0], 0, len(brute(w[1])))), got):
+    for (key, text), r in zip(sorted(want, key=lambda w: (w[0], w[1].count('@'))), got):
         base = brute(text) if len(text) < 1000 else [("ip", len(text) - 8, len(text))]
         said = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
         assert str(r["doc_id"]) == key and r["base_sha256"] == hashlib.sha256(said.encode()).hexdigest()
