@@ -5,9 +5,9 @@ signature is cut into ORDERS keys of DEPTH values; each order sorts all nodes by
 with long common prefixes are neighbours. A node is compared with the next WINDOW nodes that share at
 least the first value: where few nodes share it, these are the whole region, where many do, the sort has
 brought the deepest matches together. That is the forest's adaptive depth. Regions that stay larger than
-the window at depth CROWDED are crowded; there, whoever did not end up in the region's main component is
-compared on full sets, block by block, with everyone in the region who is not connected to it yet,
-whatever the region's size.
+the window at depth CROWDED are crowded; there, whoever did not end up in the region's main component meets
+everyone in the region who is not connected to it yet, block by block, whatever the region's size: two sets
+this alike share one of the rarest fifth of either's shingles, and those that do are compared in full.
 
 Two sets of similarity s agree in the first d values of some order with probability 1 - (1 - s^d)^ORDERS:
 for s = 0.8 all but 7e-12 (d = 1), 8e-8 (d = 2) and 1e-5 (d = 3).
@@ -19,7 +19,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -30,9 +29,12 @@ from tallyshelf.llm.components import components
 from tallyshelf.session import settle
 
 ORDERS, DEPTH, WINDOW, CROWDED = 16, 6, 8, 3
-#: Nodes per block when pairs are confirmed, and the size from which a crowded region is also dealt by the sets' sizes,
-#: which leaves out only pairs whose sizes alone rule a link out.
-BLOCK, LARGE_REGION = 256, 4096
+#: Nodes and bytes of sets per block when pairs are confirmed, and bytes per block of a crowded region.
+BLOCK, BLOCK_BYTES = 256, 4 << 20
+#: Nodes from which a crowded region is also dealt by the sets' sizes; only pairs whose sizes alone rule a link out are left out.
+LARGE_REGION = 4096
+#: Rows of texts that pass to a task at a time, and pairs that one looks at at a time.
+TEXTS, PAIRS = 256, 1 << 18
 #: Of ORDERS * DEPTH signature values a pair agrees in at least this share to be confirmed: 5.5 standard
 #: deviations below the similarity asked for.
 SLACK = 5.5
@@ -41,7 +43,6 @@ _ONE = np.uint64(0x9E3779B97F4A7C15)
 _TWO = np.uint64(0xBF58476D1CE4E5B9)
 #: Odd multipliers, one per signature value, by a fixed rule.
 _FACTORS = (np.arange(1, ORDERS * DEPTH + 1, dtype=np.uint64) * _ONE) | np.uint64(1)
-_WORD_HASHES: dict[bytes, int] = {}
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -50,23 +51,43 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 _FACTORS = _mix(_mix(_FACTORS)) | np.uint64(1)
+#: A random number for each byte at each of the first 256 places of a word; a word's hash is their sum. Later places
+#: reuse them, times an odd number of their own.
+_BYTES = _mix(_mix(np.arange(1, 65537, dtype=np.uint64) * _ONE))
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Bytes of text that are hashed at a time, up to the next space.
+_PART = 1 << 18
+
+
+def _words(data: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a text in order."""
+    raw = np.frombuffer(data, np.uint8)
+    at = np.flatnonzero(~_SPACE[raw])
+    if not len(at):
+        return np.zeros(0, np.uint64)
+    starts = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+    place = np.arange(len(at)) - np.repeat(starts, np.diff(starts, append=len(at)))
+    values = _BYTES[((place & 255) << 8) | raw[at]]
+    if place.max() > 255:
+        values *= _mix((place >> 8).astype(np.uint64) * _ONE) | np.uint64(1)
+    return _mix(np.add.reduceat(values, starts))
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct shingles of a text; a text of fewer words is one shingle."""
-    found = (text or "").encode("utf-8", "replace").lower().split()
-    if not found:
-        return np.zeros(0, np.uint64)
-    if len(_WORD_HASHES) > 300_000:
-        _WORD_HASHES.clear()
-    hashes = np.empty(len(found), np.uint64)
-    for i, w in enumerate(found):
-        h = _WORD_HASHES.get(w)
-        if h is None:
-            h = _WORD_HASHES[w] = xxhash.xxh3_64_intdigest(w)
-        hashes[i] = h
-    size = min(words, len(found))
-    rows = len(found) - size + 1
+    data, parts, at = (text or "").encode("utf-8", "replace").lower(), [], 0
+    while at < len(data):
+        stop = at + _PART
+        while stop < len(data) and not _SPACE[data[stop]]:
+            stop += 1
+        parts.append(_words(data[at:stop]))
+        at = stop
+    hashes = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    if not len(hashes):
+        return hashes
+    size = min(words, len(hashes))
+    rows = len(hashes) - size + 1
     out = hashes[:rows]
     for j in range(1, size):
         out = _mix(out * _ONE + hashes[j:rows + j])
@@ -178,39 +199,83 @@ def _linked(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
     return 100 * both >= threshold * (len(x) + len(y) - both)
 
 
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _links(found: list[tuple[int, int]]) -> pa.Table:
+    return pa.table([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], schema=_LINKS)
+
+
 def _confirm(threshold: int):
     """Confirmed links of a block pair, most alike first; nodes already connected need no second link."""
-    def run(key, pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
-        known, out = _Sets(sets["id"], sets["shingles"]), []
-        pairs = pairs.sort_values(["agreement", "a", "b"], ascending=[False, True, True])
-        for a, b in zip(pairs["a"].tolist(), pairs["b"].tolist()):
-            if known.find(a) != known.find(b) and known.linked(a, b, threshold):
-                known.join(a, b)
-                out.append((a, b))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        known, out = _Sets(sets["id"].to_pylist(), sets["shingles"].to_pylist()), []
+        a, b, agreement = (pairs[c].to_numpy() for c in ("a", "b", "agreement"))
+        for k in np.lexsort((b, a, -agreement)):
+            x, y = int(a[k]), int(b[k])
+            if known.find(x) != known.find(y) and known.linked(x, y, threshold):
+                known.join(x, y)
+                out.append((x, y))
+        return _links(out)
     return run
 
 
+def _prefix(size: int, threshold: int) -> int:
+    """Shingles of a set, the rarest first, of which a linked set must hold one."""
+    return size - -(-threshold * size // 100) + 1
+
+
 def _compare(threshold: int):
-    """Links between the stray nodes and the members of one block of a crowded region."""
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        members, strays = rows[~rows["stray"]], rows[rows["stray"]]
-        known = _Sets([], [])
-        sets = [np.frombuffer(x, np.uint64) for x in members["shingles"]]
-        if sets and len(strays):
-            flat, sizes = np.concatenate(sets), np.array([len(x) for x in sets])
-            starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            for i, comp, blob in zip(strays["id"].tolist(), strays["component"].tolist(), strays["shingles"]):
-                own = np.frombuffer(blob, np.uint64)
+    """Links between the stray nodes and the members of one block pair of a crowded region.
+
+    Shingles are ranked by how many of the block pair's sets hold them. A stray is compared in full with the
+    members that share one of its and of their rarest shingles, those that share most of them first.
+    """
+    def run(rows: pa.Table) -> pa.Table:
+        stray = rows["stray"].to_numpy()
+        ids, components = rows["id"].to_numpy(), rows["component"].to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"].to_pylist()]
+        members, strays = np.flatnonzero(~stray), np.flatnonzero(stray)
+        if not len(members) or not len(strays):
+            return _links([])
+        held, ranks, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        order = np.empty(len(held), np.int64)
+        order[np.argsort(counts, kind="stable")] = np.arange(len(held))
+        ranks = order[ranks]
+        sizes = np.array([len(x) for x in sets])
+        starts = np.concatenate(([0], np.cumsum(sizes)))
+        rare = [np.sort(ranks[starts[k]:starts[k + 1]])[:_prefix(int(sizes[k]), threshold)] for k in range(len(sets))]
+        keys = np.concatenate([rare[k] for k in members])
+        owners = np.repeat(members, [len(rare[k]) for k in members])
+        by_key = np.argsort(keys, kind="stable")
+        keys, owners = keys[by_key], owners[by_key]
+        known, out = _Sets([], []), []
+        for k in strays:
+            low, high = np.searchsorted(keys, rare[k], "left"), np.searchsorted(keys, rare[k], "right")
+            shared = np.zeros(len(sets), np.int32)
+            for i, j in zip(low, high):
+                shared[owners[i:j]] += 1
+            near = np.flatnonzero(shared)
+            near = near[100 * np.minimum(sizes[near], sizes[k]) >= threshold * np.maximum(sizes[near], sizes[k])]
+            near = near[np.argsort(-shared[near], kind="stable")]
+            own = sets[k]
+            while len(near):
+                # Whoever is connected by now needs no second link.
+                home = known.find(int(components[k]))
+                near = near[[known.find(int(c)) != home for c in components[near]]]
+                now = max(1, int(np.searchsorted(np.cumsum(sizes[near]), PAIRS)))
+                some, near = near[:now], near[now:]
+                if not len(some):
+                    break
+                flat = np.concatenate([sets[m] for m in some])
                 at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
-                both = np.add.reduceat((own[at] == flat).astype(np.int64), starts)
-                for k in np.flatnonzero(100 * both >= threshold * (sizes + len(own) - both)):
-                    other, theirs = int(members["id"].iat[k]), int(members["component"].iat[k])
-                    if known.find(comp) != known.find(theirs):
-                        known.join(comp, theirs)
-                        out.append((i, other))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+                both = np.add.reduceat((own[at] == flat).astype(np.int64), np.concatenate(([0], np.cumsum(sizes[some])[:-1])))
+                for m in some[100 * both >= threshold * (sizes[some] + len(own) - both)]:
+                    theirs = int(components[m])
+                    if known.find(int(components[k])) != known.find(theirs):
+                        known.join(int(components[k]), theirs)
+                        out.append((int(ids[k]), int(ids[m])))
+        return _links(out)
     return run
 
 
@@ -228,7 +293,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     below that. An empty table gives no row, texts are read whole, other columns may have any name.
     """
     source = docs.select(_key(key, text).alias("id"), column(text).alias("text"))
-    known = settle(source.mapInArrow(_sketch(words), _SKETCH))
+    known = _settle_texts(source.mapInArrow(_sketch(words), _SKETCH))
     nodes = known.filter("n_shingles > 0").groupBy("digest").agg(
         F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n_shingles"),
         F.first("key").alias("key"), F.first("low").alias("low"))
@@ -237,7 +302,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     orders = nodes.select("id", "n_shingles", "low", "key", order.alias("o")).select(
         F.concat(F.unhex(F.lpad(F.hex("o"), 2, "0")), F.substring("key", F.col("o") * (4 * DEPTH) + 1, F.lit(4 * DEPTH))).alias("sorted"),
         "low", "id", "n_shingles")
-    seen = settle(orders.repartitionByRange("sorted").sortWithinPartitions("sorted", "id").mapInArrow(
+    seen = settle(orders.repartitionByRange("sorted", "id").sortWithinPartitions("sorted", "id").mapInArrow(
         _neighbours(threshold), "a bigint, b bigint, agreement int, region binary"))
     pairs = settle(seen.filter("b IS NOT NULL").groupBy("a", "b").agg(F.max("agreement").alias("agreement")))
     crowd = seen.filter("b IS NULL").select(F.col("a").alias("id"), "region").distinct()
@@ -249,7 +314,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
                 [batch.column(0), pa.array([shingles(t.as_py(), words).tobytes() for t in batch.column(1)], pa.binary())],
                 ["id", "shingles"])
 
-    sets = settle(join_small(source, active, ["id"], "left_semi", 32).mapInArrow(full, "id bigint, shingles binary"))
+    sets = _settle_texts(join_small(source, active, ["id"], "left_semi", 32).mapInArrow(full, "id bigint, shingles binary"))
     links = settle(_confirmed(pairs, sets, threshold))
     labels = components(links)
     more = _crowded(settle(crowd), labels, sets, threshold)
@@ -262,6 +327,17 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     return _labelled(known, nodes, labels).withColumnRenamed("id", key)
 
 
+def _settle_texts(df: DataFrame) -> DataFrame:
+    """Settle what tasks make of whole texts, few of them at a time."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, str(TEXTS))
+    try:
+        return settle(df)
+    finally:
+        conf.set(name, before)
+
+
 def _labelled(known: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
     labels = settle(labels.filter("id <> component"))
     copies = settle(nodes.filter("copies > 1").select("digest", F.col("id").alias("node")))
@@ -279,14 +355,16 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     near = settle(ends.groupBy("id").agg(F.min("other").alias("label")).select("id", F.least("id", "label").alias("label")))
     # The label's own label, so that a large group falls into few labels and its nodes meet in few block pairs.
     label = settle(near.join(near.toDF("label", "next"), "label").select("id", F.col("next").alias("label")))
-    sizes = label.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    held = sets.select("id", F.length("shingles").alias("bytes")).groupBy("id").agg(F.sum("bytes").alias("bytes"))
+    sizes = label.join(held, "id").groupBy("label").agg(
+        F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("bytes") / BLOCK_BYTES)).alias("parts"))
     blocks = settle(label.join(sizes, "label").select(
         "id", F.struct("label", F.pmod(F.xxhash64("id"), "parts").alias("part")).alias("block")))
     dealt = pairs.join(blocks.toDF("a", "ba"), "a").join(blocks.toDF("b", "bb"), "b").select(
         F.struct(F.least("ba", "bb").alias("x"), F.greatest("ba", "bb").alias("y")).alias("blocks"), "a", "b", "agreement")
     dealt = settle(dealt)
     need = dealt.select(F.col("blocks").alias("at"), F.col("a").alias("id")).unionAll(dealt.select("blocks", "b")).distinct()
-    return dealt.groupBy("blocks").cogroup(need.join(sets, "id").groupBy("at")).applyInPandas(
+    return dealt.groupBy("blocks").cogroup(need.join(sets, "id").groupBy("at")).applyInArrow(
         _confirm(threshold), "a bigint, b bigint")
 
 
@@ -308,15 +386,16 @@ def _crowded(crowd: DataFrame, labels: DataFrame, sets: DataFrame, threshold: in
     # A little wider than the ratio, so that rounding does not put a pair at the very ratio two bands apart.
     width = 1.001 * max(-math.log(max(threshold, 1) / 100), 0.01)
     sets = sets.filter(F.length("shingles") > 0)
-    bands = sets.select("id", F.floor(F.log(F.length("shingles") / 8) / width).alias("band")).distinct()
-    rows = rows.join(regions, "region")
-    rows = rows.filter("NOT large").withColumn("band", F.lit(0).cast("bigint")).unionAll(rows.filter("large").join(bands, "id").select(
-        *rows.columns, "band"))
+    band = F.when(F.col("large"), F.floor(F.log(F.col("bytes") / 8) / width)).otherwise(0)
+    # Once per size that a node has: an id that stands for several texts has several sets.
+    rows = rows.join(regions, "region").join(sets.select("id", F.length("shingles").alias("bytes")), "id").groupBy(
+        "region", "id", "component", "main", band.alias("band"), "large").agg(F.sum("bytes").alias("bytes"))
     near = F.when(F.col("large"), F.sequence(F.col("band") - 1, F.col("band") + 1)).otherwise(F.array("band"))
-    rows = rows.select("region", "id", "component", (F.col("component") != F.col("main")).alias("stray"), "band", F.explode(near).alias("at"))
+    rows = rows.select("region", "id", "component", (F.col("component") != F.col("main")).alias("stray"), "band", F.explode(near).alias("at"), "bytes")
     own = F.col("stray") & (F.col("at") == F.col("band"))
     sizes = rows.groupBy("region", "at").agg(
-        F.ceil(F.count(F.lit(1)) / BLOCK).alias("mine"), F.ceil(F.count_if(own) / BLOCK).alias("strays")).filter("strays > 0")
+        F.ceil(F.sum("bytes") / BLOCK_BYTES).alias("mine"), F.ceil(F.sum(F.when(own, F.col("bytes"))) / BLOCK_BYTES).alias("strays")).filter(
+        "strays > 0")
     rows = settle(rows.join(settle(sizes), ["region", "at"]))
     deal = F.xxhash64("id")
     members = rows.select("region", "at", F.pmod(deal, "mine").alias("m"), F.explode(F.sequence(F.lit(0), F.col("strays") - 1)).alias("s"),
@@ -325,7 +404,7 @@ def _crowded(crowd: DataFrame, labels: DataFrame, sets: DataFrame, threshold: in
         "region", "at", F.explode(F.sequence(F.lit(0), F.col("mine") - 1)).alias("m"), F.pmod(deal, "strays").alias("s"),
         "id", "component", F.lit(True).alias("stray"))
     blocks = members.unionAll(strays).join(sets, "id").groupBy("region", "at", "m", "s")
-    found = settle(blocks.applyInPandas(_compare(threshold), "a bigint, b bigint").distinct())
+    found = settle(blocks.applyInArrow(_compare(threshold), "a bigint, b bigint").distinct())
     if found.isEmpty():
         return None
     comp = settle(labels).toDF("id", "c")

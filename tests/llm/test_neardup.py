@@ -56,6 +56,9 @@ def test_components_against_brute_force(spark, n):
 def test_crowded_regions_keep_every_link(spark, monkeypatch):
     """With next to no window the sorted orders find few pairs; the crowded regions must find the rest."""
     monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(neardup, "WINDOW", 1)
+    monkeypatch.setattr(neardup, "PAIRS", 500)
     rng = random.Random(2)
     base = [f"w{i}" for i in range(200)]
     rows = [(0, " ".join(base), "", 0)]
@@ -71,7 +74,7 @@ def test_crowded_regions_keep_every_link(spark, monkeypatch):
 
 def test_large_regions_keep_every_link(spark, monkeypatch):
     """Nodes of one region that agree in no order's full key, in a region above the size of a large one."""
-    monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 2_000)
     monkeypatch.setattr(neardup, "LARGE_REGION", 16)
     rng = random.Random(5)
     sets = {}
@@ -82,7 +85,7 @@ def test_large_regions_keep_every_link(spark, monkeypatch):
         sets[i + 1] = set(sorted(sets[i])[:-(-4 * n // 5)])
     sets[1000] = sets[0] | {1}
     links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
-    crowd = spark.createDataFrame([(i, b"r", b"r%d" % i) for i in sets], "id bigint, region binary, deep binary")
+    crowd = spark.createDataFrame([(i, b"r") for i in sets], "id bigint, region binary")
     blobs = [(i, np.array(sorted(x), np.uint64).tobytes()) for i, x in sets.items()]
     none = spark.createDataFrame([], "id bigint, component bigint")
     found = neardup._crowded(crowd, none, spark.createDataFrame(blobs, "id bigint, shingles binary"), 80)
@@ -128,3 +131,28 @@ def test_connected_components(spark):
             break
     assert got == comp
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_common_passage_links_nobody_but_the_near_copies(spark, monkeypatch):
+    """Many texts share most of their words, too few for a link; the few near copies among them are found."""
+    monkeypatch.setattr(neardup, "WINDOW", 1)
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(70)]
+    rows = [(i, " ".join(passage + [f"x{i}-{k}" for k in range(rng.choice([15, 17, 19, 40]))]), "", 0) for i in range(150)]
+    rows += [(1000 + i, rows[i][1] + f" y{i}", "", 0) for i in range(0, 150, 15)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.find(spark.createDataFrame(rows, SCHEMA), words=2).collect()}
+    assert got == brute(rows, 2)
+
+
+def test_word_hashes():
+    """Equal words hash alike wherever they stand, different ones differ, also where only a late byte does."""
+    words = [f"w{i}" for i in range(3000)] + ["x" * n for n in range(1, 900)] + ["x" * 700 + c for c in "abc"] + ["aab", "aba", "baa", "é", "\x00", "\x00\x00"]
+    hashes = neardup._words(" ".join(words).encode())
+    assert len(np.unique(hashes)) == len(words) == len(hashes)
+    assert (neardup._words(" \n".join(reversed(words)).encode()) == hashes[::-1]).all()
+    small = neardup.shingles("A b\tc " * 3000, 2)
+    before, neardup._PART = neardup._PART, 100
+    try:
+        assert (neardup.shingles("A b\tc " * 3000, 2) == small).all() and len(small) == 3
+    finally:
+        neardup._PART = before
