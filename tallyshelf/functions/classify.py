@@ -54,28 +54,23 @@ def _size_at_least(text: Column, unit: str, minimum: float) -> Column:
 def is_product(title: Column, grams: Column, excluded: Sequence[str] = goods.FEED_EXCLUDED,
                exempt: str = rules.AWARD) -> Column:
     """Feed-side rule: award lots skip the word list, nothing skips the size limits."""
-    def rejected(text: Column) -> Column:
-        listed = matches_any(F.lower(text), excluded, lambda some: any_of(some, "(?U)")) & ~text.rlike(exempt)
-        return listed | _size_at_least(text, "kg", 1) | _size_at_least(text, "lbs?", 2)
-
-    return (F.coalesce(grams, F.lit(0)) < 1000) & ~F.exists(F.array(fix_entities(title)), rejected)
+    # Written out: inside a lambda these long patterns would not be compiled into the query's code.
+    text = fix_entities(title)
+    listed = matches_any(F.lower(text), excluded, "(?U)") & ~text.rlike(exempt)
+    rejected = listed | _size_at_least(text, "kg", 1) | _size_at_least(text, "lbs?", 2)
+    return (F.coalesce(grams, F.lit(0)) < 1000) & ~rejected
 
 
 def is_listed_product(name: Column, excluded: Sequence[str] = goods.READER_EXCLUDED) -> Column:
     """Consumer-side rule on the lower-cased name: award lots pass at once."""
-    def listed(text: Column) -> Column:
-        unlisted = ~matches_any(text, excluded, lambda some: ascii_edges(any_of(some, "")))
-        return unlisted | text.rlike(ascii_boundaries(AWARD_EXEMPT))
-
-    return F.exists(F.array(F.lower(fix_entities(name))), listed)
+    text = F.lower(fix_entities(name))
+    return ~matches_any(text, excluded, edit=ascii_edges) | text.rlike(ascii_boundaries(AWARD_EXEMPT))
 
 
 def is_wholesale(name: Column, grams: Column, words: str = DEFAULT_WHOLESALE) -> Column:
-    def worded(text: Column) -> Column:
-        return text.rlike(ascii_boundaries(words)) | _size_at_least(text, "kg", 1) | _size_at_least(text, "lbs?", 2)
-
     low = F.lower(F.coalesce(name, F.lit("")))
-    return (F.coalesce(grams, F.lit(0)) >= 1000) | F.exists(F.array(low), worded)
+    worded = low.rlike(ascii_boundaries(words)) | _size_at_least(low, "kg", 1) | _size_at_least(low, "lbs?", 2)
+    return (F.coalesce(grams, F.lit(0)) >= 1000) | worded
 
 
 def skipped_type(product_type: Column) -> Column:

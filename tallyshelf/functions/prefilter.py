@@ -75,18 +75,62 @@ def alternatives(pattern: str) -> list[str]:
     return [*out, pattern[start:]]
 
 
-def matches_any(low: Column, patterns: Sequence[str], compiled: Callable[[Sequence[str]], str]) -> Column:
-    """Whether lower-case text matches any of the patterns; ``compiled`` makes one expression of several.
+#: Characters that are no plain text at the start of an alternative.
+_SPECIAL = "\\[](){}.|?*+^$"
 
-    Alternatives whose needed text is known run where one of their words occurs, the rest on every text.
-    """
-    single = [a for p in patterns for a in alternatives(p)]
-    known = [p for p in single if needed_text(p) is not None]
-    rest = [p for p in single if needed_text(p) is None]
 
-    def test(text: Column) -> Column:
-        parts = [could_match(text, known) & text.rlike(compiled(known))] if known else []
-        parts += [text.rlike(compiled(rest))] if rest else []
-        return any_true(parts)
+def opening(pattern: str, size: int = 2) -> str:
+    """Plain text of at most ``size`` characters that every match of the alternative begins with, edges apart."""
+    rest = re.sub(r"^(?:\^|\\b)+", "", pattern)
+    out = ""
+    for i, c in enumerate(rest[:size]):
+        after = rest[i + 1:i + 2]
+        if c in _SPECIAL or after and after in "?*{":
+            break
+        out += c
+        if after == "+":
+            break
+    return out
+
+
+def _literal(text: str) -> str:
+    return "".join(rf"\x{{{ord(c):X}}}" for c in text)
+
 
-    return F.exists(F.array(low), test)
+def _tree(branches: dict[str, str], before: str = "") -> str:
+    """The expressions keyed by the character after ``before`` that they begin with, found by halving the characters."""
+    keys = sorted(branches)
+    if len(keys) <= 3:
+        return "|".join(f"(?={_literal(before + k)})(?:{branches[k]})" for k in keys)
+    half = len(keys) // 2
+    return "|".join(f"(?={_literal(before)}[{_literal(''.join(part))}])(?:{_tree({k: branches[k] for k in part}, before)})"
+                    for part in (keys[:half], keys[half:]))
+
+
+def indexed(patterns: Sequence[str], edit: Callable[[str], str] = str) -> str:
+    """One expression for all alternatives of the patterns, by an index on what they begin with.
+
+    A place of a text is tried only against alternatives that begin with its character, and with its next
+    one where they have two plain characters; an alternative without a plain beginning is tried everywhere.
+    ``edit`` rewrites each alternative. Which one matches may differ from trying them in order, whether any
+    does may not.
+    """
+    groups: dict[str, dict[str, list[str]]] = {}
+    for a in dict.fromkeys(a for p in patterns for a in alternatives(p)):
+        start = opening(a)
+        groups.setdefault(start[:1], {}).setdefault(start[1:], []).append(f"(?:{edit(a)})")
+    anywhere = [a for some in groups.pop("", {}).values() for a in some]
+    branches = {}
+    for first, seconds in groups.items():
+        single = seconds.pop("", [])
+        branches[first] = "|".join([*single, *([_tree({k: "|".join(v) for k, v in seconds.items()}, first)] if seconds else [])])
+    # Apart, because a class of characters beyond Latin-1 is a chain of comparisons and the other kind a bit set.
+    latin = {k: v for k, v in branches.items() if k <= "\xff"}
+    other = {k: v for k, v in branches.items() if k > "\xff"}
+    trees = [f"(?=[{_literal(''.join(latin))}])(?:{_tree(latin)})" if latin else "", rf"(?=[^\x00-\xFF])(?:{_tree(other)})" if other else ""]
+    return "|".join([*filter(None, trees), *anywhere])
+
+
+def matches_any(low: Column, patterns: Sequence[str], flags: str = "", edit: Callable[[str], str] = str) -> Column:
+    """Whether lower-case text matches any of the patterns, in one pass over the text."""
+    return low.rlike(flags + indexed(patterns, edit))
