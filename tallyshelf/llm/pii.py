@@ -438,7 +438,9 @@ def fit(windows: list[str], seed: int = SEED, epochs: int = EPOCHS) -> Model:
 
 def sample(docs: DataFrame, text: str = "text", rows: int = SAMPLE) -> list[str]:
     """Windows of text around the first digit or at-sign of at most ``rows`` texts, those that hash least."""
-    window = F.regexp_extract(column(text), r"(?s)[^0-9@]{0,60}[0-9@].{0,120}", 0)
+    before = F.length(F.regexp_extract(column(text), r"(?s)^[^0-9@]*+(?=[0-9@])", 0))
+    found = column(text).rlike("[0-9@]")
+    window = F.when(found, F.substring(column(text), F.greatest(before - 60, F.lit(1)), F.lit(180))).otherwise("")
     least = docs.select(window.alias("w")).filter("w <> ''").distinct().orderBy(F.xxhash64("w"), "w").limit(rows)
     return [r["w"] for r in least.collect()]
 
