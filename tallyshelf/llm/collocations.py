@@ -22,15 +22,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyshelf.llm.common import column, shared_folder
+from tallyshelf.llm.common import batches_of, column, shared_folder
 from tallyshelf.session import settle
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Frequent phrases of one level that a task looks up in memory, 24 bytes each (words some 150); beyond it the
 #: occurrences are joined with them by a shuffle.
 IN_MEMORY = 500_000
-#: Occurrences counted in a task before the counts go on.
-COUNTED = 1 << 21
+#: Pairs, and distinct words, counted in a task before the counts go on.
+COUNTED, WORDS = 1 << 20, 1 << 18
+#: Texts and relation rows that pass to a task at a time.
+ROWS = 256
 
 _TO_PIECES = bytes(10 if c in b".,;:!?\x0a\x0b\x0c\x0d" else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _RELATION = pa.schema([("row", pa.int64()), ("gaps", pa.binary()), ("ids", pa.binary())])
@@ -86,7 +88,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
             counts.setdefault(lang, Counter()).update((text.as_py() or b"").translate(_TO_PIECES).split())
-        if sum(map(len, counts.values())) > COUNTED:
+        if sum(map(len, counts.values())) > WORDS:
             yield from out()
     yield from out()
 
@@ -121,7 +123,8 @@ def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _write(relation: DataFrame, level: int) -> DataFrame:
     """The relation as a written table; row numbers stay what they are from here on."""
     path = shared_folder(relation.sparkSession, f"occurrences-{level}")
-    relation.write.option("compression", "zstd").parquet(path)
+    with batches_of(relation.sparkSession, ROWS):
+        relation.write.option("compression", "zstd").parquet(path)
     return relation.sparkSession.read.schema(_RELATION_SQL).parquet(path)
 
 
@@ -239,8 +242,9 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", le
     """
     in_memory = IN_MEMORY if in_memory is None else in_memory
     texts = _texts(docs, text, lang)
-    words = settle(texts.drop("row").mapInArrow(_count_words, "lang string, word binary, n bigint").groupBy("lang", "word").agg(
-        F.sum("n").alias("a")))
+    with batches_of(docs.sparkSession, ROWS):
+        words = settle(texts.drop("row").mapInArrow(_count_words, "lang string, word binary, n bigint").groupBy("lang", "word").agg(
+            F.sum("n").alias("a")))
     totals = words.groupBy("lang").agg(F.sum("a").alias("n"))
     groups = settle(words.filter(F.col("a") >= least).select(F.monotonically_increasing_id().alias("id"), "lang", "word", "a"))
     count = groups.count()
@@ -250,8 +254,9 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", le
     for size in range(2, longest + 1):
         if not count:
             break
-        pairs = settle(relation.select("gaps", "ids").mapInArrow(_count_pairs, "first bigint, second bigint, n bigint").groupBy(
-            "first", "second").agg(F.sum("n").alias("a")).filter(F.col("a") >= least))
+        with batches_of(docs.sparkSession, ROWS):
+            pairs = settle(relation.select("gaps", "ids").mapInArrow(_count_pairs, "first bigint, second bigint, n bigint").groupBy(
+                "first", "second").agg(F.sum("n").alias("a")).filter(F.col("a") >= least))
         before = named.select("id", "lang", "phrase")
         named = settle(pairs.join(before.toDF("first", "lang", "head"), "first").join(
             before.select(F.col("id").alias("second"), F.substring_index("phrase", " ", -1).alias("last")), "second").select(

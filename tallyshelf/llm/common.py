@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +58,18 @@ def join_small(left: DataFrame, small: DataFrame, keys: list[str], how: str, row
     return left.join(small, keys, how)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What runs inside the block hands Python tasks at most so many rows at a time; for rows that may be long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def word_count(text: Column) -> Column:
     """Number of runs of other than ASCII white space; null counts 0."""
     kept = F.trim(F.coalesce(text, F.lit("")), F.lit(SPACES))
