@@ -121,7 +121,10 @@ def by_date(ascending: bool = False, date: str = "updated_at", tie: Sequence[str
 
 
 def page(df: DataFrame, order: Sequence[Column], number: int, size: int) -> DataFrame:
-    """One page of a total order; a number past the end gives the last page."""
+    """One page of a total order; a number past the end gives the last page.
+
+    For a page or two of a small listing. One that is read often is written once by ``pages.write_pages``.
+    """
     if number <= 0:
         return df.orderBy(*order).limit(size)
     last = max(0, -(-df.count() // size) - 1)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tallyshelf.functions.rounding import round_even
 from tallyshelf.functions.status import seconds_between
 from tallyshelf.operators.pick import latest_per_key
+from tallyshelf.session import settle
 
 EVENT_COLUMNS = ["key", "type", "ts", "oos_hours"]
 
@@ -201,15 +202,24 @@ def apply_snapshot(state: DataFrame, snapshot: DataFrame, now: Column, min_oos_h
     return new_state, events
 
 
+def _with_seen(state: DataFrame, snapshots: DataFrame) -> DataFrame:
+    return snapshots.join(state.select("key", F.col("last_seen").alias("_seen")), "key", "left")
+
+
+def late_rows(state: DataFrame, snapshots: DataFrame, ts: str = "ts") -> DataFrame:
+    """Rows of snapshots older than what the state has seen of their key: (key, ts, last_seen)."""
+    return _with_seen(state, snapshots).filter(F.col(ts) < F.col("_seen")).select("key", F.col(ts).alias("ts"), F.col("_seen").alias("last_seen"))
+
+
 def apply_history(state: DataFrame, snapshots: DataFrame, ts: str = "ts", min_oos_hours: float = 12,
                   order: str | None = None, slice_days: float = 1) -> tuple[DataFrame, DataFrame]:
     """(new state, events) of several snapshots at once, the same as applying them one by one.
 
     ``snapshots`` has the product columns and the time of each row. Rows older than the key's
-    stored ``last_seen`` are dropped. The number of snapshots does not matter: there is no loop.
+    stored ``last_seen`` are dropped; ``late_rows`` gives them. The number of snapshots does not matter:
+    there is no loop.
     """
-    known = state.select("key", F.col("last_seen").alias("_seen"))
-    fresh = snapshots.join(known, "key", "left").filter(F.col("_seen").isNull() | (F.col(ts) >= F.col("_seen"))).drop("_seen")
+    fresh = settle(_with_seen(state, snapshots).filter(F.col("_seen").isNull() | (F.col(ts) >= F.col("_seen"))).drop("_seen"))
     before = state.select("key", "available", "last_status_change")
     events = snapshot_diff(fresh, "key", ts, "available", min_oos_hours, order, slice_days, before)
     marks = replay_state(fresh, "key", ts, "available", order, slice_days, before).drop("available")

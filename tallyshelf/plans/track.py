@@ -10,6 +10,7 @@ from tallyshelf.operators.digest import long_digest, push_message
 from tallyshelf.operators.pick import latest_per_key
 from tallyshelf.plans.publish import with_status
 from tallyshelf.sinks import tables
+from tallyshelf.sinks.buckets import BucketTable
 
 
 def run(spark: SparkSession, products: DataFrame, now: Column, state_path: str, events_path: str,
@@ -21,7 +22,7 @@ def run(spark: SparkSession, products: DataFrame, now: Column, state_path: str,
     return report(spark, state, events_path, now, export_path)
 
 
-def report(spark: SparkSession, state: tables.VersionedTable, events_path: str, now: Column,
+def report(spark: SparkSession, state: BucketTable, events_path: str, now: Column,
            export_path: str | None = None) -> dict[str, DataFrame]:
     products = with_status(state.read(), now)
     events = tables.read_events(spark, events_path)

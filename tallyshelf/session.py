@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,9 +69,19 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_settled(spark: SparkSession) -> None:
-    """Delete the tables this session has settled, once their readers are done."""
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete what is settled inside the block at its end; for work whose results are written by then."""
+    before = len(_SETTLED)
+    try:
+        yield
+    finally:
+        drop_settled(spark, before)
+
+
+def drop_settled(spark: SparkSession, before: int = 0) -> None:
+    """Delete the tables this session has settled, all but the first ``before``, once their readers are done."""
     conf = spark._jsc.hadoopConfiguration()
-    while _SETTLED:
+    while len(_SETTLED) > before:
         path = spark._jvm.org.apache.hadoop.fs.Path(_SETTLED.pop())
         path.getFileSystem(conf).delete(path, True)

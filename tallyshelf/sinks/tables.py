@@ -1,7 +1,8 @@
 """Writing state, events and exports.
 
-A table that is rewritten from itself gets a new version folder per write; a small manifest names
-the finished versions. A write that dies half-way leaves a folder no one reads.
+A table that is replaced whole gets a new version folder per write, one that batches are merged into hash
+buckets (``buckets.py``). Small commit documents name what is finished; a write that dies half-way leaves a
+folder no one reads.
 """
 
 from __future__ import annotations
@@ -12,33 +13,28 @@ from pyspark.sql import functions as F
 
 from tallyshelf import schemas
 from tallyshelf.operators.diff import apply_snapshot
+from tallyshelf.sinks.buckets import BucketTable
+from tallyshelf.sinks.commits import Commits
 
 
 class VersionedTable:
-    """Parquet table whose versions live side by side under one folder."""
+    """Parquet table that is replaced whole; its last few versions live side by side under one folder."""
 
-    def __init__(self, spark: SparkSession, path: str, schema=None):
-        self.spark, self.path, self.schema = spark, path, schema
+    #: Batch ids that are remembered; a batch is tried again soon or never.
+    BATCHES = 100
 
-    @property
-    def _manifest(self) -> str:
-        return self.path.rstrip("/") + ".manifest"
+    def __init__(self, spark: SparkSession, path: str, schema=None):
+        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+        self.commits = Commits(spark, f"{self.path}.log")
 
     def version(self) -> int | None:
         """Newest finished version, None for a table that was never written."""
-        try:
-            return self._written().agg(F.max("version")).first()[0]
-        except AnalysisException as error:  # an unwritten manifest is the normal first run
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            return None
-
-    def _written(self) -> DataFrame:
-        return self.spark.read.schema("version BIGINT, batch STRING").parquet(self._manifest)
+        newest = self.commits.newest()
+        return newest and newest["version"]
 
     def applied(self, batch: str) -> bool:
         """Whether a version was finished for this batch id."""
-        return self.version() is not None and not self._written().filter(F.col("batch") == batch).isEmpty()
+        return batch in (self.commits.newest() or {"batches": []})["batches"]
 
     def read(self) -> DataFrame:
         version = self.version()
@@ -48,12 +44,15 @@ class VersionedTable:
 
     def write(self, df: DataFrame, batch: str | None = None) -> int:
         """Write a new version, for a batch at most one: a batch that is tried again changes nothing."""
-        if batch is not None and self.applied(batch):
-            return self.version()
-        version = (self.version() or 0) + 1
+        newest = self.commits.newest() or {"version": 0, "batches": []}
+        if batch is not None and batch in newest["batches"]:
+            return newest["version"]
+        version = newest["version"] + 1
         df.write.mode("overwrite").parquet(f"{self.path}/v={version}")
-        done = self.spark.createDataFrame([(version, batch)], "version BIGINT, batch STRING").coalesce(1)
-        done.write.mode("append").parquet(self._manifest)
+        batches = newest["batches"] + ([] if batch is None else [batch])
+        dropped, _ = self.commits.add({"version": version, "batches": batches[-self.BATCHES:]})
+        for old in dropped:
+            self.commits.delete(f"{self.path}/v={old['version']}")
         return version
 
 
@@ -96,19 +95,24 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("key STRING, type STRING, ts TIMESTAMP, oos_hours DOUBLE, event_date DATE").parquet(path).select(*fields)
 
 
-def take_snapshot(state: VersionedTable, events_path: str, snapshot: DataFrame, now, min_oos_hours: float = 12) -> int:
-    """Upsert a snapshot into the state and log its events; returns the new version.
+def take_snapshot(state: BucketTable, events_path: str, snapshot: DataFrame, now, min_oos_hours: float = 12,
+                  batch: int | None = None) -> int:
+    """Merge a snapshot into the state and log its events; returns the batch number.
 
-    Events go first: if the state write fails, the rerun finds the old state and raises the same
-    events again, which readers drop by (key, type, ts).
+    Only the buckets of the snapshot's keys are read, and only its keys written. Events go first: if the
+    state write fails, the rerun finds the old state and raises the same events again. They lie under the
+    batch's number, so they replace those of the first try.
     """
-    new_state, events = apply_snapshot(state.read(), snapshot, now, min_oos_hours)
-    append_events(events, events_path)
-    return state.write(new_state)
+    batch = state.batch() + 1 if batch is None else batch
+    if not state.applied(batch):
+        new_state, events = apply_snapshot(state.read_for(snapshot), snapshot, now, min_oos_hours)
+        append_events(events, events_path, batch)
+        state.upsert(new_state, batch)
+    return batch
 
 
-def product_state(spark: SparkSession, path: str) -> VersionedTable:
-    return VersionedTable(spark, path, schemas.PRODUCT_STATE)
+def product_state(spark: SparkSession, path: str) -> BucketTable:
+    return BucketTable(spark, path, schemas.PRODUCT_STATE)
 
 
 def export_site(products: DataFrame, events: DataFrame, stats: DataFrame, path: str) -> None:

@@ -72,5 +72,9 @@ def shop_list(rows: list[dict], spark: SparkSession) -> DataFrame:
 
 
 def read_state(spark: SparkSession, path: str) -> DataFrame:
-    """Newest version of the whole product state, last seen first."""
-    return product_state(spark, path).read().orderBy(F.desc("last_seen"))
+    """The whole product state, last seen first."""
+    return newest_first(product_state(spark, path).read())
+
+
+def newest_first(state: DataFrame) -> DataFrame:
+    return state.orderBy(F.desc("last_seen"), "key")

@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
-from tallyshelf.operators.diff import apply_history
-from tallyshelf.sinks.tables import VersionedTable, append_events
+from tallyshelf.operators.diff import apply_history, late_rows
+from tallyshelf.session import scratch, settle
+from tallyshelf.sinks.buckets import BucketTable
+from tallyshelf.sinks.tables import append_events
 
 EVENT_SCHEMA = "key STRING, type STRING, ts TIMESTAMP, oos_hours DOUBLE"
 _STATE_SCHEMA = "available BOOLEAN, changed_us LONG, seen_us LONG"
@@ -73,23 +75,27 @@ def snapshot_diff_stream(snapshots: DataFrame, key: str = "key", ts: str = "ts",
     )
 
 
-def track(snapshots: DataFrame, state: VersionedTable, events_path: str, checkpoint: str, *,
-          ts: str = "ts", min_oos_hours: float = 12, order: str | None = None, trigger: dict | None = None):
-    """Run a stream of snapshots into the state table and the event log, batch by batch.
+def merge_snapshots(state: BucketTable, rows: DataFrame, events_path: str, batch: int, *, late_path: str | None = None, ts: str = "ts",
+                    min_oos_hours: float = 12, order: str | None = None) -> None:
+    """Apply one batch of snapshots, any number of them, to the state table and the event log.
 
-    A batch may hold any number of snapshots and is applied in one pass. A key that dominates a
-    batch is spread over time slices, which the per-key state of ``snapshot_diff_stream`` cannot do.
+    The batch reads the buckets of its own keys and writes its own keys. A key that dominates it is spread over
+    time slices. Rows older than what the state has seen of their key change nothing; with ``late_path`` they are
+    kept there, by batch. A batch that is tried again replaces its own events and late rows.
     """
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        if state.applied(str(batch_id)):
-            return
-        batch.persist()
-        try:
-            new_state, events = apply_history(state.read(), batch, ts, min_oos_hours, order)
-            append_events(events, events_path, batch_id)
-            state.write(new_state, str(batch_id))
-        finally:
-            batch.unpersist()
-
-    writer = snapshots.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
-    return writer.trigger(**(trigger or {"availableNow": True})).start()
+    if state.applied(batch):
+        return
+    with scratch(state.spark):
+        rows = settle(rows)
+        known = settle(state.read_for(rows))
+        new_state, events = apply_history(known, rows, ts, min_oos_hours, order)
+        if late_path:
+            late_rows(known, rows, ts).write.mode("overwrite").parquet(f"{late_path}/batch={batch}")
+        append_events(events, events_path, batch)
+        state.upsert(new_state, batch)
+
+
+def track(snapshots: DataFrame, state: BucketTable, events_path: str, checkpoint: str, *, trigger: dict | None = None, **options):
+    """Run a stream of snapshots into the state table and the event log, batch by batch; see ``merge_snapshots``."""
+    writer = snapshots.writeStream.foreachBatch(lambda batch, number: merge_snapshots(state, batch, events_path, number, **options))
+    return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

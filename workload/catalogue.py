@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import posixpath
+import uuid
+from functools import reduce
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyshelf.functions import flavour, price, rules
 from tallyshelf.functions.classify import process_class
-from tallyshelf.operators import catalogue, dims, profile
+from tallyshelf.operators import catalogue, dims, pages, profile
 from tallyshelf.plans.publish import locate
+from tallyshelf.session import ensure_checkpoint_dir
 from workload import standins as S
 from workload.registry import query, with_
 
@@ -61,6 +67,19 @@ def oldest_page(spark, sf):
     return catalogue.page(S.items(spark, sf), order, 0, 100).select("id", F.col("updated_at").cast("string").alias("updated_at"))
 
 
+@query(with_(*BASE, f"""listed AS (SELECT id, row_number() OVER (ORDER BY {SQL_OK} DESC, p100 ASC NULLS LAST, seq, id) - 1 AS n, count(*) OVER () AS total FROM items)""",
+             body="""SELECT page, n - least(page, (total - 1) // 100) * 100 + 1 AS place, id FROM listed, (SELECT unnest([0, 7, 40, 1000000]) AS page)
+  WHERE n // 100 = least(page, (total - 1) // 100)"""))
+def listing_pages(spark, sf):
+    """The whole listing written in order, and pages of it read by number; one past the end is the last."""
+    path = f"{posixpath.join(ensure_checkpoint_dir(spark), 'pages-' + uuid.uuid4().hex)}"
+    pages.write_pages(priced(spark, sf).select("id", "seq", "p100"), catalogue.by_unit_price(True, tie=("seq", "id")), path, file_rows=20_000)
+    listing = pages.Pages(spark, path, 100)
+    found = [listing.read(n).select(F.lit(n).alias("page"), F.monotonically_increasing_id().alias("place"), "id") for n in (0, 7, 40, 1_000_000)]
+    rows = reduce(lambda a, b: a.unionAll(b), found)
+    return rows.select("page", F.row_number().over(Window.partitionBy("page").orderBy("place")).cast("bigint").alias("place"), "id")
+
+
 @query(with_(*BASE, body="""SELECT s.shop, s.name, count(i.id) AS n_now FROM shops s LEFT JOIN items i ON i.shop = s.shop AND i.status = 'now'
   WHERE lower(s.name) LIKE '%shop 1%' OR lower(s.city) LIKE '%shop 1%' OR lower(s.country) LIKE '%shop 1%' GROUP BY 1, 2"""))
 def shop_list(spark, sf):

@@ -12,7 +12,8 @@ from tallyshelf.functions import classify
 from tallyshelf.functions import text as X
 from tallyshelf.operators import dims
 from tallyshelf.operators.pick import latest_per_key
-from tallyshelf.sinks.tables import VersionedTable, read_events
+from tallyshelf.sinks.buckets import BucketTable
+from tallyshelf.sinks.tables import read_events
 from tallyshelf.sources import articles, feeds, sitemaps
 from tallyshelf.sources import dims as dim_sources
 from tallyshelf.streaming import billing_stream, diff_stream
@@ -280,7 +281,7 @@ def snapshot_stream(spark, sf):
     """Batches go into the state table by time slices, so a key that fills a batch is no single task."""
     folder = _run_folder(spark)
     rows = S.snapshots(spark, sf).select(F.col("key").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"), "available")
-    state = VersionedTable(spark, f"{folder}/state", "key STRING, available BOOLEAN, first_seen TIMESTAMP, last_seen TIMESTAMP, last_status_change TIMESTAMP")
+    state = BucketTable(spark, f"{folder}/state", "key STRING, available BOOLEAN, first_seen TIMESTAMP, last_seen TIMESTAMP, last_status_change TIMESTAMP")
     diff_stream.track(_as_stream(spark, rows, folder), state, f"{folder}/events", f"{folder}/cp").awaitTermination()
     return read_events(spark, f"{folder}/events").drop("event_date").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 

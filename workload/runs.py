@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 from tallyshelf.functions.text import fix_entities
 from tallyshelf.operators import catalogue, diff, dims, userlog
 from tallyshelf.plans import publish
+from tallyshelf.operators.pages import numbered
+from tallyshelf.session import settle
 from tallyshelf.sinks import tables
+from tallyshelf.sinks.buckets import BucketTable
 from tallyshelf.sources import dims as dim_sources
 from tallyshelf.sources import feeds
-from tallyshelf.streaming import alerts, billing_stream
+from tallyshelf.streaming import alerts, billing_stream, diff_stream
 from workload import standins as S
 from workload.feeds import SQL_GOODS, _as_stream, _goods, _packed, _run_folder
 from workload.people import SQL_BILLING, SQL_LOG, billing_events
 from workload.registry import query, with_
-from workload.tracking import SQL_EVENTS, SQL_ITEM_OF, _diff, _named
+from workload.tracking import SQL_EVENTS, SQL_ITEM_OF, SQL_STATE, _diff, _named
 
 
 def _events(spark, sf):
@@ -34,6 +37,58 @@ def event_log_recent(spark, sf):
     return rows.drop("event_date").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+_STATE = "key string, available boolean, first_seen timestamp, last_seen timestamp, last_status_change timestamp"
+
+
+def _observations(spark, sf):
+    return S.snapshots(spark, sf).select(F.col("key").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"), "available")
+
+
+@query(with_(SQL_EVENTS, SQL_STATE, body="""SELECT key::VARCHAR AS key, available, first_seen, last_seen, last_status_change,
+  (SELECT count(*) FROM diff WHERE diff.key = state.key) AS n_events FROM state"""))
+def state_in_buckets(spark, sf):
+    """Twenty batches of snapshots merged one after another, each of them sent twice."""
+    folder = _run_folder(spark)
+    rows = settle(_observations(spark, sf).withColumn("day", F.dayofmonth("ts")))
+    state = BucketTable(spark, f"{folder}/state", _STATE, buckets=8, deltas=4)
+    first, last = rows.agg(F.min("day"), F.max("day")).first()
+    for batch in range(20):
+        low, high = (first + (last + 1 - first) * k / 20 for k in (batch, batch + 1))
+        for _ in range(2):
+            diff_stream.merge_snapshots(state, rows.filter((F.col("day") >= low) & (F.col("day") < high)).drop("day"), f"{folder}/events", batch)
+    counts = tables.read_events(spark, f"{folder}/events").groupBy("key").agg(F.count(F.lit(1)).alias("n_events"))
+    out = state.read().join(counts, "key", "left").na.fill(0, ["n_events"])
+    return out.select(*[F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else F.col(c) for c, t in out.dtypes])
+
+
+@query(with_(SQL_EVENTS, """cut AS (SELECT key, max(ts) AS seen FROM snap WHERE ts < TIMESTAMP '2024-01-20' GROUP BY key)""",
+             body="""SELECT 'late' AS kind, snap.key::VARCHAR AS key, count(*) AS n FROM snap JOIN cut ON snap.key = cut.key AND snap.ts < seen
+    WHERE snap.key % 3 = 0 GROUP BY ALL
+  UNION ALL SELECT type, key::VARCHAR, count(*) FROM diff GROUP BY ALL"""))
+def late_snapshots(spark, sf):
+    """The second of two batches brings a third of the keys' old snapshots again, which count as late and change nothing."""
+    folder = _run_folder(spark)
+    rows = _observations(spark, sf)
+    state = BucketTable(spark, f"{folder}/state", _STATE, buckets=8)
+    new = F.col("ts") >= F.lit("2024-01-20").cast("timestamp")
+    for batch, part in enumerate([~new, new | (F.col("key").cast("bigint") % 3 == 0)]):
+        diff_stream.merge_snapshots(state, rows.filter(part), f"{folder}/events", batch, late_path=f"{folder}/late")
+    late = spark.read.parquet(f"{folder}/late").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    events = tables.read_events(spark, f"{folder}/events").groupBy("type", "key").agg(F.count(F.lit(1)).alias("n"))
+    return late.select(F.lit("late").alias("kind"), "key", "n").unionAll(events)
+
+
+@query(with_(SQL_EVENTS, SQL_STATE, body="""SELECT key::VARCHAR AS key, available, last_seen,
+  row_number() OVER (ORDER BY last_seen DESC, key::VARCHAR) AS nth FROM state"""))
+def state_newest_first(spark, sf):
+    """The whole state table, numbered as it is read: newest first."""
+    folder = _run_folder(spark)
+    state = BucketTable(spark, f"{folder}/state", _STATE)
+    diff_stream.merge_snapshots(state, _observations(spark, sf), f"{folder}/events", 0)
+    rows = numbered(dim_sources.newest_first(state.read()), [F.desc("last_seen"), F.asc("key")], "nth")
+    return rows.select("key", "available", F.col("last_seen").cast("timestamp_ntz").alias("last_seen"), "nth")
+
+
 _ENTITLEMENT = ("user_id string, plan string, status string, current_period_end timestamp, customer_id string, "
                 "subscription_id string, updated_at timestamp")
 
