@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tallyshelf.functions import rules
 from tallyshelf.functions.classify import origin_group
 from tallyshelf.operators.pick import top_per_group
 from tallyshelf.operators.profile import FEATURES
+from tallyshelf.session import settle
 
 # Strength of the parts of a blend, cap and rate of learning.
 PAST_WEIGHT, LOG_WEIGHT = 0.35, 3.5
@@ -222,66 +227,157 @@ def add_clicks(affinity: DataFrame, clicks: DataFrame) -> DataFrame:
     )
 
 
-def blocks_for(shops: DataFrame, per_block: int = 512) -> int:
-    """Number of blocks so that a block holds about ``per_block`` shops (one count of the shops)."""
-    return max(1, -(-shops.count() // per_block))
-
-
 def _aligned(df: DataFrame, key: str, value: str, features: Sequence[str]) -> DataFrame:
     """One row per key with its feature values as an array in the order of ``features``."""
     cells = [F.coalesce(F.max(F.when(F.col("feature") == f, F.col(value))), F.lit(0.0)) for f in features]
     return df.groupBy(key).agg(F.array(*cells).alias(value))
 
 
+def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    """A column of arrays of one length as a matrix."""
+    return np.array(column.combine_chunks().flatten(), np.float64).reshape(-1, width)
+
+
+def _packed_shops(aligned: DataFrame, width: int, per_block: int) -> DataFrame:
+    """Blocks of shops with similar z-values: (_block, _shops, _z), the values row by row.
+
+    Shops are ordered by their values' two leading bits, interleaved, so neighbours are alike in all features.
+    """
+    level = [F.least(F.greatest(F.floor(F.get("z", F.lit(i))) + 2, F.lit(0)), F.lit(3)).cast("bigint") for i in range(width)]
+    bits = [F.shiftright(v, 1) for v in level] + [v.bitwiseAND(F.lit(1)) for v in level]
+    place = sum((F.shiftleft(b, len(bits) - 1 - i) for i, b in enumerate(bits)), F.lit(0).cast("bigint"))
+    schema = pa.schema([("_block", pa.int64()), ("_shops", pa.list_(pa.string())), ("_z", pa.list_(pa.float64()))])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, names, values = TaskContext.get().partitionId() << 32, [], []
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([names], schema.field(1).type), pa.array([values], schema.field(2).type)],
+                                              schema=schema)
+
+        for batch in batches:
+            for shop, z in zip(batch.column("shop").to_pylist(), batch.column("z").to_pylist()):
+                names.append(shop)
+                values += z
+                if len(names) == per_block:
+                    yield out()
+                    block, names, values = block + 1, [], []
+        if names:
+            yield out()
+
+    rows = aligned.select(F.col("shop").cast("string").alias("shop"), "z", place.alias("_place"))
+    return rows.repartitionByRange("_place", "shop").sortWithinPartitions("_place", "shop").select("shop", "z").mapInArrow(
+        pack, "_block bigint, _shops array<string>, _z array<double>")
+
+
+def _best_of_slab(n: int, width: int, schema: pa.Schema, chunk: int = 1024):
+    """The best ``n`` shops of a slab for each user of a share.
+
+    A block's bound for a user is the largest value its box of z-values allows. Blocks are visited in order of
+    their bounds; one whose bound is below a user's n-th best score so far is skipped for that user.
+    """
+    def run(users: pa.Table, blocks: pa.Table) -> pa.Table:
+        if not users.num_rows or not blocks.num_rows:
+            return schema.empty_table()
+        # In the order of names within a block and over all of them, so that ties can be settled by place.
+        shops = [np.array(x.as_py()) for x in blocks["_shops"]]
+        z = [np.array(x.as_py()).reshape(-1, width) for x in blocks["_z"]]
+        names = np.concatenate(shops)
+        rank = np.empty(len(names), np.int64)
+        rank[np.argsort(names, kind="stable")] = np.arange(len(names))
+        by_rank = names[np.argsort(rank)]
+        ranks = np.split(rank, np.cumsum([len(s) for s in shops])[:-1])
+        low, high = (np.array([f(m, axis=0) for m in z]) for f in (np.min, np.max))
+        weights = _matrix(users["weight"], width)
+        out = {"user": [], "shop": [], "score": [], "visited": []}
+        for at in range(0, len(weights), chunk):
+            w = weights[at:at + chunk]
+            bound = np.zeros((len(w), len(z)))
+            for i in range(width):
+                bound += np.maximum(w[:, i:i + 1] * low[:, i], w[:, i:i + 1] * high[:, i])
+            # A little more than the sums can differ by rounding.
+            bound += 1e-9 * (1 + np.abs(bound))
+            best = np.full((len(w), n), -np.inf)
+            place = np.full((len(w), n), len(names), np.int64)
+            visited = np.zeros(len(w), np.int64)
+            for k in np.argsort(-bound.max(axis=0), kind="stable"):
+                rows = np.flatnonzero(bound[:, k] >= best[:, -1])
+                if not len(rows):
+                    continue
+                visited[rows] += 1
+                score = np.zeros((len(rows), len(z[k])))
+                for i in range(width):
+                    score += w[rows, i:i + 1] * z[k][:, i]
+                score = np.concatenate([best[rows], score], axis=1)
+                where = np.concatenate([place[rows], np.broadcast_to(ranks[k], (len(rows), len(ranks[k])))], axis=1)
+                order = np.lexsort((where, -score), axis=1)[:, :n]
+                best[rows], place[rows] = np.take_along_axis(score, order, 1), np.take_along_axis(where, order, 1)
+            found = place < len(names)
+            users_at = np.repeat(np.arange(at, at + len(w)), found.sum(axis=1))
+            out["user"].append(users["user"].take(pa.array(users_at)))
+            out["shop"].append(pa.array(by_rank[place[found]].tolist(), pa.string()))
+            out["score"].append(pa.array(best[found]))
+            out["visited"].append(pa.array(visited[users_at - at]))
+        columns = [pa.chunked_array([c for x in out["user"] for c in x.chunks], schema.field(0).type),
+                   *(pa.chunked_array(out[c], schema.field(c).type) for c in ("shop", "score", "visited"))]
+        return pa.table([*columns, pa.array([len(z)] * len(columns[0]), pa.int64())], schema=schema)
+
+    return run
+
+
 def score_shops(weights: DataFrame, profiles: DataFrame, affinity: DataFrame | None = None, *, n: int = 5,
                 shops: DataFrame | None = None, country: str | None = None, scale: float = 1.0,
-                affinity_weight: float = 1.2, shop_blocks: int = 8, user_shares: int = 16,
-                features: Sequence[str] = FEATURES) -> DataFrame:
-    """Best ``n`` shops per user: (user, place, shop, score).
-
-    The score is the weighted sum of z-scores plus a bounded bonus for liked shops. Every user is
-    scored against every shop, but no row is made per pair: shops are packed into blocks, each
-    (user, block) row keeps its best ``n`` inside one expression, and the blocks' winners are
-    merged. Users are spread over ``user_shares``, so blocks and shares together key the join.
-    ``shop_blocks`` bounds the size of a block, see ``blocks_for``.
+                affinity_weight: float = 1.2, features: Sequence[str] = FEATURES, per_block: int = 64,
+                per_slab: int = 100_000, per_share: int = 20_000, counts: bool = False) -> DataFrame:
+    """Best ``n`` shops per user: (user, place, shop, score); with ``counts`` also the blocks and those visited.
+
+    The score is the weighted sum of z-scores plus a bounded bonus for liked shops, ties by shop. Similar shops are
+    packed into blocks, and a user skips blocks that cannot hold one of its best (exactly: by a bound on the
+    sum). A task has the blocks of one slab of ``per_slab`` shops and one share of ``per_share`` users; no row
+    is made per pair. Affinity weights are not negative, so the bonus only lifts: liked pairs, which are
+    few, are scored by a join and compete with each user's best by the sum alone.
     """
+    spark = weights.sparkSession
     if country is not None:
         home = shops.filter(F.col("country") == country).select("shop")
         profiles = profiles.join(home, "shop", "left_semi")
-    blocks = (
-        _aligned(profiles, "shop", "z", features)
-        .groupBy(F.pmod(F.xxhash64("shop"), F.lit(shop_blocks)).cast("int").alias("_block"))
-        .agg(F.collect_list(F.struct("shop", "z")).alias("_shops"))
-        .withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(user_shares - 1))))
-    )
+    kinds = {"user": weights.schema["user"].dataType, "shop": profiles.schema["shop"].dataType}
+    width = len(features)
+    profiles = settle(_aligned(profiles, "shop", "z", features))
     users = _aligned(weights, "user", "weight", features)
     if affinity is not None:
-        liked = affinity.groupBy("user").agg(
-            F.map_from_entries(F.collect_list(F.struct(F.col("shop").cast("string"), "weight"))).alias("_liked")
-        )
-        users = users.join(liked, "user", "full_outer")
-    users = users.withColumn("weight", F.coalesce("weight", F.array_repeat(F.lit(0.0), len(features))))
-    # Scoring is bound by computation: a fixed number of tasks, as Spark would merge them by bytes.
-    tasks = int(weights.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    users = users.repartition(tasks, "user")
-    users = users.withColumn("_share", F.pmod(F.xxhash64("user"), F.lit(user_shares)).cast("int")).withColumn(
-        "_block", F.explode(F.sequence(F.lit(0), F.lit(shop_blocks - 1)))
-    )
-
-    def score(s: Column) -> Column:
-        dot = sum((F.get("weight", F.lit(i)) * F.get(s["z"], F.lit(i)) for i in range(len(features))), F.lit(0.0)) * scale
-        if affinity is None:
-            return dot
-        liking = F.coalesce(F.try_element_at(F.col("_liked"), s["shop"].cast("string")), F.lit(0.0))
-        return dot + F.tanh(liking / 3) * affinity_weight
-
-    ranked = F.slice(F.array_sort(F.transform("_shops", lambda s: F.struct(
-        (-score(s)).alias("minus"), s["shop"].alias("shop")))), 1, n)
-    winners = users.join(blocks, ["_block", "_share"]).select("user", F.inline(ranked))
-    best = top_per_group(winners, ["user"], [F.asc("minus"), F.asc("shop")], n, rank="place")
-    return best.select("user", "place", "shop", (-F.col("minus")).alias("score"))
-
-
-def recommend_from_log(vectors: DataFrame, profiles: DataFrame, affinity: DataFrame, n: int = 3) -> DataFrame:
+        affinity = settle(affinity.filter("weight > 0").groupBy("user", "shop").agg(F.sum("weight").alias("liking")))
+        users = users.join(affinity.select(F.col("user").cast(kinds["user"]).alias("user")).distinct(), "user", "full_outer")
+    users = settle(users.select("user", F.transform(F.coalesce("weight", F.array_repeat(F.lit(0.0), width)), lambda w: w * scale).alias("weight")))
+    n_slabs, n_shares = (max(1, -(-df.count() // size)) for df, size in ((profiles, per_slab), (users, per_share)))
+    # Scoring is bound by computation, so there are at least as many shares as tasks that can run.
+    n_shares = max(n_shares, spark.sparkContext.defaultParallelism)
+    blocks = _packed_shops(profiles, width, per_block).withColumn("_slab", F.pmod(F.xxhash64("_block"), F.lit(n_slabs)).cast("int")).withColumn(
+        "_share", F.explode(F.sequence(F.lit(0), F.lit(n_shares - 1))))
+    shared = users.withColumn("_share", F.pmod(F.xxhash64("user"), F.lit(n_shares)).cast("int")).withColumn(
+        "_slab", F.explode(F.sequence(F.lit(0), F.lit(n_slabs - 1))))
+    schema = f"user {kinds['user'].simpleString()}, shop string, score double, visited bigint, blocks bigint"
+    arrow = pa.schema([("user", to_arrow_type(kinds["user"])), ("shop", pa.string()), ("score", pa.float64()), ("visited", pa.int64()),
+                       ("blocks", pa.int64())])
+    tasks = n_slabs * n_shares
+    found = shared.repartition(tasks, "_slab", "_share").groupBy("_slab", "_share").cogroup(
+        blocks.repartition(tasks, "_slab", "_share").groupBy("_slab", "_share")).applyInArrow(_best_of_slab(n, width, arrow), schema)
+    if counts:
+        found = settle(found)
+        seen = found.groupBy("user").agg(F.max("visited").alias("visited"), F.max("blocks").alias("blocks"))
+    rows = found.select("user", "shop", "score")
+    if affinity is not None:
+        dot = sum((F.get("weight", F.lit(i)) * F.get("z", F.lit(i)) for i in range(width)), F.lit(0.0))
+        bonus = F.tanh(F.col("liking") / 3) * affinity_weight
+        liked = affinity.join(profiles, "shop").join(users, "user").select(
+            "user", F.col("shop").cast("string").alias("shop"), (dot + bonus).alias("score"))
+        # A liked pair is in both; the bonus is never negative, so its own score is the larger one.
+        rows = rows.unionByName(liked).groupBy("user", "shop").agg(F.max("score").alias("score"))
+    best = top_per_group(rows, ["user"], [F.desc("score"), F.asc("shop")], n, rank="place")
+    best = best.select("user", "place", F.col("shop").cast(kinds["shop"]).alias("shop"), "score")
+    return best.join(seen, "user") if counts else best
+
+
+def recommend_from_log(vectors: DataFrame, profiles: DataFrame, affinity: DataFrame, n: int = 3, **options) -> DataFrame:
     """Shops for users known only by their log; the unit vector is stretched to an answer's strength."""
-    return score_shops(vectors, profiles, affinity, n=n, scale=6.0)
+    return score_shops(vectors, profiles, affinity, n=n, scale=6.0, **options)

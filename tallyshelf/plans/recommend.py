@@ -16,7 +16,7 @@ def rank_shops(answers: DataFrame, past: DataFrame, log_vectors: DataFrame, item
     profiles, tally = profile.shop_profiles(items, shops)
     weights = preference.blend(preference.answer_weights(answers), past, log_vectors)
     ranked = preference.score_shops(
-        weights, profiles, affinity, n=n, shops=shops, country=country, shop_blocks=preference.blocks_for(shops)
+        weights, profiles, affinity, n=n, shops=shops, country=country
     )
     why = profile.reasons(ranked, weights, profiles, tally)
     return ranked.join(why, ["user", "shop"], "left").na.fill("", ["reason"])

@@ -116,8 +116,8 @@ def test_scores_do_not_depend_on_the_packing(spark):
     def run(**kw):
         rows = preference.score_shops(weights, profiles, liked, n=4, **kw).collect()
         return sorted((r.user, r.place, r.shop, round(r.score, 9)) for r in rows)
-    assert run(shop_blocks=1, user_shares=1) == run(shop_blocks=7, user_shares=5)
-    assert [r[2] for r in run(shop_blocks=3) if r[0] == "u77"][0] == "s4"
+    assert run(per_block=3, per_slab=10, per_share=7) == run(per_block=1000) == run(per_block=1)
+    assert [r[2] for r in run() if r[0] == "u77"][0] == "s4"
 
 
 BILLING = ("event_id string, type string, ts timestamp, user_id string, customer_id string, subscription_id string, status string, "

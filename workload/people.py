@@ -98,10 +98,11 @@ def quiz_types(spark, sf):
     return preference.quiz_type(preference.answer_weights(_answers(spark, sf)))
 
 
-SQL_LOG = f"""log AS (SELECT user_id AS "user", event_id % 200 AS item_id, 's' || event_id % 12 AS shop,
+SQL_LOG = f"""log AS (SELECT user_id AS "user", 1 + event_id % (SELECT count(*) FROM part) AS item_id,
+    's' || (1 + event_id % (SELECT count(*) FROM supplier)) AS shop,
     CASE WHEN event_id % 5 = 0 THEN {S._pick(S.ORIGINS, 'event_id')} END AS origin, CAST(floor(value) AS INTEGER) % 6 AS rating,
     epoch_us(ts) // 1000 AS "at", ts, event_id FROM events),
-  parts AS (SELECT p_partkey AS id, 's' || p_partkey % 10 AS shop, p_name AS name, {S._pick(S.ORIGINS, 'p_partkey')} AS origin,
+  parts AS (SELECT p_partkey AS id, 's' || (1 + p_partkey % (SELECT count(*) FROM supplier)) AS shop, p_name AS name, {S._pick(S.ORIGINS, 'p_partkey')} AS origin,
     {S._pick(S.PROCESSES, 'p_partkey')} AS process, CASE WHEN p_partkey % 9 = 0 THEN 'geisha' END AS variety,
     {S._pick(["berry", "citrus", "choco"], 'p_partkey')} AS family, p_retailprice AS yen,
     CASE WHEN p_partkey % 3 = 0 THEN 'sold' ELSE 'now' END AS status FROM part)"""
@@ -133,14 +134,14 @@ def _taste(spark, sf):
     return preference.taste_features(ratings, S.rated_items(spark, sf), S.shops(spark, sf))
 
 
-@query(with_(S.sql_shops(), SQL_TASTE, body="""SELECT "user", kind, name, round(weight, 6) AS weight, n FROM taste"""))
+@query(with_(S.sql_shops(), SQL_TASTE, body="""SELECT "user", kind, name, round(weight, 6) + 0.0::DOUBLE AS weight, n FROM taste"""))
 def taste_evidence(spark, sf):
-    return _taste(spark, sf).select("user", "kind", "name", F.round("weight", 6).alias("weight"), "n")
+    return _taste(spark, sf).select("user", "kind", "name", (F.round("weight", 6) + 0.0).alias("weight"), "n")
 
 
-@query(with_(S.sql_shops(), SQL_TASTE, body="""SELECT "user", feature, round(weight, 6) AS weight FROM vec"""))
+@query(with_(S.sql_shops(), SQL_TASTE, body="""SELECT "user", feature, round(weight, 6) + 0.0::DOUBLE AS weight FROM vec"""))
 def taste_vectors(spark, sf):
-    return preference.taste_vector(_taste(spark, sf)).select("user", "feature", F.round("weight", 6).alias("weight"))
+    return preference.taste_vector(_taste(spark, sf)).select("user", "feature", (F.round("weight", 6) + 0.0).alias("weight"))
 
 
 @query(with_(S.sql_shops(), SQL_TASTE, """tops AS (SELECT "user", kind, name FROM taste QUALIFY row_number() OVER
@@ -153,11 +154,11 @@ def taste_tops(spark, sf):
 
 @query(with_(S.sql_shops(), SQL_TASTE, SQL_ANSWERS, """b AS (SELECT "user", feature, weight FROM answers
     UNION ALL SELECT "user", feature, weight * 0.35::DOUBLE FROM answers UNION ALL SELECT "user", feature, weight * 3.5::DOUBLE FROM vec)""",
-    body="""SELECT "user", feature, round(sum(weight), 6) AS weight FROM b GROUP BY 1, 2"""))
+    body="""SELECT "user", feature, round(sum(weight), 6) + 0.0::DOUBLE AS weight FROM b GROUP BY 1, 2"""))
 def blended_weights(spark, sf):
     answers = preference.answer_weights(_answers(spark, sf))
     mixed = preference.blend(answers, answers, preference.taste_vector(_taste(spark, sf)))
-    return mixed.select("user", "feature", F.round("weight", 6).alias("weight"))
+    return mixed.select("user", "feature", (F.round("weight", 6) + 0.0).alias("weight"))
 
 
 _DOTS = " UNION ALL ".join(
@@ -187,13 +188,17 @@ SQL_SCORED = """scored AS (SELECT a."user", a.shop, a.s + coalesce(tanh(f.weight
   best AS (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY score DESC, shop) AS place FROM scored QUALIFY place <= 5)"""
 
 
-def _scored(spark, sf):
-    taste = _taste(spark, sf)
-    shops = S.shops(spark, sf)
-    profiles, tally = profile.shop_profiles(_stock(spark, sf), shops, order="seq")
+def _evidence(spark, sf):
+    """Taste vectors, shop profiles, liked shops, and the shops' tallies."""
+    taste = settle(_taste(spark, sf))
+    profiles, tally = profile.shop_profiles(_stock(spark, sf), S.shops(spark, sf), order="seq")
     liked = taste.filter(F.col("kind") == "affinity").select("user", F.col("name").alias("shop"), "weight")
-    weights = settle(preference.taste_vector(taste))
-    ranked = preference.score_shops(weights, profiles, liked, n=5, shop_blocks=preference.blocks_for(shops, 64))
+    return settle(preference.taste_vector(taste)), profiles, liked, tally
+
+
+def _scored(spark, sf):
+    weights, profiles, liked, tally = _evidence(spark, sf)
+    ranked = preference.score_shops(weights, profiles, liked, n=5)
     return settle(ranked), weights, profiles, tally
 
 
@@ -203,6 +208,40 @@ def shop_scores(spark, sf):
     return ranked.select("user", F.col("place").cast("bigint").alias("place"), "shop", F.round("score", 5).alias("score"))
 
 
+SQL_JAPAN = SQL_SCORED.replace("FROM vec v JOIN z ON v.feature = z.feature", """FROM vec v JOIN z ON v.feature = z.feature
+    WHERE z.shop IN (SELECT shop FROM shops WHERE country = 'JP')""")
+
+
+@query(with_(*BASE, SQL_TASTE, SQL_FEATURES, SQL_JAPAN, body="""SELECT "user", place, shop, round(score, 5) AS score FROM best"""))
+def shop_scores_country(spark, sf):
+    """The same among the shops of one country."""
+    weights, profiles, liked = _evidence(spark, sf)[:3]
+    ranked = preference.score_shops(weights, profiles, liked, n=5, shops=S.shops(spark, sf), country="JP")
+    return ranked.select("user", F.col("place").cast("bigint").alias("place"), "shop", F.round("score", 5).alias("score"))
+
+
+SQL_FROM_LOG = SQL_SCORED.replace("sum(v.weight * z.z)", "6 * sum(v.weight * z.z)").replace("place <= 5", "place <= 3")
+
+
+@query(with_(*BASE, SQL_TASTE, SQL_FEATURES, SQL_FROM_LOG, body="""SELECT "user", place, shop, round(score, 5) AS score FROM best"""))
+def log_only_scores(spark, sf):
+    """Three shops for users of whom only the log is known."""
+    ranked = preference.recommend_from_log(*_evidence(spark, sf)[:3])
+    return ranked.select("user", F.col("place").cast("bigint").alias("place"), "shop", F.round("score", 5).alias("score"))
+
+
+@query(with_(S.sql_shops(), SQL_TASTE, body="""SELECT "user", shop, round(sum(weight), 6) AS weight FROM (
+    SELECT "user", name AS shop, weight FROM taste WHERE kind = 'affinity'
+    UNION ALL SELECT c_custkey, 's' || (1 + c_custkey % 7), 3 FROM customer UNION ALL SELECT c_custkey, 's' || (1 + c_custkey % 14), 3 FROM customer) GROUP BY 1, 2"""))
+def clicked_affinity(spark, sf):
+    """Liking from the log, and two clicks of each customer, on one shop or on two."""
+    liked = _taste(spark, sf).filter(F.col("kind") == "affinity").select("user", F.col("name").alias("shop"), "weight")
+    key = F.col("c_custkey")
+    clicks = S.table(spark, sf, "customer").select(key.alias("user"), F.explode(F.array(key % 7, key % 14)).alias("k"))
+    pushed = preference.add_clicks(liked, clicks.select("user", F.concat(F.lit("s"), F.col("k") + 1).alias("shop")))
+    return pushed.select("user", "shop", F.round("weight", 6).alias("weight"))
+
+
 @query(with_(*BASE, SQL_TASTE, SQL_FEATURES, SQL_SCORED, """facts AS (
     SELECT shop, 0 AS p, 'africa' AS feature, 'アフリカ産が在庫の' || CAST(floor(africa / n_origin * 100 + 0.5) AS BIGINT) || '%' AS t FROM trust WHERE n_origin >= 4
     UNION ALL SELECT shop, 1, 'latam', '中南米産が在庫の' || CAST(floor(latam / n_origin * 100 + 0.5) AS BIGINT) || '%' FROM trust WHERE n_origin >= 4

@@ -100,11 +100,11 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User log: every event is a rating of some item of the part table."""
+    """User log: every event is a rating of some item of the part table, in some shop of the supplier table."""
     e = table(spark, sf_dir, "events")
-    part = F.pmod(F.col("event_id"), F.lit(200))
+    part, shop = (1 + F.pmod("event_id", F.lit(table(spark, sf_dir, name).count())) for name in ("part", "supplier"))
     return e.select(
-        F.col("user_id").alias("user"), part.alias("item_id"), F.concat(F.lit("s"), F.pmod("event_id", F.lit(12))).alias("shop"),
+        F.col("user_id").alias("user"), part.alias("item_id"), F.concat(F.lit("s"), shop).alias("shop"),
         F.when(F.col("event_id") % 5 == 0, choose(ORIGINS, F.col("event_id"))).alias("origin"),
         (F.floor("value").cast("int") % 6).alias("rating"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), "ts",
         F.col("event_id"),
@@ -115,7 +115,7 @@ def rated_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part table as the items a log refers to."""
     key = F.col("p_partkey")
     return table(spark, sf_dir, "part").select(
-        key.alias("id"), F.concat(F.lit("s"), F.pmod(key, F.lit(10))).alias("shop"), F.col("p_name").alias("name"),
+        key.alias("id"), F.concat(F.lit("s"), 1 + F.pmod(key, F.lit(table(spark, sf_dir, "supplier").count()))).alias("shop"), F.col("p_name").alias("name"),
         choose(ORIGINS, key).alias("origin"), choose(PROCESSES, key).alias("process"),
         F.when(key % 9 == 0, "geisha").alias("variety"), choose(["berry", "citrus", "choco"], key).alias("family"),
         F.col("p_retailprice").alias("amount"), F.lit("JPY").alias("cur"), F.col("p_retailprice").alias("yen"),
