@@ -20,21 +20,26 @@ def once_per_event(events: DataFrame) -> DataFrame:
     return earliest_per_key(events, ["event_id"], [F.col("ts")])
 
 
-def _ownership(checkouts: DataFrame, slice_days: float = 1) -> DataFrame:
-    """Spans in which a customer belongs to a user: (_customer, _owner, _from, _to).
+def switches(checkouts: DataFrame, slice_days: float = 1) -> DataFrame:
+    """Checkouts (user_id, ts, event_id, customer_id) that name another customer than the user's one before.
 
-    Only checkouts that name another customer than the one before start a span. Repeats are dropped
-    inside (user, time slice) first, so a user with very many checkouts is never ordered whole.
+    Repeats are dropped inside (user, time slice) first, so a user with very many checkouts is never ordered
+    whole. Switches and later checkouts together give the switches of all.
     """
     seconds = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)
-    rows = checkouts.select("user_id", "customer_id", "ts", "event_id", F.floor(seconds / (slice_days * 86400)).alias("_slice"))
+    rows = checkouts.select("user_id", "ts", "event_id", "customer_id", F.floor(seconds / (slice_days * 86400)).alias("_slice"))
 
-    def switches(df: DataFrame, *keys: str) -> DataFrame:
-        before = F.lag("customer_id").over(Window.partitionBy(*keys).orderBy("ts", "event_id"))
-        kept = df.withColumn("_before", before)
-        return kept.filter(F.col("_before").isNull() | (F.col("_before") != F.col("customer_id"))).drop("_before")
+    def changes(df: DataFrame, *keys: str) -> DataFrame:
+        order = Window.partitionBy(*keys).orderBy("ts", "event_id")
+        first, before = F.row_number().over(order) == 1, F.lag("customer_id").over(order)
+        kept = df.withColumn("_first", first).withColumn("_before", before)
+        return kept.filter(F.col("_first") | ~F.col("_before").eqNullSafe(F.col("customer_id"))).drop("_first", "_before")
 
-    starts = switches(switches(rows, "user_id", "_slice"), "user_id")
+    return changes(changes(rows, "user_id", "_slice"), "user_id").drop("_slice")
+
+
+def ownership(starts: DataFrame) -> DataFrame:
+    """Spans in which a customer belongs to a user, of ``switches``: (_customer, _owner, _from, _to)."""
     per_user = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return starts.select(
         F.col("customer_id").alias("_customer"), F.col("user_id").alias("_owner"), F.col("ts").alias("_from"),
@@ -42,14 +47,15 @@ def _ownership(checkouts: DataFrame, slice_days: float = 1) -> DataFrame:
     )
 
 
-def with_user(events: DataFrame) -> DataFrame:
+def with_user(events: DataFrame, owned: DataFrame | None = None) -> DataFrame:
     """Add the user: named by a checkout, looked up by customer for later events.
 
     A customer belongs to a user from the checkout that names it until that user's next checkout
     names another one. Events of an unknown customer, and checkouts without user, are dropped.
+    ``owned`` are the spans, if those of the events' own checkouts are not all.
     """
     checkouts = events.filter((F.col("type") == CHECKOUT) & F.col("user_id").isNotNull())
-    owned = _ownership(checkouts)
+    owned = ownership(switches(checkouts)) if owned is None else owned
     later = events.filter(F.col("type") != CHECKOUT).drop("user_id")
     match = (
         (F.col("customer_id") == F.col("_customer")) & (F.col("ts") >= F.col("_from"))
@@ -94,3 +100,17 @@ def fold_entitlements(events: DataFrame, plans_by_price: dict[str, str] | None =
         *[F.max_by(F.col(f), F.when(F.col(f).isNotNull(), when)).alias(f) for f in FIELDS],
         F.max("ts").alias("updated_at"),
     )
+
+
+def as_state(changes: DataFrame) -> DataFrame:
+    """Changed fields as rows of state: each value that is set, and when it was."""
+    when = F.struct("ts", "event_id")
+    return changes.select("user_id", *[c for f in FIELDS for c in (F.col(f), F.when(F.col(f).isNotNull(), when).alias(f"{f}_at"))],
+                          F.col("ts").alias("updated_at"))
+
+
+def fold_state(states: DataFrame) -> DataFrame:
+    """One row of state per user: of each field the value set last. States fold in any order and any grouping."""
+    return states.groupBy("user_id").agg(
+        *[c for f in FIELDS for c in (F.max_by(F.col(f), F.col(f"{f}_at")).alias(f), F.max(f"{f}_at").alias(f"{f}_at"))],
+        F.max("updated_at").alias("updated_at"))

@@ -7,7 +7,6 @@ folder no one reads.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,26 +55,6 @@ class VersionedTable:
         return version
 
 
-class BatchLog:
-    """Append-only table with one folder per batch id; a batch that is written again replaces its own rows."""
-
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-
-    def read(self, before: int | None = None) -> DataFrame:
-        """All rows, or those of batches before one."""
-        try:
-            rows = self.spark.read.schema(f"{self.schema}, batch BIGINT").parquet(self.path)
-        except AnalysisException as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            rows = self.spark.createDataFrame([], f"{self.schema}, batch BIGINT")
-        return (rows if before is None else rows.filter(F.col("batch") < before)).drop("batch")
-
-    def write(self, df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
-
-
 def append_events(events: DataFrame, path: str, batch: int | None = None) -> None:
     """Append to the event log, one folder per day so that time filters skip files.
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tallyshelf.operators import billing, digest, neighbours, pick, preference, userlog
 from tallyshelf.operators.pick import order_stats, upper_median
-from tallyshelf.sinks.tables import BatchLog, VersionedTable
 from tallyshelf.streaming import alerts, billing_stream
 
 
@@ -163,17 +162,36 @@ def test_entitlement_stream_equals_batch(spark, tmp_path):
     for i, part in enumerate((rows[:3], rows[3:5], rows[5:])):
         spark.createDataFrame(part, BILLING).coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"p={i}"))
     source = spark.readStream.schema(BILLING + ", p int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).drop("p")
-    log = BatchLog(spark, str(tmp_path / "log"), BILLING)
-    fields = "user_id string, plan string, status string, current_period_end timestamp, customer_id string, subscription_id string, updated_at timestamp"
-    table = VersionedTable(spark, str(tmp_path / "ent"), fields)
-    billing_stream.maintain_entitlements(source, log, table, str(tmp_path / "cp")).awaitTermination()
+    table = billing_stream.Entitlements(spark, str(tmp_path / "ent"), buckets=3)
+    billing_stream.maintain_entitlements(source, table, str(tmp_path / "cp")).awaitTermination()
     check_entitlements(table.read().collect())
-    assert log.read().count() == 6
-    # A batch that is tried again adds no row and no version.
-    version, last = table.version(), log.read().count()
-    table.write(table.read(), "0")
-    log.write(spark.createDataFrame(log.read(before=1).collect(), log.read().schema), 0)
-    assert (table.version(), log.read().count()) == (version, last)
+    # A batch that is tried again changes nothing.
+    before = sorted(map(str, table.read().collect()))
+    table.merge(spark.createDataFrame(rows, BILLING), 0)
+    assert sorted(map(str, table.read().collect())) == before and table.users.batch() == 2
+
+
+def test_entitlement_batches_out_of_order_equal_one_fold(spark, tmp_path):
+    """Batches that mix times, repeat events and bring checkouts after the events they own; customers change users."""
+    rnd = random.Random(12)
+    kinds = [billing.CHECKOUT, billing.PAID, billing.UPDATED, billing.DELETED]
+    rows = []
+    for k in range(160):
+        kind = rnd.choice(kinds)
+        at = dt.datetime(2024, 1, 1) + dt.timedelta(hours=rnd.randrange(500))
+        user = rnd.choice([f"u{rnd.randrange(6)}"] * 5 + [None]) if kind == billing.CHECKOUT else None
+        customer = rnd.choice([f"c{rnd.randrange(5)}"] * 6 + [None])
+        rows.append((f"e{k}", kind, at, user, customer, rnd.choice(["s1", "s2", None]), rnd.choice(["active", "past_due", None]), None,
+                     rnd.choice(["month", "year"]), rnd.choice([at, None])))
+    want = sorted(map(str, billing.fold_entitlements(spark.createDataFrame(rows, BILLING)).select(
+        "user_id", *billing.FIELDS, "updated_at").collect()))
+    rnd.shuffle(rows)
+    table = billing_stream.Entitlements(spark, str(tmp_path / "ent"), buckets=4)
+    sent = []
+    for number, part in enumerate((rows[:60], rows[60:110], rows[110:])):
+        sent += part
+        table.merge(spark.createDataFrame(part + rnd.sample(sent, 15), BILLING), number)
+    assert sorted(map(str, table.read().collect())) == want
 
 
 def test_one_message_per_batch(spark, tmp_path):
