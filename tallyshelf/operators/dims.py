@@ -134,11 +134,22 @@ def latest_rates(payloads: DataFrame, defaults: DataFrame) -> DataFrame:
     return defaults.join(live, "cur", "full_outer").select("cur", F.coalesce("live", "jpy").alias("jpy"))
 
 
+def first_prices(payloads: DataFrame, body: str = "body") -> DataFrame:
+    """First price of each landed shop payload: (shop, first_price), as text.
+
+    The price of the first product's first variant, '' where there is none, null where the payload is no JSON.
+    """
+    price = F.get_json_object(body, "$.products[0].variants[0].price")
+    readable = F.try_parse_json(body).isNotNull()
+    return payloads.select("shop", F.when(readable, F.coalesce(price, F.lit(""))).alias("first_price"))
+
+
 def presentment_currency(plain: DataFrame, localised: DataFrame, shops: DataFrame) -> DataFrame:
     """Currency of each shop's feed: (shop, currency).
 
     ``shops`` has home, presentment and configured currency. Where home and presentment differ, the
-    home currency counts only if asking for it changed the first price.
+    home currency counts only if asking for it changed the first price; a probe that is missing or
+    unreadable (null) tells nothing.
     """
     probes = plain.select("shop", F.col("first_price").alias("_plain")).join(
         localised.select("shop", F.col("first_price").alias("_asked")), "shop"

@@ -45,6 +45,18 @@ class BucketLog:
         dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(self.path)
 
 
+def first_deliveries(batch: DataFrame, ids: BucketLog, number: int) -> DataFrame:
+    """The batch's events whose id no batch before had, once each; settled, and their ids logged.
+
+    What is kept is the ids, in hash buckets on disk, so a redelivery may be of any age; a batch opens the
+    buckets its own ids fall into. One that is tried again gives the same rows.
+    """
+    once = settle(billing.once_per_event(batch))
+    fresh = settle(once.join(ids.read(once.select("event_id"), number), "event_id", "left_anti"))
+    ids.write(fresh.select("event_id"), F.col("event_id"), number)
+    return fresh
+
+
 _EVENT = ("event_id STRING, type STRING, ts TIMESTAMP, user_id STRING, customer_id STRING, subscription_id STRING, status STRING, "
           "price_id STRING, interval STRING, current_period_end TIMESTAMP")
 _AT = "STRUCT<ts: TIMESTAMP, event_id: STRING>"
@@ -81,10 +93,7 @@ class Entitlements:
         if self.users.applied(number):
             return
         with scratch(self.spark):
-            once = settle(billing.once_per_event(batch.select(*[c.split()[0] for c in _EVENT.split(", ")])))
-            ids = once.select("event_id")
-            fresh = settle(once.join(self.ids.read(ids, number), "event_id", "left_anti"))
-            self.ids.write(fresh.select("event_id"), F.col("event_id"), number)
+            fresh = first_deliveries(batch.select(*[c.split()[0] for c in _EVENT.split(", ")]), self.ids, number)
             self.log.write(fresh, _name(), number)
             self._merge(fresh, number, plans_by_price)
 

@@ -13,7 +13,8 @@ from tallyshelf.functions import flavour, price, rules
 from tallyshelf.functions.classify import process_class
 from tallyshelf.operators import catalogue, dims, pages, profile
 from tallyshelf.plans.publish import locate
-from tallyshelf.session import ensure_checkpoint_dir
+from tallyshelf.session import ensure_checkpoint_dir, settle
+from tallyshelf.sources import dims as dim_sources
 from workload import standins as S
 from workload.registry import query, with_
 
@@ -263,18 +264,66 @@ def latest_rates(spark, sf):
     return rates.select("cur", F.round("jpy", 9).alias("jpy"))
 
 
-@query("""SELECT c_custkey AS shop, CASE WHEN c_custkey % 3 = 0 THEN CASE WHEN c_custkey % 2 = 0 THEN 'JPY' ELSE 'USD' END
-    WHEN c_custkey % 3 = 1 THEN 'JPY' WHEN c_custkey % 5 = 0 THEN 'EUR' ELSE 'USD' END AS currency FROM customer""")
+@query("""WITH s AS (SELECT c_custkey AS shop, round(c_acctbal, 2) AS balance, CASE WHEN c_custkey % 3 <> 2 THEN 'JPY' ELSE '' END AS home,
+    CASE WHEN c_custkey % 3 = 0 OR (c_custkey % 3 = 2 AND c_custkey % 5 <> 0) THEN 'USD' ELSE '' END AS shown FROM customer),
+  t AS (SELECT *, shop % 2 = 0 AND shop % 11 <> 0 AND shop % 13 <> 0 AND shop % 17 <> 0 AND balance <> round(balance * 150, 2) AS took FROM s)
+  SELECT shop, CASE WHEN home <> '' AND shown <> '' AND home <> shown THEN CASE WHEN took THEN home ELSE shown END
+    WHEN home <> '' THEN home WHEN shown <> '' THEN shown ELSE 'EUR' END AS currency FROM t""")
 def presentment_currency(spark, sf):
-    key = F.col("c_custkey")
-    base = S.table(spark, sf, "customer").select(key.alias("shop"))
+    """Payloads of every customer as a shop: some ignore the asked currency, some are cut off, empty or missing."""
     s = F.col("shop")
+    base = S.table(spark, sf, "customer").select(F.col("c_custkey").alias("shop"), F.col("c_acctbal").alias("balance"))
     shops = base.select("shop", F.when(s % 3 != 2, "JPY").otherwise("").alias("home"),
                         F.when((s % 3 == 0) | ((s % 3 == 2) & (s % 5 != 0)), "USD").otherwise("").alias("presentment"),
                         F.lit("EUR").alias("configured"))
-    plain = base.select("shop", F.lit("11.00").alias("first_price"))
-    asked = base.select("shop", F.when(s % 2 == 0, "1690").otherwise("11.00").alias("first_price"))
-    return dims.presentment_currency(plain, asked, shops)
+
+    def payload(price):
+        variant = F.struct(F.format_string("%.2f", price).alias("price"))
+        goods = F.array(F.struct(F.lit("p").alias("handle"), F.array(variant, F.struct(F.lit("7").alias("price"))).alias("variants")))
+        text = F.to_json(F.struct(F.when(s % 13 == 0, F.slice(goods, 1, 0)).otherwise(goods).alias("products")))
+        return F.when(s % 11 == 0, F.substring(text, 1, 20)).otherwise(text).alias("body")
+
+    plain = base.select("shop", payload(F.round("balance", 2)))
+    asked = base.filter(s % 17 != 0).select("shop", payload(F.when(s % 2 == 0, F.round(F.col("balance") * 150, 2)).otherwise(F.round("balance", 2))))
+    return dims.presentment_currency(dims.first_prices(plain), dims.first_prices(asked), shops)
+
+
+SQL_UNITS = f"""units AS (SELECT {S._pick(S.CURRENCIES, 's_nationkey')} AS cur, count(*) / 1000.0::DOUBLE AS units FROM supplier GROUP BY 1)"""
+
+
+@query(f"""WITH {SQL_UNITS} SELECT cur, round(CASE WHEN cur IN ('USD', 'EUR', 'NOK', 'GBP', 'KRW') THEN 1 / units ELSE 7.0 END, 9) AS jpy,
+  CASE WHEN cur IN ('USD', 'EUR', 'NOK', 'GBP', 'KRW') THEN '2024-02-02' ELSE '' END AS rate_date FROM units""")
+def live_rates(spark, sf):
+    """Payload texts of three sources: one cut off, one without a rate above zero, one with rates by supplier counts."""
+    units = S.table(spark, sf, "supplier").groupBy(S.choose(S.CURRENCIES, F.col("s_nationkey")).alias("cur")).agg((F.count(F.lit(1)) / 1000).alias("u"))
+    rates = F.map_from_entries(F.collect_list(F.struct("cur", "u")))
+    good = units.agg(F.to_json(F.struct(F.lit("Fri, 02 Feb 2024 00:00:01 +0000").alias("time_last_update_utc"), rates.alias("rates"))).alias("value"))
+    broken = units.agg(F.substring(F.to_json(F.struct(rates.alias("rates"))), 1, 25).alias("value"))
+    zero = units.agg(F.to_json(F.struct(F.lit("2024-02-01").alias("date"), F.transform_values(rates, lambda k, v: -v).alias("rates"))).alias("value"))
+    texts = [t.select(F.lit(i).alias("priority"), "value") for i, t in enumerate((broken, zero, good))]
+    payloads = settle(dim_sources.rate_payloads(texts[0].unionAll(texts[1]).unionAll(texts[2])))
+    rates = dims.latest_rates(payloads, units.select("cur", F.lit(7.0).alias("jpy")))
+    live = payloads.filter(F.exists(F.map_values("rates"), lambda v: v > 0)).select(F.explode(F.map_keys("rates")).alias("cur"), "rate_date")
+    live = live.filter(F.col("cur").isin(rules.LIVE_RATE_CURRENCIES))
+    return rates.join(live, "cur", "left").select("cur", F.round("jpy", 9).alias("jpy"), F.coalesce(F.col("rate_date").cast("string"), F.lit("")).alias("rate_date"))
+
+
+def _in_place(rows, n):
+    """The first rows of an ordered listing, numbered as they come."""
+    return rows.limit(n).withColumn("place", F.monotonically_increasing_id() + 1)
+
+
+SQL_WASHED = "washed AS (SELECT i.id, i.p100, i.updated_at FROM items i JOIN shops s USING (shop) WHERE i.status = 'now' AND s.url <> '' AND i.process_class = 'washed')"
+
+
+@query(with_(*BASE, SQL_WASHED, body="""SELECT id, row_number() OVER (ORDER BY updated_at DESC NULLS LAST, id DESC) AS place FROM washed QUALIFY place <= 500"""))
+def process_newest(spark, sf):
+    return _in_place(catalogue.process_listing(priced(spark, sf), S.shops(spark, sf), "washed", by_price=False), 500).select("id", "place")
+
+
+@query(with_(*BASE, SQL_WASHED, body="""SELECT id, row_number() OVER (ORDER BY p100 NULLS LAST, id) AS place FROM washed QUALIFY place <= 500"""))
+def process_cheapest(spark, sf):
+    return _in_place(catalogue.process_listing(priced(spark, sf), S.shops(spark, sf), "washed"), 500).select("id", "place")
 
 
 @query(with_(*BASE, S.SQL_BUYABLE, body="SELECT process_class, count(DISTINCT origin) AS n_origins FROM buyable GROUP BY 1"))

@@ -15,7 +15,7 @@ from tallyshelf.sources import dims as dim_sources
 from tallyshelf.sources import feeds
 from tallyshelf.streaming import alerts, billing_stream, diff_stream
 from workload import standins as S
-from workload.feeds import SQL_GOODS, _as_stream, _goods, _packed, _run_folder
+from workload.feeds import SQL_GOODS, _goods, _packed, _run_folder
 from workload.people import SQL_BILLING, SQL_LOG, billing_events
 from workload.registry import query, with_
 from workload.tracking import SQL_EVENTS, SQL_ITEM_OF, SQL_STATE, _diff, _named
@@ -103,20 +103,23 @@ def entitlement_stream(spark, sf):
     return out.select(*[F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else F.col(c) for c, t in out.dtypes])
 
 
-@query(with_(SQL_EVENTS, SQL_ITEM_OF, """picked AS (SELECT *, type = 'new' AS rare FROM named
+@query(with_(SQL_EVENTS, SQL_ITEM_OF, """picked AS (SELECT *, (day(ts) // 8)::BIGINT AS batch, type = 'new' AS rare FROM named
     WHERE type = 'restock' OR (type = 'new' AND regexp_matches(title, '(?i)\\bgeisha\\b|cup of excellence'))),
-  s AS (SELECT count(*) FILTER (NOT rare) AS a, count(*) FILTER (rare) AS b, arg_max(title || ' — ' || shop, (ts, -key)) FILTER (rare) AS rb FROM picked)""",
-             body="""SELECT concat_ws('・', '再入荷 ' || a || '件', '新着レアロット ' || b || '件') AS title, rb || ' ほか' AS body,
-  '?v=geisha' AS url, 'digest' AS tag FROM s"""))
+  s AS (SELECT batch, count(*) FILTER (NOT rare) AS a, count(*) FILTER (rare) AS b, arg_max(title || ' — ' || shop, (ts, -key)) FILTER (NOT rare) AS ra,
+    arg_max(oos_hours, (ts, -key)) FILTER (NOT rare) AS h, arg_max(title || ' — ' || shop, (ts, -key)) FILTER (rare) AS rb FROM picked GROUP BY batch)""",
+             body="""SELECT batch, CASE WHEN a = 1 AND b = 0 THEN '再入荷しました' WHEN b = 1 AND a = 0 THEN 'レアロットが入りました'
+      ELSE concat_ws('・', CASE WHEN a > 0 THEN '再入荷 ' || a || '件' END, CASE WHEN b > 0 THEN '新着レアロット ' || b || '件' END) END AS title,
+    CASE WHEN a = 1 AND b = 0 THEN ra || '（約' || CAST(round_even(h / 24, 0) AS BIGINT) || '日ぶり）' WHEN b = 1 AND a = 0 THEN rb ELSE coalesce(rb, ra) || ' ほか' END AS body,
+    CASE WHEN b > 0 THEN '?v=geisha' ELSE '?v=zukan' END AS url, CASE WHEN a = 1 AND b = 0 THEN 'restock' WHEN b = 1 AND a = 0 THEN 'rare' ELSE 'digest' END AS tag FROM s"""))
 def digest_stream(spark, sf):
-    """One message for the one batch of the stream; the batch is sent through twice."""
+    """One message for each batch of eight days; every batch is sent through twice."""
     folder = _run_folder(spark)
-    events = _events(spark, sf)
-    products = _named(_diff(spark, sf)).select(F.col("key").cast("string").alias("key"), "title", "shop").distinct()
-    source = _as_stream(spark, events.coalesce(1), folder)
-    for attempt in range(2):
-        alerts.digest_per_batch(source, products, f"{folder}/out", f"{folder}/cp{attempt}").awaitTermination()
-    return spark.read.parquet(f"{folder}/out").drop("batch")
+    events = settle(_events(spark, sf))
+    products = settle(_named(_diff(spark, sf)).select(F.col("key").cast("string").alias("key"), "title", "shop").distinct())
+    for number in range(4):
+        for _ in range(2):
+            alerts.write_digest(events.filter(F.floor(F.dayofmonth("ts") / 8) == number), products, f"{folder}/out", number)
+    return spark.read.parquet(f"{folder}/out").withColumn("batch", F.col("batch").cast("bigint"))
 
 
 @query(with_(SQL_EVENTS, body="""SELECT d.key, d.ts, c.c_custkey AS "user" FROM diff d JOIN customer c ON c.c_nationkey = d.key % 25 WHERE d.type = 'restock'"""))
@@ -237,13 +240,16 @@ def entity_titles(spark, sf):
     return S.table(spark, sf, "part").select("p_partkey", fix_entities(title).alias("title"))
 
 
-@query("SELECT n_name || '|' || CASE WHEN n_nationkey % 2 = 0 THEN 'JP' ELSE 'US' END AS city_key, CASE WHEN n_nationkey % 3 <> 0 THEN n_nationkey * 7.0 END::DOUBLE AS lon FROM nation")
+@query("SELECT 'city ' || c_custkey || '|' || CASE WHEN c_custkey % 2 = 0 THEN 'JP' ELSE 'US' END AS city_key, CASE WHEN c_custkey % 3 <> 0 THEN c_custkey * 0.5 END::DOUBLE AS lon FROM customer")
 def cached_cities(spark, sf):
-    """The cache written as a file, with one that is missing beside it."""
-    key = F.concat("n_name", F.lit("|"), F.when(F.col("n_nationkey") % 2 == 0, "JP").otherwise("US"))
-    point = F.when(F.col("n_nationkey") % 3 != 0, F.array(F.col("n_nationkey") * 7.0, F.lit(1.0)))
+    """Every customer's place, cached in files by hash, with a file that is missing beside them."""
+    key = F.concat(F.lit("city "), "c_custkey", F.lit("|"), F.when(F.col("c_custkey") % 2 == 0, "JP").otherwise("US"))
+    point = F.when(F.col("c_custkey") % 3 != 0, F.array(F.col("c_custkey") * 0.5, F.lit(1.0)))
+    rows = S.table(spark, sf, "customer")
+    files = max(1, rows.count() // 200)
     text = F.to_json(F.map_from_entries(F.collect_list(F.struct(key, point))), {"ignoreNullFields": "false"})
     path = _run_folder(spark)
-    S.table(spark, sf, "nation").agg(text.alias("value")).write.text(f"{path}/cache")
+    packed = rows.groupBy(F.pmod(F.xxhash64("c_custkey"), F.lit(files)).alias("file")).agg(text.alias("value"))
+    packed.repartition("file").write.partitionBy("file").text(f"{path}/cache")
     found = dim_sources.read_city_cache(spark, f"{path}/cache").unionAll(dim_sources.read_city_cache(spark, f"{path}/none"))
     return found.select("city_key", "lon")

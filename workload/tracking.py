@@ -181,6 +181,23 @@ def site_listing(spark, sf):
     return rows.select("key", "shop", "title", "per100")
 
 
+@query(with_(SQL_PRODUCTS, body="""SELECT key, per100, row_number() OVER (ORDER BY coalesce(per100, -1) DESC, key) AS place FROM products
+  WHERE available AND origin = 'エチオピア' QUALIFY place <= 200"""))
+def site_pricey(spark, sf):
+    """Dearest first, those without a price last, ties by key; numbered as they come."""
+    products = _products(spark, sf)
+    rows = catalogue.site_rows(products, products, "all", origin="エチオピア", sort="pricey")
+    return rows.withColumn("place", F.monotonically_increasing_id() + 1).select("key", "per100", "place")
+
+
+@query(with_(SQL_EVENTS, body="""SELECT key, oos_hours, row_number() OVER (ORDER BY ts DESC, key) AS place FROM diff WHERE type = 'restock' QUALIFY place <= 200"""))
+def site_newest(spark, sf):
+    """The newest restocks, numbered as they come."""
+    events = _diff(spark, sf)
+    rows = catalogue.site_rows(events, events, "restock", sort="newest")
+    return rows.withColumn("place", F.monotonically_increasing_id() + 1).select("key", "oos_hours", "place")
+
+
 @query(with_(SQL_PRODUCTS, body="""SELECT DISTINCT 'shop' AS field, shop AS value FROM products
   UNION SELECT 'origin', origin FROM products WHERE origin <> ''"""))
 def filter_values(spark, sf):
