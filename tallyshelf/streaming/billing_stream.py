@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyshelf.operators import billing
 from tallyshelf.session import scratch, settle
-from tallyshelf.sinks.buckets import BucketTable
+from tallyshelf.sinks.buckets import BucketLog, BucketTable
 
 
 def deduplicated(events: DataFrame, delay: str = "7 days") -> DataFrame:
@@ -16,35 +15,6 @@ def deduplicated(events: DataFrame, delay: str = "7 days") -> DataFrame:
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
-class BucketLog:
-    """Append-only rows in hash buckets of a name, one folder per bucket and batch.
-
-    A batch that is tried again replaces its own folders; readers name the buckets they want, and no other is
-    opened.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, schema: str, buckets: int = 64):
-        self.spark, self.path, self.schema, self.buckets = spark, path.rstrip("/"), schema, buckets
-
-    def bucket(self, name: Column) -> Column:
-        return F.pmod(F.xxhash64(name), F.lit(self.buckets)).cast("int")
-
-    def read(self, names: DataFrame, before: int) -> DataFrame:
-        """Rows of batches before one, out of the buckets that the names (one column) fall into."""
-        try:
-            rows = self.spark.read.schema(f"{self.schema}, bucket INT, batch BIGINT").parquet(self.path)
-        except AnalysisException as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            return self.spark.createDataFrame([], self.schema)
-        wanted = [r[0] for r in names.select(self.bucket(F.col(names.columns[0]))).distinct().collect()]
-        return rows.filter(F.col("bucket").isin(wanted) & (F.col("batch") < before)).drop("bucket", "batch")
-
-    def write(self, rows: DataFrame, name: Column, batch: int) -> None:
-        dealt = rows.withColumn("bucket", self.bucket(name)).withColumn("batch", F.lit(batch).cast("bigint")).hint("rebalance", "bucket")
-        dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(self.path)
-
-
 def first_deliveries(batch: DataFrame, ids: BucketLog, number: int) -> DataFrame:
     """The batch's events whose id no batch before had, once each; settled, and their ids logged.
 

@@ -208,3 +208,33 @@ def test_alerts_once_per_user(spark):
     events = spark.createDataFrame([("k", "restock", 1), ("k", "restock", 1), ("k", "new", 2), ("x", "restock", 3)], "key string, type string, ts int")
     watches = spark.createDataFrame([("u1", "k"), ("u2", "k")], "user string, key string")
     assert sorted(r.user for r in alerts.restock_alerts(events, watches).collect()) == ["u1", "u2"]
+
+
+def test_alerts_on_a_stream(spark, tmp_path):
+    """A restock that is delivered in two batches alerts each watcher once."""
+    ddl = "key string, type string, ts timestamp"
+    rows = [("k", "restock", dt.datetime(2024, 1, 2)), ("k", "new", dt.datetime(2024, 1, 2)), ("x", "restock", dt.datetime(2024, 1, 2))]
+    for i, part in enumerate((rows, rows[:1] + [("k", "restock", dt.datetime(2024, 1, 3))])):
+        spark.createDataFrame(part, ddl).coalesce(1).write.parquet(str(tmp_path / "in" / f"p={i}"))
+    source = spark.readStream.schema(ddl + ", p int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    watches = spark.createDataFrame([("u1", "k"), ("u2", "k")], "user string, key string")
+    run = alerts.restock_alerts(source, watches).writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+        "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).select("user", F.dayofmonth("ts")).collect()
+    assert sorted(map(tuple, got)) == [("u1", 2), ("u1", 3), ("u2", 2), ("u2", 3)]
+
+
+def test_alerts_while_watches_change(spark, tmp_path):
+    at = lambda d: dt.datetime(2024, 1, d)
+    box = alerts.RestockAlerts(spark, str(tmp_path / "a"), buckets=2)
+    r = lambda *days: spark.createDataFrame([("k", at(d)) for d in days], "key string, ts timestamp")
+    t = lambda *rows: spark.createDataFrame([(u, "k", at(d)) for u, d in rows], "user string, key string, at timestamp")
+    sent = lambda: sorted((x.user, x.ts.day) for x in box.read().collect())
+    box.merge(0, r(5), t(("u", 1), ("v", 6)))
+    assert sent() == [("u", 5)]
+    box.merge(1, r(5, 7), t(("u", 6), ("u", 1)))  # u goes off before 7, v is on since 6
+    assert sent() == [("u", 5), ("v", 7)]
+    for _ in range(2):
+        box.merge(2, r(), t(("w", 2)))  # late, and tried again
+        assert sent() == [("u", 5), ("v", 7), ("w", 5), ("w", 7)]

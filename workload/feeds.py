@@ -13,7 +13,7 @@ from tallyshelf.functions import text as X
 from tallyshelf.operators import dims
 from tallyshelf.operators.pick import latest_per_key
 from tallyshelf.session import settle
-from tallyshelf.sinks.buckets import BucketTable
+from tallyshelf.sinks.buckets import BucketLog, BucketTable
 from tallyshelf.sinks.tables import read_events
 from tallyshelf.sources import articles, feeds, sitemaps
 from tallyshelf.sources import dims as dim_sources
@@ -294,7 +294,7 @@ def events_once(spark, sf):
 
     folder = _run_folder(spark)
     rows = settle(billing_events(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")).select("event_id", "type", "ts"))
-    ids = billing_stream.BucketLog(spark, f"{folder}/ids", "event_id STRING")
+    ids = BucketLog(spark, f"{folder}/ids", "event_id STRING")
     at = F.pmod(F.xxhash64("event_id"), F.lit(3))
     again = F.substring("event_id", 2, 20).cast("bigint") % 3 == 0
     for number in range(3):

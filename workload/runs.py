@@ -132,6 +132,25 @@ def restock_alerts(spark, sf):
     return alerts.restock_alerts(events.unionAll(events), watches).select("key", "ts", "user")
 
 
+@query(with_(SQL_EVENTS, """w AS (SELECT c_custkey AS c, k.key FROM customer JOIN (SELECT DISTINCT key FROM snap) k ON k.key % 25 = c_nationkey)""",
+             body="""SELECT d.key::VARCHAR AS key, d.ts, w.c::VARCHAR AS "user" FROM diff d JOIN w ON w.key = d.key WHERE d.type = 'restock'
+  AND d.ts >= TIMESTAMP '2024-01-02' AND (w.c % 2 = 1 OR d.ts < TIMESTAMP '2024-01-20')"""))
+def changing_watches(spark, sf):
+    """Watches go on, and half of them off again; a third of the customers' toggles come last, and restocks come twice."""
+    alerts_ = alerts.RestockAlerts(spark, f"{_run_folder(spark)}/alerts", buckets=8)
+    restocks = settle(_events(spark, sf).filter("type = 'restock'").select("key", "ts"))
+    keys = S.snapshots(spark, sf).select(F.col("key").cast("string").alias("key"), F.pmod("key", F.lit(25)).cast("bigint").alias("n")).distinct()
+    pairs = S.table(spark, sf, "customer").select(F.col("c_custkey").alias("user"), F.col("c_nationkey").cast("bigint").alias("n")).join(keys, "n")
+    on, off = F.lit("2024-01-02").cast("timestamp"), F.lit("2024-01-20").cast("timestamp")
+    times = F.when(F.col("user") % 2 == 0, F.array(on, off)).otherwise(F.array(on))
+    toggles = settle(pairs.select("user", "key", F.explode(times).alias("at")))
+    late, early = F.col("user") % 3 == 0, F.col("ts") < F.lit("2024-01-12").cast("timestamp")
+    alerts_.merge(0, restocks.filter(early), toggles.filter(~late))
+    alerts_.merge(1, restocks, toggles.filter(~late & (F.col("user") % 5 == 0)))
+    alerts_.merge(2, restocks.filter("false"), toggles.filter(late))
+    return alerts_.read().withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 @query(with_(SQL_GOODS, body="""SELECT shop || '::p' || k AS key, title, price, CASE WHEN size % 3 = 0 THEN 0 ELSE size * 10 END AS grams,
     CASE WHEN size % 3 <> 0 THEN printf('%.2f', price / (size * 10) * 100)::DOUBLE ELSE -1 END AS per100, size % 2 = 0 AS available, origin, process, notes FROM known"""))
 def snapshot_files(spark, sf):
