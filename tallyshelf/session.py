@@ -69,6 +69,12 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_later(path: str) -> str:
+    """Let ``drop_settled`` delete a folder too."""
+    _SETTLED.append(path)
+    return path
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Delete what is settled inside the block at its end; for work whose results are written by then."""

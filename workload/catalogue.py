@@ -13,7 +13,7 @@ from tallyshelf.functions import flavour, price, rules
 from tallyshelf.functions.classify import process_class
 from tallyshelf.operators import catalogue, dims, pages, profile
 from tallyshelf.plans.publish import locate
-from tallyshelf.session import ensure_checkpoint_dir, settle
+from tallyshelf.session import delete_later, ensure_checkpoint_dir, settle
 from tallyshelf.sources import dims as dim_sources
 from workload import standins as S
 from workload.registry import query, with_
@@ -73,7 +73,7 @@ def oldest_page(spark, sf):
   WHERE n // 100 = least(page, (total - 1) // 100)"""))
 def listing_pages(spark, sf):
     """The whole listing written in order, and pages of it read by number; one past the end is the last."""
-    path = f"{posixpath.join(ensure_checkpoint_dir(spark), 'pages-' + uuid.uuid4().hex)}"
+    path = delete_later(posixpath.join(ensure_checkpoint_dir(spark), f"pages-{uuid.uuid4().hex}"))
     pages.write_pages(priced(spark, sf).select("id", "seq", "p100"), catalogue.by_unit_price(True, tie=("seq", "id")), path, file_rows=20_000)
     listing = pages.Pages(spark, path, 100)
     found = [listing.read(n).select(F.lit(n).alias("page"), F.monotonically_increasing_id().alias("place"), "id") for n in (0, 7, 40, 1_000_000)]

@@ -267,8 +267,8 @@ def excerpts(spark, sf):
 # --- streams -----------------------------------------------------------------------------------------
 
 def _run_folder(spark) -> str:
-    """A new folder for one run beside the session's checkpoints."""
-    return posixpath.join(session.ensure_checkpoint_dir(spark), f"run-{uuid.uuid4().hex}")
+    """A new folder for one run beside the session's checkpoints, deleted with what was settled."""
+    return session.delete_later(posixpath.join(session.ensure_checkpoint_dir(spark), f"run-{uuid.uuid4().hex}"))
 
 
 def _as_stream(spark, table, folder):
