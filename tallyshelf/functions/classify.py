@@ -24,11 +24,6 @@ DEFAULT_WHOLESALE = r"wholesale|卸売?|業務用|バルク|\bbulk\b|カート
 AWARD_EXEMPT = r"cup of excellence|\bcoe\b"
 
 
-def any_of(patterns: Sequence[str], flags: str = "(?iU)") -> str:
-    """One alternation out of many patterns."""
-    return flags + "|".join(f"(?:{p})" for p in patterns)
-
-
 def ascii_boundaries(pattern: str) -> str:
     """Rewrite ``\\b`` to a boundary of ASCII words, next to which other scripts do not count.
 

@@ -238,3 +238,14 @@ def test_alerts_while_watches_change(spark, tmp_path):
     for _ in range(2):
         box.merge(2, r(), t(("w", 2)))  # late, and tried again
         assert sent() == [("u", 5), ("v", 7), ("w", 5), ("w", 7)]
+
+
+def test_redeliveries_within_the_watermark(spark, tmp_path):
+    rows = [("e1", dt.datetime(2024, 1, 1)), ("e1", dt.datetime(2024, 1, 2)), ("e2", dt.datetime(2024, 1, 2))]
+    for i, part in enumerate((rows, [("e2", dt.datetime(2024, 1, 3)), ("e3", dt.datetime(2024, 1, 3))])):
+        spark.createDataFrame(part, "event_id string, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in" / f"p={i}"))
+    source = spark.readStream.schema("event_id string, ts timestamp, p int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    run = billing_stream.deduplicated(source.drop("p")).writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+        "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["e1", "e2", "e3"]
