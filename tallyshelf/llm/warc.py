@@ -2,8 +2,8 @@
 
 A leaf is the hash of one record's stored bytes at its offset. Leaves are gathered by ranges of offsets,
 ranges by FANOUT into wider ones up to one root per file, files by their name's hash into buckets, and
-these into the root of the replica. An audit compares roots and goes down only where two nodes differ, so
-intact branches are not read. The offsets are those of the manifest written with the files, so a damaged
+these into the root of the replica. An audit compares roots and goes down only where two nodes differ: a semi
+join leaves the nodes of intact branches out of the comparison of the next level. The offsets are those of the manifest written with the files, so a damaged
 record is still found where it stands.
 """
 
