@@ -13,7 +13,7 @@ from tallyshelf.sinks import tables
 from tallyshelf.sinks.buckets import BucketTable
 from tallyshelf.sources import dims as dim_sources
 from tallyshelf.sources import feeds
-from tallyshelf.streaming import alerts, billing_stream, diff_stream
+from tallyshelf.streaming import alerts, billing_stream, diff_stream, keyed_stream
 from workload import standins as S
 from workload.feeds import SQL_GOODS, _goods, _packed, _run_folder
 from workload.people import SQL_BILLING, SQL_LOG, billing_events
@@ -78,6 +78,33 @@ def late_snapshots(spark, sf):
     return late.select(F.lit("late").alias("kind"), "key", "n").unionAll(events)
 
 
+@query(with_(SQL_EVENTS, """runs AS (SELECT key, available, changed, lead(changed) OVER (PARTITION BY key ORDER BY ts) AS next FROM marked WHERE changed IS NOT NULL)""",
+             body="""SELECT key::VARCHAR AS key, type, ts, oos_hours, NULL::BIGINT AS n FROM diff
+  UNION ALL SELECT key::VARCHAR, 'archive', changed + INTERVAL 36 HOUR, NULL, NULL FROM runs
+    WHERE NOT available AND epoch_us(coalesce(next, TIMESTAMP '2024-03-15')) - epoch_us(changed) >= 36 * 3600 * 1000000::BIGINT
+  UNION ALL SELECT NULL, 'late', NULL, NULL, count(*) FROM snap WHERE key % 3 = 0 AND day(ts) < 5"""))
+def keyed_stock_stream(spark, sf):
+    """Three runs of one stream out of one checkpoint. Half the rows of a run's last day come with the next run, the last run
+    brings old rows again, which count as late, and a row that only moves time on."""
+    folder = _run_folder(spark)
+    rows = settle(_observations(spark, sf).withColumn("at", F.floor((F.dayofmonth("ts") + F.pmod(F.xxhash64("key", "ts"), F.lit(2))) / 11)))
+    again = rows.filter((F.dayofmonth("ts") < 5) & (F.col("key").cast("bigint") % 3 == 0)).withColumn("at", F.lit(2))
+    beat = spark.range(1).select(F.lit(None).cast("string").alias("key"), F.lit("2024-03-15").cast("timestamp").alias("ts"),
+                                 F.lit(None).cast("boolean").alias("available"), F.lit(2).alias("at"))
+    sent, late = rows.unionByName(again).unionByName(beat), 0
+    for number in range(3):
+        sent.filter(F.col("at") == number).drop("at").write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema("key string, ts timestamp, available boolean").parquet(f"{folder}/in")
+        run = keyed_stream.start_keyed(keyed_stream.keyed_events(stream, "2 days", archive_days=1.5, slot_hours=24), f"{folder}/out", f"{folder}/cp")
+        run.awaitTermination()
+        late += keyed_stream.dropped_late(run)
+    events = spark.read.schema(keyed_stream.EVENTS).parquet(f"{folder}/out").select(
+        "key", "type", F.col("ts").cast("timestamp_ntz").alias("ts"), "oos_hours", F.lit(None).cast("bigint").alias("n"))
+    counted = spark.range(1).select(F.lit(None).cast("string").alias("key"), F.lit("late").alias("type"), F.lit(None).cast("timestamp_ntz").alias("ts"),
+                                    F.lit(None).cast("double").alias("oos_hours"), F.lit(late).cast("bigint").alias("n"))
+    return events.unionByName(counted)
+
+
 @query(with_(SQL_EVENTS, SQL_STATE, body="""SELECT key::VARCHAR AS key, available, last_seen,
   row_number() OVER (ORDER BY last_seen DESC, key::VARCHAR) AS nth FROM state"""))
 def state_newest_first(spark, sf):
