@@ -10,6 +10,7 @@ from tallyshelf.functions import text as X
 from tallyshelf.functions.classify import skipped_type
 from tallyshelf.functions.price import per100
 from tallyshelf.functions.rounding import round_even
+from tallyshelf.sources import xml_files
 
 
 def _empty(*names: str) -> list[Column]:
@@ -132,15 +133,40 @@ def normalise_atom(landed: DataFrame) -> DataFrame:
         .withColumn("title", X.strip(X.unescape_html(X.strip_tags(F.regexp_extract("e", r"(?s)<title>(.*?)</title>", 1)))))
         .withColumn("summary", X.unescape_html(F.regexp_extract("e", r"(?is)<summary[^>]*>(.*?)</summary>", 1)))
         .withColumn("link", F.coalesce(_first(F.col("e"), r'<link[^>]*href="([^"]+)"'), F.col("base")))
-        .withColumn("price", F.coalesce(
-            F.regexp_extract("e", r"<s:price[^>]*>([\d.]+)</s:price>", 1).try_cast("double"), F.lit(0.0)))
-        .withColumn("grams", X.grams_from_text(F.col("title")))
+        .withColumn("price", F.regexp_extract("e", r"<s:price[^>]*>([\d.]+)</s:price>", 1))
+        .withColumn("priced_in", _first(F.col("e"), r'<s:price[^>]*currency="([^"]+)"'))
     )
+    return _atom_products(rows)
+
+
+ATOM_ENTRY = ("title struct<_VALUE: string, _type: string>, summary struct<_VALUE: string, _type: string>, "
+              "link array<struct<_href: string>>, `s:price` struct<_VALUE: string, _currency: string>")
+
+
+def read_atom(spark: SparkSession, path: str, shops: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(products, broken entries) of Atom files in folders by shop (``shop=.../``), read entry by entry.
+
+    ``shops`` has shop, country, url and currency, one row each; entries of other shops are left out. Broken are
+    entries that are no XML: (shop, file, block, nth, element). Rules are those of ``normalise_atom``.
+    """
+    entries, broken = xml_files.parse_elements(xml_files.read_elements(spark, path, "entry"), ATOM_ENTRY)
+    landed = shops.select("shop", "country", "currency", F.regexp_replace("url", "/+$", "").alias("base"))
+    link = F.get(F.filter("x.link", lambda l: F.coalesce(l["_href"], F.lit("")) != ""), 0)["_href"]
+    rows = entries.filter("x.title IS NOT NULL").join(landed, "shop").select(
+        "shop", "country", "currency", "base", F.col("element").alias("e"),
+        X.strip(X.strip_tags(xml_files.text_of(F.col("x.title._VALUE")))).alias("title"),
+        xml_files.text_of(F.col("x.summary._VALUE")).alias("summary"), F.coalesce(link, "base").alias("link"),
+        F.col("x")["s:price"]["_VALUE"].alias("price"), F.nullif(F.col("x")["s:price"]["_currency"], F.lit("")).alias("priced_in"))
+    return _atom_products(rows), broken
+
+
+def _atom_products(rows: DataFrame) -> DataFrame:
+    """Products of entries with their source text ``e`` and what was read from it."""
+    rows = rows.withColumn("price", F.coalesce(F.col("price").try_cast("double"), F.lit(0.0))).withColumn("grams", X.grams_from_text(F.col("title")))
     return _finish(rows.select(
         F.concat_ws("::", "shop", F.regexp_extract("link", r"([^/]*)$", 1)).alias("key"), "shop", "country", "title",
         F.col("link").alias("url"), F.regexp_extract("e", r'<img src="([^"]+)"', 1).alias("image"), "price",
-        F.coalesce(_first(F.col("e"), r'<s:price[^>]*currency="([^"]+)"'), "currency", F.lit("")).alias("currency"),
-        "grams", per100(F.col("price"), F.col("grams")).alias("per100"), F.lit(True).alias("available"),
+        F.coalesce("priced_in", "currency", F.lit("")).alias("currency"), "grams", per100(F.col("price"), F.col("grams")).alias("per100"), F.lit(True).alias("available"),
         F.concat_ws(" ", "title", X.strip_tags(F.col("e"), " ")).alias("text"),
         F.col("title").alias("tags"), X.html_lines(F.col("summary")).alias("lines"),
     ))

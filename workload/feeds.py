@@ -107,6 +107,37 @@ def atom_feed(spark, sf):
     return _shown(feeds.normalise_atom(landed))
 
 
+def _atom_files(spark, sf):
+    """A folder of Atom files by shop. Of the entries some have a bare ampersand, some are never closed; the title names HTML's references."""
+    escaped = F.replace(F.replace(F.replace("body", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    price = F.when(F.col("size") % 4 == 0, "").otherwise(F.concat(F.lit('<s:price currency="EUR">'), "price", F.lit("</s:price>")))
+    title = F.concat(F.lit("<title>"), "title", F.when(F.col("k") % 10 == 3, " & Co</title>").when(F.col("k") % 10 == 7, " &amp; Co")
+                     .otherwise(" &amp; Co &eacute;&amp;lt;</title>"))
+    entry = F.concat(F.lit("<entry>"), title, F.lit('\n<link rel="alternate" href="https://x.example/products/p'), "k", F.lit('"/>'), price,
+                     F.lit('<summary type="html">'), escaped, F.lit("</summary></entry>"))
+    landed = _packed(_goods(spark, sf), entry).select("shop", F.concat(F.lit('<feed xmlns:s="urn:x">\n'), F.array_join("products", "\n"), F.lit("</feed>")).alias("value"))
+    folder = f"{_run_folder(spark)}/atom"
+    landed.repartition("shop").write.partitionBy("shop").text(folder)
+    shops = _goods(spark, sf).select("shop").distinct().select(
+        "shop", F.lit("JP").alias("country"), F.lit("https://x.example/").alias("url"), F.lit("JPY").alias("currency"))
+    return feeds.read_atom(spark, folder, shops)
+
+
+@query(with_(SQL_GOODS, body="""SELECT shop || '::p' || k AS key, trim(title || ' & Co é&lt;') AS title, CASE WHEN size % 4 = 0 THEN 0 ELSE price END AS price, text_grams AS grams,
+    CASE WHEN text_grams > 0 AND size % 4 <> 0 THEN printf('%.2f', price / text_grams * 100)::DOUBLE ELSE -1 END AS per100, true AS available,
+    origin, CASE WHEN b = 2 AND pr <> 'Honey' THEN 'Natural' ELSE pr END AS process, notes, CASE WHEN size % 4 = 0 THEN 'JPY' ELSE 'EUR' END AS currency
+    FROM known WHERE k % 10 NOT IN (3, 7)"""))
+def atom_files(spark, sf):
+    return _shown(_atom_files(spark, sf)[0], "currency")
+
+
+@query("""SELECT p_brand AS shop, p_partkey AS k, p_partkey % 10 = 3 AS closed FROM part WHERE p_partkey % 10 IN (3, 7)""")
+def atom_broken(spark, sf):
+    """Entries that are no XML, whole, each apart from its neighbours."""
+    return _atom_files(spark, sf)[1].select("shop", F.regexp_extract("element", r'products/p(\d+)"', 1).cast("bigint").alias("k"),
+                                            F.col("element").contains("</title>").alias("closed"))
+
+
 @query(with_(SQL_GOODS, body="""SELECT shop || '::p' || k AS key, trim(title) AS title, CASE WHEN k % 6 = 5 THEN 0 ELSE price END AS price, text_grams AS grams,
     CASE WHEN text_grams > 0 AND k % 6 <> 5 THEN printf('%.2f', price / text_grams * 100)::DOUBLE ELSE -1 END AS per100,
     size % 3 <> 0 AS available, origin, process, notes, CASE WHEN k % 6 = 4 THEN 'https://img.example/a.jpg' ELSE '' END AS image FROM known WHERE k % 6 <> 0"""))
