@@ -3,7 +3,7 @@
 A turn is written as <|turn|>role<|text|>content<|end|>. Control strings inside role and content, this
 template's and other common ones, are escaped by a backslash after their first character; a string that
 looks escaped already gets one more, so reading back is exact. A conversation is formatted in pieces of
-whole turns, so one of any length passes through a task piece by piece.
+whole turns; one longer than a piece is dealt over tasks by ranges of its turns.
 """
 
 from __future__ import annotations
@@ -15,11 +15,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyshelf.llm.common import column
+from tallyshelf.llm.common import column, join_small
 from tallyshelf.llm.tokens import encoder
+from tallyshelf.session import settle
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 PLACEHOLDERS = {"image": "<|image|>", "audio": "<|audio|>", "document": "<|document|>", "file": "<|file|>"}
@@ -29,7 +31,7 @@ CONTROL = (TURN, TEXT, END, *PLACEHOLDERS.values(), "<s>", "</s>", "[INST]", "[/
 ESCAPED = "|".join(re.escape(c[0]) + r"\\*" + re.escape(c[1:]) for c in CONTROL)
 _ESCAPED = re.compile(ESCAPED)
 _TURN = re.compile(re.escape(TURN) + "(.*?)" + re.escape(TEXT) + "(.*?)" + re.escape(END), re.S)
-#: Characters from which a piece is closed after its turn.
+#: Characters from which a piece is closed after its turn; a conversation with more is dealt by turns.
 PIECE = 1 << 20
 
 
@@ -106,8 +108,10 @@ def format_conversations(rows: DataFrame, trained: tuple[str, ...] = ("assistant
     ``rows`` has conv_id, turn, role and text, and may have ``parts``, an array of structs (PART), which
     then stands instead of the text where it is not null. Turns go by turn, role and text, so repeated
     turns stand side by side; null text, role and parts are empty, a null conv_id is one conversation, an
-    unknown kind of part is a file. Mask and attachment places are code points of the piece; under the
-    mask is the content of the ``trained`` roles. Tokens of text are the tokenizer's, or else words.
+    unknown kind of part is a file. Pieces go by ``piece``, whose numbers may have gaps. Mask and attachment
+    places are code points of the piece, an attachment's turn is counted in the piece (``attachments`` gives
+    that in the conversation); under the mask is the content of the ``trained`` roles. Tokens of text are the
+    tokenizer's, or else words. An empty table gives no piece.
     """
     has_parts = "parts" in rows.columns
     wanted = rows.select(
@@ -118,7 +122,8 @@ def format_conversations(rows: DataFrame, trained: tuple[str, ...] = ("assistant
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = encoder(tokenizer) if tokenizer else None
-        open_ = None  # of the piece at hand: conversation, piece number, turns before it
+        open_ = None  # of the piece at hand: conversation, piece number
+        first = TaskContext.get().partitionId() << 32  # tasks hold ranges in order
         text, mask, files, turns, tokens, size = [], [], [], 0, 0, 0
 
         def piece() -> pa.RecordBatch:
@@ -129,11 +134,10 @@ def format_conversations(rows: DataFrame, trained: tuple[str, ...] = ("assistant
             for row in batch.to_pylist():
                 if open_ is not None and (row["conv_id"] != open_[0] or size >= PIECE):
                     yield piece()
-                    same = row["conv_id"] == open_[0]
-                    open_ = (open_[0], open_[1] + 1, open_[2] + turns) if same else None
+                    open_ = (open_[0], open_[1] + 1) if row["conv_id"] == open_[0] else None
                     text, mask, files, turns, tokens, size = [], [], [], 0, 0, 0
                 if open_ is None:
-                    open_ = (row["conv_id"], 0, 0)
+                    open_ = (row["conv_id"], first)
                 seen = Flattened(costs)
                 for part in row["parts"] if row["parts"] is not None else [{"kind": "text", "text": row["text"]}]:
                     if part is not None:
@@ -144,14 +148,38 @@ def format_conversations(rows: DataFrame, trained: tuple[str, ...] = ("assistant
                 size = start + seen.size + len(END)
                 if row["role"] in trained:
                     mask.append({"start": start, "stop": start + seen.size})
-                files += [{**a, "turn": open_[2] + turns, "at": start + a["at"]} for a in seen.attachments]
+                files += [{**a, "turn": turns, "at": start + a["at"]} for a in seen.attachments]
                 tokens += sum(a["tokens"] for a in seen.attachments) + (
                     sum(len(x) // known.type.itemsize for x in known.encode(seen.plain)) if known else sum(len(x.split()) for x in seen.plain))
                 turns += 1
         if open_ is not None:
             yield piece()
 
-    return wanted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, _PIECE_SQL)
+    key = F.coalesce(F.col("conv_id").cast("string"), F.lit(""))
+    size = F.length("role") + F.length("text") + F.coalesce(F.aggregate(
+        "parts", F.lit(0), lambda n, p: n + F.coalesce(F.length(p["text"]), F.lit(0))), F.lit(0))
+    long = settle(wanted.groupBy(key.alias("key")).agg(F.sum(size.cast("bigint")).alias("size")).filter(F.col("size") > PIECE).select(
+        "key", F.lit(True).alias("long")))
+    wanted = join_small(wanted.withColumn("key", key), long, ["key"], "left", 100)
+    within = [F.when(F.col("long"), c) for c in (F.col("turn"), F.col("role"), F.substring("text", 1, 64))]
+    dealt = wanted.repartitionByRange("conv_id", *within).sortWithinPartitions("conv_id", "turn", "role", "text")
+    return dealt.drop("key", "long").mapInArrow(run, _PIECE_SQL)
+
+
+def attachments(pieces: DataFrame) -> DataFrame:
+    """Attachments of settled pieces, a row each: (conv_id, turn, kind, ref, tokens, piece, at, placeholder).
+
+    ``turn`` counts the conversation's turns from 0; ``placeholder`` is what stands at that place of the piece.
+    Only the pieces' counts are put in order, not their texts. No attachments give no row.
+    """
+    before = Window.partitionBy("conv_id").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    counts = pieces.select("piece", F.col("conv_id").alias("of"), F.coalesce(F.sum("n_turns").over(before), F.lit(0)).alias("before"))
+    found = pieces.filter(F.size("attachments") > 0).select("conv_id", "piece", "formatted", F.explode("attachments").alias("a")).select(
+        "conv_id", "piece", "a.*", F.substring(F.col("formatted"), F.col("a.at").cast("int") + 1, F.lit(max(map(len, PLACEHOLDERS.values())))).alias("there"))
+    same = found["conv_id"].eqNullSafe(counts["of"]) & (found["piece"] == counts["piece"])
+    return found.join(counts, same).select(
+        "conv_id", (F.col("before") + F.col("turn")).alias("turn"), "kind", "ref", "tokens", found["piece"], "at",
+        F.regexp_extract("there", r"^<\|[a-z]+\|>", 0).alias("placeholder"))
 
 
 _DIGEST = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()),

@@ -1,8 +1,9 @@
-"""Query of the chat formatting, with its SQL."""
+"""Queries of the chat formatting, with their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyshelf.llm import chat
 from tallyshelf.llm.common import table
@@ -28,3 +29,32 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = spark.createDataFrame([(-1, 0, "user", _SAID), (-1, 1, "assistant", _SAID)], "conv_id bigint, turn bigint, role string, text string")
     return chat.digests(settle(chat.format_conversations(rows.unionByName(own))))
+
+
+_PARTS_SQL = """
+WITH c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS nth FROM conversations),
+a AS (SELECT *, unnest([1, 2, 3, 4]) AS k FROM c)
+SELECT conv_id, nth AS turn, ['image', 'audio', 'document', 'file'][k] AS kind, 'r' || k || '-' || length(text) AS ref,
+  CASE k WHEN 1 THEN greatest(1, ceil(length(text) / 14) * ceil(turn * 10 / 14)) WHEN 2 THEN greatest(1, ceil(turn * 1.5 * 25))
+    WHEN 3 THEN greatest(1, turn) * 256 ELSE 1 END::BIGINT AS tokens,
+  ['<|image|>', '<|audio|>', '<|document|>', '<|file|>'][k] AS placeholder
+FROM a WHERE (conv_id + turn) % k = 0
+"""
+
+
+@query(_PARTS_SQL)
+def chat_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn with an image, audio, document and other part by its number; text, which may hold control strings, in between."""
+    n, turn = F.length("text"), F.col("turn").cast("int")
+    shapes = [("image", {"width": n, "height": turn * 10}), ("AUDIO", {"seconds": turn * 1.5}), ("document", {"pages": turn}), ("video", {})]
+    types = dict(p.split(" ") for p in chat.PART.split(", "))
+
+    def part(kind: str, **values):
+        values = {"kind": F.lit(kind), **values}
+        return F.struct(*[values.get(f, F.lit(None)).cast(t).alias(f) for f, t in types.items()])
+
+    parts = F.flatten(F.array(*[F.when((F.col("conv_id") + F.col("turn")) % k == 0, F.array(
+        part("text", text=F.concat(F.lit("<|image|>"), "text")), part(kind, ref=F.concat(F.lit(f"r{k}-"), n), **shape))).otherwise(F.array(part("text", text=F.col("text"))))
+        for k, (kind, shape) in enumerate(shapes, 1)]))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", parts.alias("parts"))
+    return chat.attachments(settle(chat.format_conversations(rows))).drop("piece", "at")

@@ -71,3 +71,34 @@ def test_parts_attachments_and_tokens(spark):
     assert p["n_tokens"] == 4 + 38 + 768 + 1 + 1 + 3 + 1 + 2 and p["n_turns"] == 3
     assert chat.turns_of(p["formatted"]) == [("user", "see <|image|> here <|image|> and<|audio|>"), ("assistant", "<|document|><|file|><|image|>"), ("user", "plain words")]
     assert [p["formatted"][m["start"]:m["stop"]] for m in p["mask"]] == ["<|document|><|file|><|image|>"]
+
+
+def test_long_conversations_are_dealt_by_turns(spark, monkeypatch):
+    """Beside whole conversations, long ones, the one without a number too, pass several tasks in order."""
+    monkeypatch.setattr(chat, "PIECE", 300)
+    rows = made() + [(5, k // 2, "assistant" if k % 3 else "user", f"t{k % 4} <|end|>", "y") for k in range(90)]
+    rows += [(None, k, "assistant", "lost and found " * 3, None) for k in range(1, 150)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    merge = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merge, "false")  # so little would go to one task
+    try:
+        pieces = chat.settle(chat.format_conversations(docs))
+    finally:
+        spark.conf.set(merge, "true")
+    got = {r["conv_id"]: tuple(r)[1:5] for r in chat.digests(pieces).collect()}
+    assert got == brute(rows)
+    tasks = {}
+    for p in pieces.collect():
+        tasks.setdefault(p["conv_id"], set()).add(p["piece"] >> 32)
+    assert len(tasks[5]) > 1 and len(tasks[4]) > 1 and len(tasks[None]) > 1 and all(len(tasks[c]) == 1 for c in (1, 2, 3))
+
+
+def test_attachments_count_turns_over_pieces(spark, monkeypatch):
+    monkeypatch.setattr(chat, "PIECE", 200)
+    schema = f"conv_id bigint, turn bigint, role string, text string, parts array<struct<{', '.join(p.replace(' ', ': ') for p in chat.PART.split(', '))}>>"
+    none = (None,) * 4
+    rows = [(c, k, "user", None, [("text", "word " * 9, None, *none), ("image", None, f"{k}", *none)]) for c in (7, None) for k in range(40)]
+    found = chat.attachments(chat.settle(chat.format_conversations(spark.createDataFrame(rows, schema)))).collect()
+    assert sorted((r["conv_id"] or 0, r["turn"], r["ref"], r["placeholder"]) for r in found) == [(c, k, str(k), "<|image|>") for c in (0, 7) for k in range(40)]
+    assert len({r["piece"] for r in found}) > 4
+    assert chat.attachments(chat.settle(chat.format_conversations(spark.createDataFrame([], schema)))).count() == 0
