@@ -79,12 +79,15 @@ def test_long_conversations_are_dealt_by_turns(spark, monkeypatch):
     rows = made() + [(5, k // 2, "assistant" if k % 3 else "user", f"t{k % 4} <|end|>", "y") for k in range(90)]
     rows += [(None, k, "assistant", "lost and found " * 3, None) for k in range(1, 150)]
     docs = spark.createDataFrame(rows, SCHEMA)
-    merge = "spark.sql.adaptive.coalescePartitions.enabled"
+    merge, tasks = "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions"
+    before = spark.conf.get(tasks)
     spark.conf.set(merge, "false")  # so little would go to one task
+    spark.conf.set(tasks, "16")
     try:
         pieces = chat.settle(chat.format_conversations(docs))
     finally:
         spark.conf.set(merge, "true")
+        spark.conf.set(tasks, before)
     got = {r["conv_id"]: tuple(r)[1:5] for r in chat.digests(pieces).collect()}
     assert got == brute(rows)
     tasks = {}
