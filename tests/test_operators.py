@@ -210,6 +210,16 @@ def test_alerts_once_per_user(spark):
     assert sorted(r.user for r in alerts.restock_alerts(events, watches).collect()) == ["u1", "u2"]
 
 
+def test_alerts_are_made_once_and_not_gathered(spark):
+    """Repeated events and watches give one alert each, without a grouping of the alerts themselves."""
+    events = spark.createDataFrame([("k", "restock", 1)] * 2 + [("k", "restock", 2), (None, "restock", 2)], "key string, type string, ts int")
+    watches = spark.createDataFrame([("u1", "k")] * 2 + [(None, "k")] * 2 + [("u2", None)], "user string, key string")
+    hits = alerts.restock_alerts(events, watches)
+    assert sorted((r.user or "", r.ts) for r in hits.collect()) == [("", 1), ("", 2), ("u1", 1), ("u1", 2)]
+    plan = hits._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert "Join" in next(line for line in plan if "Join" in line or "Aggregate" in line)
+
+
 def test_alerts_on_a_stream(spark, tmp_path):
     """A restock that is delivered in two batches alerts each watcher once."""
     ddl = "key string, type string, ts timestamp"
