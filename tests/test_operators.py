@@ -250,6 +250,24 @@ def test_alerts_while_watches_change(spark, tmp_path):
         assert sent() == [("u", 5), ("v", 7), ("w", 5), ("w", 7)]
 
 
+def test_alerts_look_up_returning_watchers_alone(spark, tmp_path):
+    """What was sent is read for watches that were toggled before; a first toggle, however late, reads none of it."""
+    at = lambda d: dt.datetime(2024, 1, d)
+    box = alerts.RestockAlerts(spark, str(tmp_path / "a"), buckets=2)
+    r = lambda *days: spark.createDataFrame([("k", at(d)) for d in days], "key string, ts timestamp")
+    t = lambda *rows: spark.createDataFrame([(u, "k", at(d)) for u, d in rows], "user string, key string, at timestamp")
+    asked, read = [], box.sent.read
+    box.sent.read = lambda names, before: asked.append(names.count()) or read(names, before)
+    box.merge(0, r(5, 7), t(("u", 1), ("u", 6)))
+    box.merge(1, r(), t(("w", 2)))
+    assert asked == [0, 0] and sorted((x.user, x.ts.day) for x in box.read().collect()) == [("u", 5), ("w", 5), ("w", 7)]
+    want = [("u", 5), ("u", 7), ("w", 5), ("w", 7)]
+    for number, day in ((2, 4), (3, 3)):  # u is off at 5 and on at 7, then the other way round; what was sent stays
+        box.merge(number, r(), t(("u", day)))
+        assert sorted((x.user, x.ts.day) for x in box.read().collect()) == want
+    assert asked[2:] == [1, 1]
+
+
 def test_redeliveries_within_the_watermark(spark, tmp_path):
     rows = [("e1", dt.datetime(2024, 1, 1)), ("e1", dt.datetime(2024, 1, 2)), ("e2", dt.datetime(2024, 1, 2))]
     for i, part in enumerate((rows, [("e2", dt.datetime(2024, 1, 3)), ("e3", dt.datetime(2024, 1, 3))])):
