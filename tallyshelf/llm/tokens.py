@@ -60,8 +60,7 @@ class Encoder:
             if len(edges) != len(part) + 1:
                 out.update(zip(part, self._ids(part)))
                 continue
-            edges = edges.tolist()
-            out.update((x, raw[a:b]) for x, a, b in zip(part, edges, edges[1:]))
+            out.update(zip(part, map(raw.__getitem__, map(slice, edges[:-1].tolist(), edges[1:].tolist()))))
         rest = [x for x in new if x not in out]
         out.update(zip(rest, self._ids(rest)))
         return out
@@ -76,10 +75,12 @@ class Encoder:
                 split[i] = _PRETOKENS.findall(t)
         known = self.known
         new = self._learn(sorted(set().union(*split.values()).difference(known)))
+        known.update(new)
         for i, parts in split.items():
-            out[i] = b"".join([known[p] if p in known else new[p] for p in parts])
-        if len(known) < REMEMBERED:
-            known.update(list(new.items())[:REMEMBERED - len(known)])
+            out[i] = b"".join(map(known.__getitem__, parts))
+        # What is beyond the limit is forgotten again.
+        for p in list(new)[max(0, REMEMBERED - len(known) + len(new)):]:
+            del known[p]
         whole = [i for i, ids in enumerate(out) if ids is None]
         for i, ids in zip(whole, self._ids([texts[i] for i in whole])):
             out[i] = ids

@@ -33,6 +33,21 @@ def test_encoder_is_the_library(library):
         assert got == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_a_word_is_looked_up_once_and_the_limit_holds(library, monkeypatch):
+    """A text's words come out of the table by one look-up each; beyond the limit nothing stays there."""
+    class Table(dict):
+        def __contains__(self, word):
+            raise AssertionError("looked up twice")
+
+    monkeypatch.setattr("tallyshelf.llm.tokens.REMEMBERED", 5)
+    encoder = Encoder(tokenizer_path())
+    encoder.known = Table()
+    for texts in (["one two three"], ["one two four five six seven", "two eight"], ["nine one", None]):
+        want = [np.array(library.encode(t or "", add_special_tokens=False).ids, encoder.type).tobytes() for t in texts]
+        assert encoder.encode(texts) == want
+        assert len(encoder.known) <= 5
+
+
 def test_other_tokenizers_go_to_the_library():
     known, whole = Encoder(tokenizer_path("word_bpe_49k.json")), Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
     texts = ["Some WORDS here", "a  b", None]
