@@ -277,3 +277,9 @@ def test_redeliveries_within_the_watermark(spark, tmp_path):
         "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     run.awaitTermination()
     assert sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["e1", "e2", "e3"]
+
+
+def test_quiz_answers_are_dealt(spark, sf_dir):
+    """The customers lie in one row group; their answers are summed by as many tasks as there are cores."""
+    from workload import people
+    assert people._answers(spark, sf_dir).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism

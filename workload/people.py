@@ -78,7 +78,7 @@ def _answers(spark, sf):
     key = F.col("c_custkey")
     rows = F.array(*[F.struct(F.lit(q).alias("question"), F.pmod(key + q, F.lit(len(options))).cast("int").alias("option"))
                      for q, options in enumerate(rules.QUIZ)])
-    return S.table(spark, sf, "customer").select(key.alias("user"), F.inline(rows))
+    return S.dealt(S.table(spark, sf, "customer").select("c_custkey")).select(key.alias("user"), F.inline(rows))
 
 
 _OPTIONS = ", ".join(f"({q}, {o}, '{f}', {float(w)}, {len(options)})" for q, options in enumerate(rules.QUIZ)
