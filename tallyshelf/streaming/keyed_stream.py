@@ -52,7 +52,14 @@ def archive(stock: tuple, now_us: int, archive_us: int) -> tuple[tuple, list[tup
 
 
 class StockKeeper(StatefulProcessor):
-    """State of a key: its stock, and the observations of open slots by slot."""
+    """State of a key: its stock, the observations of open slots by slot, and the timer of the earliest of them.
+
+    A key has one timer for all its open slots: when it fires, every slot whose end has passed is folded, one after
+    another, and the earliest that stays open is waited for.
+    """
+
+    #: Events that are passed on at once.
+    EVENTS = 10_000
 
     def __init__(self, min_oos_hours: float, archive_us: int, slot_us: int):
         self.min_oos_hours, self.archive_us, self.slot_us = min_oos_hours, archive_us, slot_us
@@ -61,47 +68,68 @@ class StockKeeper(StatefulProcessor):
         self.handle = handle
         self.stock = handle.getValueState("stock", "available BOOLEAN, changed BIGINT, archived BOOLEAN")
         self.open = handle.getMapState("open", "slot BIGINT", "us ARRAY<BIGINT>, seq ARRAY<BIGINT>, available ARRAY<BOOLEAN>")
+        self.timer = handle.getValueState("timer", "ms BIGINT")
 
     def _end_ms(self, slot: int) -> int:
         return -(-(slot + 1) * self.slot_us // 1000)
 
+    def _wait_for(self, slot: int | None) -> None:
+        """Let the timer stand at the end of a slot."""
+        if slot is None:
+            self.timer.clear()
+            return
+        self.handle.registerTimer(self._end_ms(slot))
+        self.timer.update((self._end_ms(slot),))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = None
         for frame in rows:
             frame = frame[frame["available"].notna()]
             for slot, part in frame.groupby(frame["us"] // self.slot_us):
                 slot, new = int(slot), [part[c].tolist() for c in ("us", "seq", "available")]
-                if self.open.containsKey((slot,)):
-                    new = [list(old) + more for old, more in zip(self.open.getValue((slot,)), new)]
-                else:
-                    self.handle.registerTimer(self._end_ms(slot))
-                self.open.updateValue((slot,), tuple(new))
+                held = self.open.getValue((slot,))
+                self.open.updateValue((slot,), tuple(new if held is None else [list(old) + more for old, more in zip(held, new)]))
+                first = slot if first is None else min(first, slot)
+        if first is not None:
+            timer = self.timer.get()
+            if timer is None or self._end_ms(first) < timer[0]:
+                self._wait_for(first)
         yield from ()
 
+    def _frame(self, key, events: list[tuple]) -> pd.DataFrame:
+        kinds, times, hours = zip(*events)
+        return pd.DataFrame({"key": key[0], "type": kinds, "ts": pd.to_datetime(list(times), unit="us"),
+                             "oos_hours": pd.Series(hours, dtype="float64")})
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        stock = self.stock.get() if self.stock.exists() else None
+        now_ms = timerValues.getCurrentWatermarkInMs()
+        stock = self.stock.get()
         stock, before, events = stock and tuple(stock), stock and tuple(stock), []
-        # A timer stands at the end of a slot; timers fire in time order, so all earlier slots are folded.
-        slot = at * 1000 // self.slot_us - 1
-        if self._end_ms(slot) == at and self.open.containsKey((slot,)):
+        slots = sorted(s for s, in self.open.keys())
+        ended = [s for s in slots if self._end_ms(s) <= now_ms]
+        for slot in ended:
             seen = sorted(zip(*self.open.getValue((slot,))), key=lambda o: o[:2])
             last = {us: available for us, _, available in seen}
             self.open.removeKey((slot,))
-            stock, events = fold(stock, list(last.items()), self.min_oos_hours, self.archive_us)
+            stock, more = fold(stock, list(last.items()), self.min_oos_hours, self.archive_us)
+            events += more
+            if len(events) >= self.EVENTS:
+                yield self._frame(key, events)
+                events = []
+        if ended:
+            self._wait_for(slots[len(ended)] if len(ended) < len(slots) else None)
         if stock is not None and not stock[0] and not stock[2]:
-            # Known is all before the last slot boundary, but for this key's slots whose timers are still to come.
-            due, closed = stock[1] + self.archive_us, timerValues.getCurrentWatermarkInMs() * 1000 // self.slot_us * self.slot_us
-            if due < closed and all(s * self.slot_us > due for s, in self.open.keys()):
+            # Known is all before the last slot boundary: no slot that is open yet begins before it.
+            due, closed = stock[1] + self.archive_us, now_ms * 1000 // self.slot_us * self.slot_us
+            if due < closed:
                 stock, archived = archive(stock, due, self.archive_us)
                 events += archived
-            elif due >= closed and stock != before:
+            elif stock != before:
                 self.handle.registerTimer(self._end_ms(due // self.slot_us))
         if stock != before:
             self.stock.update(stock)
         if events:
-            kinds, times, hours = zip(*events)
-            yield pd.DataFrame({"key": key[0], "type": kinds, "ts": pd.to_datetime(list(times), unit="us"),
-                                "oos_hours": pd.Series(hours, dtype="float64")})
+            yield self._frame(key, events)
 
     def close(self) -> None:
         pass

@@ -1,5 +1,7 @@
 import datetime as dt
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 
 from tallyshelf.streaming import keyed_stream as K
@@ -44,3 +46,52 @@ def test_out_of_order_ties_nulls_and_late_rows(spark, tmp_path):
         (None, "archive", 9, None), ("c", "archive", 16, None)], key=str)
     assert late == 1
     assert spark.conf.get(K.PROVIDER, None) != K.ROCKSDB
+
+
+class Held:
+    """State of one key in memory, and the timers it asked for."""
+
+    def __init__(self):
+        self.cells, self.timers = {}, []
+
+    def getValueState(self, name, schema):
+        cells = self.cells
+
+        class Value:
+            get = staticmethod(lambda: cells.get(name))
+            exists = staticmethod(lambda: name in cells)
+            update = staticmethod(lambda value: cells.update({name: value}))
+            clear = staticmethod(lambda: cells.pop(name, None))
+        return Value
+
+    def getMapState(self, name, key, value):
+        held = self.cells.setdefault(name, {})
+
+        class Map:
+            keys = staticmethod(lambda: list(held))
+            containsKey = staticmethod(held.__contains__)
+            getValue = staticmethod(held.get)
+            updateValue = staticmethod(held.__setitem__)
+            removeKey = staticmethod(held.pop)
+        return Map
+
+    def registerTimer(self, ms):
+        self.timers.append(ms)
+
+
+def test_one_timer_serves_all_slots_of_a_key():
+    handle, day = Held(), 24 * HOUR
+    keeper = K.StockKeeper(12, 60 * day, day)
+    keeper.init(handle)
+    frame = lambda *days: pd.DataFrame({"us": [d * day for d in days], "seq": 0, "available": [d % 2 == 0 for d in days]})
+    at = lambda d: SimpleNamespace(getCurrentWatermarkInMs=lambda: d * day // 1000)
+    fire = lambda d: [tuple(r) for f in keeper.handleExpiredTimer(("k",), at(d), SimpleNamespace(
+        getExpiryTimeInMs=lambda: handle.timers[0])) for r in zip(f["type"], f["ts"].dt.day - 1)]
+    list(keeper.handleInputRows(("k",), iter([frame(*range(3, 10)), frame(2)]), at(0)))
+    assert handle.timers == [3 * day // 1000]
+    list(keeper.handleInputRows(("k",), iter([frame(0), frame(1)]), at(0)))
+    assert handle.timers == [3 * day // 1000, day // 1000]
+    want = [("new", 0), *(("soldout" if d % 2 else "restock", d) for d in range(1, 10))]
+    assert fire(6) == want[:6] and handle.timers[2:] == [7 * day // 1000, (5 + 60 + 1) * day // 1000]
+    assert fire(6) == [] and fire(10) == want[6:]
+    assert handle.cells["open"] == {} and "timer" not in handle.cells
