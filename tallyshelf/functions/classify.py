@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyshelf.functions import goods, rules
 from tallyshelf.functions.lookup import look_up
-from tallyshelf.functions.prefilter import let, matches_any
+from tallyshelf.functions.prefilter import let, matches, matches_any
 from tallyshelf.functions.text import fix_entities
 
 _WORD = "[A-Za-z0-9_]"
@@ -64,7 +64,7 @@ def is_listed_product(name: Column, excluded: Sequence[str] = goods.READER_EXCLU
 
 def is_wholesale(name: Column, grams: Column, words: str = DEFAULT_WHOLESALE) -> Column:
     low = F.lower(F.coalesce(name, F.lit("")))
-    worded = low.rlike(ascii_boundaries(words)) | _size_at_least(low, "kg", 1) | _size_at_least(low, "lbs?", 2)
+    worded = matches(low, ascii_boundaries(words), [words], unicode=False) | _size_at_least(low, "kg", 1) | _size_at_least(low, "lbs?", 2)
     return (F.coalesce(grams, F.lit(0)) >= 1000) | worded
 
 

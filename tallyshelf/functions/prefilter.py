@@ -10,6 +10,8 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -131,6 +133,123 @@ def indexed(patterns: Sequence[str], edit: Callable[[str], str] = str) -> str:
     return "|".join([*filter(None, trees), *anywhere])
 
 
+# --- the same patterns by an engine that does not go back --------------------------------------------
+# RE2, which comes with Arrow, passes a text once however many alternatives there are. It has neither
+# look-around nor Unicode word edges, so it gives a verdict only where it cannot differ from Java.
+
+_PLAIN = "[A-Za-z0-9]"
+_GROUP = rf"\((?:\?:)?{_PLAIN}[a-zA-Z0-9-]*{_PLAIN}(?:\|{_PLAIN}[a-zA-Z0-9-]*{_PLAIN})*\)"
+_ASCII_EDGE = r"[\x00-/:-@\[-^`{-\x7F]"
+_ANY_EDGE = r"[^A-Za-z0-9_]"
+_LINE = r"\n\r\x{85}\x{2028}\x{2029}"
+#: Letters whose case mapping leads to ASCII; the engines fold some of them differently.
+_ODD_CASE = r"[\x{130}\x{131}\x{17F}\x{212A}]"
+
+
+def _re2(alternative: str, unicode: bool, loose: bool) -> str | None:
+    """An alternative of Java's syntax for RE2, None if it has to stay with Java.
+
+    The strict form matches only where Java does, the loose one wherever Java does; they differ next to
+    characters beyond ASCII alone. With ``unicode`` an edge is one of Unicode words and is consumed, so it must
+    stand outermost, a plain ASCII letter or digit inside.
+    """
+    body, head, tail = alternative, "", ""
+    if unicode:
+        edge = _ANY_EDGE if loose else _ASCII_EDGE
+        if body.startswith(r"\b"):
+            body, head = body[2:], rf"(?:\A|{edge})"
+            if not re.match(rf"{_PLAIN}(?![?*{{])|{_GROUP}(?![?*{{])", body):
+                return None
+        if body.endswith(r"\b"):
+            body, tail = body[:-2], rf"(?:{edge}|\z)"
+            if not re.search(rf"(?<!\\){_PLAIN}(?:{_PLAIN}\?|{_GROUP}\?)?$|{_GROUP}$", body):
+                return None
+        if r"\b" in body:
+            return None
+    if body.endswith("$") and not body.endswith(r"\$"):
+        body, tail = body[:-1], (rf"(?:\r\n|[{_LINE}])?\z" if loose else r"\z")
+    out, i, in_class = [], 0, False
+    beyond = r"\x{80}-\x{10FFFF}" if loose else ""
+    sets = {"s": r"\t-\r\x20" + beyond, "d": "0-9" + (beyond if unicode else "")}
+    while i < len(body):
+        c, pair = body[i], body[i:i + 2]
+        if c == "\\":
+            kind = pair[1:]
+            if kind in sets:
+                out.append(sets[kind] if in_class else f"[{sets[kind]}]")
+            elif kind == "b" and not in_class:
+                out.append(r"\b")
+            elif kind == "u":
+                out.append(rf"\x{{{body[i + 2:i + 6]}}}")
+                i += 4
+            elif kind and not kind.isalnum():
+                out.append(pair)
+            else:
+                return None
+            i += 2
+            continue
+        if in_class:
+            # A negated class of sets would turn strict and loose about.
+            if c in "[&" or (c == "^" and "\\" in body[i:body.find("]", i)]):
+                return None
+            in_class = c != "]"
+        elif c == "[":
+            in_class = True
+        elif c == "(" and body[i + 1:i + 2] == "?" and body[i + 1:i + 3] != "?:":
+            return None
+        elif c == ".":
+            c = f"[^{_LINE}]"
+        elif c in "$" or (c == "^" and i):
+            return None
+        elif c in "*+?}" and body[i + 1:i + 2] == "+":
+            return None
+        elif c == "^":
+            c = r"\A"
+        out.append(c)
+        i += 1
+    return f"{head}(?:{''.join(out)}){tail}"
+
+
+def by_re2(patterns: Sequence[str], unicode: bool, any_case: bool = False) -> tuple[str, str, list[str]]:
+    """The strict and the loose expression of the patterns' alternatives, and the alternatives left to Java."""
+    strict, loose, left = [], [], []
+    for a in dict.fromkeys(a for p in patterns for a in alternatives(p)):
+        forms = [_re2(a, unicode, wide) for wide in (False, True)]
+        if None in forms:
+            left.append(a)
+        else:
+            strict.append(forms[0])
+            loose.append(forms[1])
+    if any_case:
+        loose.append(_ODD_CASE)
+        return "(?i)" + "|".join(strict), "(?i)" + "|".join(loose), left
+    return "|".join(strict), "|".join(loose), left
+
+
+def matches(text: Column, java: str, patterns: Sequence[str], unicode: bool, any_case: bool = False,
+            rest: Callable[[list[str]], str] | None = None) -> Column:
+    """``text.rlike(java)``, by RE2 where it can tell; ``java`` is the alternatives of ``patterns`` joined.
+
+    ``rest`` makes Java's expression of the alternatives that RE2 cannot take.
+    """
+    strict, loose, left = by_re2(patterns, unicode, any_case)
+    if not strict or (left and rest is None):
+        return text.rlike(java)
+
+    # Built here, so that the function travels to executors by value.
+    @F.arrow_udf("boolean")
+    def verdict(values: pa.Array) -> pa.Array:
+        # What only the loose form finds is left open.
+        open_ = pc.if_else(pc.match_substring_regex(values, loose), pa.scalar(None, pa.bool_()), False)
+        return pc.if_else(pc.match_substring_regex(values, strict), True, open_)
+
+    told = F.coalesce(verdict(text), text.rlike(java))
+    return told | text.rlike(rest(left)) if left else told
+
+
 def matches_any(low: Column, patterns: Sequence[str], flags: str = "", edit: Callable[[str], str] = str) -> Column:
-    """Whether lower-case text matches any of the patterns, in one pass over the text."""
-    return low.rlike(flags + indexed(patterns, edit))
+    """Whether lower-case text matches any of the patterns, in one pass over the text.
+
+    ``flags`` is ``(?U)``, or ``edit`` makes the edges those of ASCII words.
+    """
+    return matches(low, flags + indexed(patterns, edit), patterns, "U" in flags, rest=lambda left: flags + indexed(left, edit))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tallyshelf.functions import classify, flavour, goods, links, price, rules
 from tallyshelf.functions import text as X
-from tallyshelf.functions.prefilter import alternatives, matches_any, needed_text, opening
+from tallyshelf.functions.prefilter import alternatives, by_re2, matches, matches_any, needed_text, opening
 from tallyshelf.functions.rounding import round_even, round_half_up
 from tallyshelf.functions.status import plan_is_paid, stock_status
 
@@ -110,6 +110,31 @@ def test_index_of_patterns_changes_nothing(spark):
         assert sum(a for a, _ in got[len(fixed):len(fixed) + len(made)]) > 0.98 * len(made)
 
 
+def test_re2_takes_the_lists_and_agrees_with_java(spark):
+    """All but the two alternatives that look ahead, also next to letters, digits and blanks of other scripts."""
+    lists = ((goods.FEED_EXCLUDED, "(?U)", str), (goods.READER_EXCLUDED, "", classify.ascii_edges))
+    assert [by_re2(patterns, "U" in flags)[2] for patterns, flags, _ in lists] == [[], [r"\bwatch\b(?!\s*(list|ing))", r"^atelier\b(?!.*blend)"]]
+    ends = ["", "é", "ー", "_", "\u0301", "\u00a0", "\u2003", "\u200d", "\u24d0", "٣", "-", "\n", "\r\n", "\u2028", "\ufeff", "\x1c"]
+    for patterns, flags, edit in lists:
+        single = [a for p in patterns for a in alternatives(p)]
+        made = [_sample(a) for a in single[::4]] + ["watch", "atelier x"]
+        titles = [None] + [e + t + e for t in made for e in ends] + [t.replace(" ", e) for t in made if " " in t for e in ends]
+        plain = flags + "|".join(f"(?:{edit(a)})" for a in single)
+        got = values(spark, [(t,) for t in titles], "t string", "t", matches_any(F.lower("t"), patterns, flags, edit), F.lower("t").rlike(plain))
+        assert [t for t, a, b in got if a != b] == []
+    for pattern in (rules.AWARD, rules.BLEND_WORD, rules.GEISHA, rules.ESTATE, rules.ESTATE_LOOKALIKE):
+        made = [_sample(a) for a in alternatives(pattern[5:])]
+        titles = [e + f(t).replace(" ", b) + e for t in made for e in ends for b in (" ", "\u3000") for f in (str.lower, str.upper)]
+        titles += [t.lower().replace("i", "ı").replace("s", "ſ") for t in made] + [t.replace("i", "İ") for t in made] + [t.replace("k", "\u212a") for t in made]
+        got = values(spark, [(t,) for t in titles], "t string", "t", matches(F.col("t"), pattern, [pattern[5:]], True, True), F.col("t").rlike(pattern))
+        assert [t for t, a, b in got if a != b] == []
+
+
+def test_edges_that_re2_cannot_take_stay_with_java():
+    odd = [r"\b(foo)?\s", r"-(abc)?\b", r"-s?\b", r"a\s\b", r"a(?=b)", r"(a)\1", "a++"]
+    assert by_re2(odd, True)[2] == odd
+
+
 def test_opening():
     assert [opening(p) for p in (r"\bglass(es)?\b", "t-?shirt", "^ab", "a?b", r"\d+", "(ab)", "x", "o+h", "グラス")] == [
         "gl", "t", "ab", "", "", "", "x", "o", "グラ"]
@@ -137,11 +162,11 @@ def test_rare_flags(spark):
 
 
 def test_vocabulary_counts_distinct_words(spark):
-    rows = [("Cherry cherry CHERRY plum",), ("blackcurrant and hibiscus tea",), ("nothing",), ("savory rum, rum",)]
+    rows = [("Cherry cherry CHERRY plum",), ("blackcurrant and hibiscus tea",), ("nothing",), ("savory rum, rum",), (None,)]
     got = values(spark, rows, "t string", flavour.score_struct(F.lower("t")).alias("s"),
                  flavour.distinct_words(F.lower("t"), rules.FERMENT_WORDS))
     assert got[0][0].berry == 2 and got[1][0].berry == 2 and got[1][0].floral == 1 and sum(got[2][0]) == 0
-    assert got[3][1] == 2
+    assert got[3][1] == 2 and sum(got[4][0]) == 0 and got[4][1] == 0
 
 
 def test_links(spark):
