@@ -7,9 +7,15 @@ from pyspark.sql import functions as F
 
 from tallyshelf.functions import rules
 from tallyshelf.functions.lookup import look_up
+from tallyshelf.functions.prefilter import let
 
 DEFAULT_TRACKING = "utm_source=catalogue&utm_medium=referral&utm_campaign=go"
 
+# What no search of a foreign shop finds.
+_UNSEARCHABLE = r"[　-鿿＀-￯]"
+#: Whatever in a name the words of a search leave out or change; the listed names are all unsearchable.
+_CHANGED = rf"{_UNSEARCHABLE}|[(\x00-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F]|\x20\x20"
+
 
 def host(url: Column) -> Column:
     name = F.regexp_extract(F.coalesce(url, F.lit("")), r"^https?://([^/]+)", 1)
@@ -67,18 +73,27 @@ def search_words(name: Column, country: Column) -> Column:
     """Words to search an item by in its shop; empty when a foreign shop could not find them."""
     text = F.trim(F.coalesce(name, F.lit("")))
     names = sorted(rules.SEARCH_NAMES, key=len, reverse=True)
+
+    def translated(foreign: Column) -> Column:
+        # Cut the text around known names, translate those pieces, and join it again.
+        marked = F.regexp_replace(foreign, f"({'|'.join(names)})", "\u0001$1\u0001")
+        pieces = F.transform(
+            F.split(marked, "\u0001"),
+            lambda p: F.coalesce(F.concat(F.lit(" "), look_up(rules.SEARCH_NAMES, p), F.lit(" ")), p),
+        )
+        foreign = F.regexp_replace(F.array_join(pieces, ""), _UNSEARCHABLE, " ")
+        return F.trim(F.regexp_replace(foreign, r"(?U)\s+", " "))
+
+    def usable(foreign: Column) -> Column:
+        return F.when(foreign.rlike(r"[A-Za-zÀ-ɏ]{3,}"), foreign).otherwise("")
+
     foreign = F.regexp_replace(text, r"\d+\s*位", " ")
     foreign = F.regexp_replace(foreign, r"[（(][^）)]*[）)]", " ")
-    # Cut the text around known names, translate those pieces, and join it again.
-    marked = F.regexp_replace(foreign, f"({'|'.join(names)})", "\u0001$1\u0001")
-    pieces = F.transform(
-        F.split(marked, "\u0001"),
-        lambda p: F.coalesce(F.concat(F.lit(" "), look_up(rules.SEARCH_NAMES, p), F.lit(" ")), p),
+    return (
+        F.when(F.coalesce(country, F.lit("")) == "JP", text)
+        .when(text.rlike(_CHANGED), let(translated(foreign), usable))
+        .otherwise(usable(text))
     )
-    foreign = F.regexp_replace(F.array_join(pieces, ""), r"[　-鿿＀-￯]", " ")
-    foreign = F.trim(F.regexp_replace(foreign, r"(?U)\s+", " "))
-    usable = foreign.rlike(r"[A-Za-zÀ-ɏ]{3,}")
-    return F.when(F.coalesce(country, F.lit("")) == "JP", text).when(usable, foreign).otherwise("")
 
 
 def link_kind(shop_url: Column, platform: Column, item_link: Column, words: Column) -> Column:
@@ -94,12 +109,12 @@ def item_link(shop_url: Column, platform: Column, link: Column, words: Column,
               tracking: str = DEFAULT_TRACKING) -> Column:
     """Link to an item: its page, else a search in the shop, else the shop."""
     origin = F.regexp_extract(with_scheme(shop_url), r"^(https?://[^/?#]+)", 1)
-    search = F.concat(
-        origin, F.lit("/search?q="), encode_component(words), F.lit("&type=product&"), F.lit(tracking)
-    )
-    kind = link_kind(shop_url, platform, link, words)
-    return (
-        F.when(kind == "direct", add_query(link, tracking))
-        .when(kind == "search", search)
-        .when(kind == "shop", shop_link(shop_url, tracking))
-    )
+
+    def search(found: Column) -> Column:
+        query = F.concat(origin, F.lit("/search?q="), encode_component(found), F.lit("&type=product&"), F.lit(tracking))
+        return F.when(link_kind(shop_url, platform, link, found) == "search", query)
+
+    # Only an item without a page needs its words, which are found once.
+    direct = link_kind(shop_url, platform, link, F.lit("")) == "direct"
+    return F.when(direct, add_query(link, tracking)).otherwise(
+        F.coalesce(F.when(platform == "Shopify", let(words, search)), shop_link(shop_url, tracking)))

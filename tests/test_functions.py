@@ -1,5 +1,6 @@
 import random
 
+
 from pyspark.sql import functions as F
 
 from tallyshelf.functions import classify, flavour, goods, links, price, rules
@@ -7,6 +8,7 @@ from tallyshelf.functions import text as X
 from tallyshelf.functions.prefilter import alternatives, by_re2, matches, matches_any, needed_text, opening
 from tallyshelf.functions.rounding import round_even, round_half_up
 from tallyshelf.functions.status import plan_is_paid, stock_status
+from tallyshelf.plans import publish
 
 
 def values(spark, rows, ddl, *columns):
@@ -161,6 +163,10 @@ def test_rare_flags(spark):
                    (None, False, None, True), (None, True, 3, False), (None, True, None, False), (None, True, 12, False)]
 
 
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_vocabulary_counts_distinct_words(spark):
     rows = [("Cherry cherry CHERRY plum",), ("blackcurrant and hibiscus tea",), ("nothing",), ("savory rum, rum",), (None,)]
     got = values(spark, rows, "t string", flavour.score_struct(F.lower("t")).alias("s"),
@@ -169,6 +175,17 @@ def test_vocabulary_counts_distinct_words(spark):
     assert got[3][1] == 2 and sum(got[4][0]) == 0 and got[4][1] == 0
 
 
+def test_search_words_of_an_item_are_found_once(spark):
+    rows = [("a  bcd", "US"), ("abc)", "US"), ("Café (x) Lot", "US"), ("Colombia　Huila", None), ("  abc ", "US"), ("é", "US"), ("tab\tabc", "US"), (None, "US"), ("a  b", "JP")]
+    words = links.search_words(F.col("n"), F.col("c"))
+    assert [w for w, in values(spark, rows, "n string, c string", words)] == ["a bcd", "abc)", "Café Lot", "Colombia Huila", "abc", "", "tab abc", "", "a  b"]
+    shops = [("a.com", "Shopify", None), ("a.com", "Shopify", "http://z/q"), ("a.com", None, ""), ("", "Shopify", "http://z/q"), (None, None, None)]
+    df = spark.createDataFrame([("Lot  7 abc", "US", *x) for x in shops], "n string, c string, u string, p string, l string")
+    href = df.select(links.item_link(F.col("u"), F.col("p"), F.col("l"), words, "t").alias("x"))
+    assert [h for h, in href.collect()] == ["https://a.com/search?q=Lot%207%20abc&type=product&t", "http://z/q?t", "https://a.com?t", None, None]
+    assert _plan(href).count("位") == 1
+
+
 def test_links(spark):
     rows = [("エチオピア イルガチェフェ Lot 3位 (new)", "US"), ("エチオピア", "JP"), ("インドネシア マンデリン", "US"), ("あ", "US")]
     got = values(spark, rows, "n string, c string", links.search_words(F.col("n"), F.col("c")))
