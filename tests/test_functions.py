@@ -1,5 +1,5 @@
 import random
-
+import re
 
 from pyspark.sql import functions as F
 
@@ -167,6 +167,14 @@ def _plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_a_title_is_put_together_and_its_rank_read_once(spark):
+    titles = spark.createDataFrame([("COE ٣th place #41",), ("#7 of 12th place",), ("x\nblend geisha",), ("Blended sidra",), (None,)], "t string")
+    got = titles.select(classify.variety(F.col("t"), F.lit(None)), classify.award_rank(F.col("t")))
+    assert [tuple(r) for r in got.collect()] == [(None, None), (None, 7), (None, None), ("sidra", None), (None, None)]
+    assert _plan(titles.select(classify.variety(F.col("t"), F.col("t")).alias("x"))).count("concat_ws") == 1
+    assert _plan(titles.select(classify.award_rank(F.col("t")).alias("x"))).count("regexp_extract(") == 3
+
+
 def test_vocabulary_counts_distinct_words(spark):
     rows = [("Cherry cherry CHERRY plum",), ("blackcurrant and hibiscus tea",), ("nothing",), ("savory rum, rum",), (None,)]
     got = values(spark, rows, "t string", flavour.score_struct(F.lower("t")).alias("s"),
