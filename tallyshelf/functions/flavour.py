@@ -5,21 +5,36 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallyshelf.functions import rules
 from tallyshelf.functions.classify import ascii_boundaries
-from tallyshelf.functions.prefilter import could_match
+from tallyshelf.functions.prefilter import by_re2, could_match
 
 FAMILIES = [f[0] for f in rules.FLAVOUR_FAMILIES]
 
 
 def distinct_words(low: Column, pattern: str) -> Column:
-    """How many different words of a vocabulary occur in a lower-case text."""
+    """How many different words of a vocabulary occur in a lower-case text.
+
+    RE2 counts the occurrences; only two or more have to be told apart.
+    """
     found = F.size(F.array_distinct(F.regexp_extract_all(low, F.lit(ascii_boundaries(pattern)), F.lit(0))))
-    hint = could_match(low, pattern.split("|"))
-    return found if hint is None else F.when(hint, found).otherwise(0)
+    plain, _, left = by_re2([pattern], unicode=False)
+    if left:
+        hint = could_match(low, pattern.split("|"))
+        return found if hint is None else F.when(hint, found).otherwise(0)
+
+    # Built here, so that the function travels to executors by value.
+    @F.arrow_udf("int")
+    def occurrences(values: pa.Array) -> pa.Array:
+        return pc.count_substring_regex(values, plain).cast(pa.int32())
+
+    count = F.coalesce(occurrences(low), F.lit(0))
+    return F.when(count < 2, count).otherwise(found)
 
 
 def score_struct(low: Column) -> Column:
@@ -71,8 +86,8 @@ def note_coordinates(notes: Column, seed: Column, scores: Column, ferment: Colum
     )
 
 
-def guessed_coordinates(process: Column, origin: Column, seed: Column, name_scores: Column) -> Column:
-    """Struct (x, y, family, source) from process, origin and flavour words of the name."""
+def guessed_coordinates(process: Column, origin: Column, seed: Column, named: Column) -> Column:
+    """Struct (x, y, family, source) from process, origin and the top family ``named`` by the name."""
     process = F.coalesce(process, F.lit(""))
     origin = F.coalesce(origin, F.lit(""))
 
@@ -95,7 +110,6 @@ def guessed_coordinates(process: Column, origin: Column, seed: Column, name_scor
               .when(origin.rlike("ブラジル|メキシコ|インドネシア|インド|ベトナム|中国"), "choco")
               .when(wild, "tropical")
               .otherwise("citrus"))
-    named = top_family(name_scores)
 
     def offset(position: int) -> Column:
         chain = F

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyshelf.functions import classify, flavour, goods, links, price, rules
+from tallyshelf.functions.prefilter import let
 from tallyshelf.functions.rounding import round_even
 from tallyshelf.functions.status import stock_status
 from tallyshelf.functions.text import has_letter
@@ -99,10 +100,12 @@ def locate(items: DataFrame, seed_column: str = "id", manual: DataFrame | None =
     ))
     # The name is scored by itself only where notes are present but name no flavour.
     alone = noted & (flavour.total_score(F.col("_s.text")) == 0)
-    scored = once(scored, "_name_scores", F.when(alone, flavour.score_struct(F.col("_low_name"))).otherwise(F.col("_s.text")))
+    by_name = flavour.score_struct(F.when(alone, F.col("_low_name")))
     seed = F.col(seed_column)
-    from_notes = flavour.note_coordinates(F.col("notes"), seed, F.col("_s.text"), F.col("_s.ferment"))
-    guess = flavour.guessed_coordinates(F.col("process"), F.col("origin"), seed, F.col("_name_scores"))
+    # Inside lambdas: written out, the coordinates make a method that is too long for Java to compile.
+    from_notes = let(F.col("_s"), lambda s: flavour.note_coordinates(F.col("notes"), seed, s["text"], s["ferment"]))
+    named = F.when(alone, let(by_name, flavour.top_family)).otherwise(let(F.col("_s.text"), flavour.top_family))
+    guess = let(named, lambda family: flavour.guessed_coordinates(F.col("process"), F.col("origin"), seed, family))
     if manual is None:
         point = F.coalesce(from_notes, guess)
     else:

@@ -175,6 +175,20 @@ def test_a_title_is_put_together_and_its_rank_read_once(spark):
     assert _plan(titles.select(classify.award_rank(F.col("t")).alias("x"))).count("regexp_extract(") == 3
 
 
+def test_coordinates_are_compiled(spark):
+    """Java does not compile methods of more than 8,000 bytes."""
+    rows = spark.createDataFrame([(i, "Lot plum", None, "Natural", "x") for i in range(9)], "id long, name string, notes string, process string, origin string")
+    located = publish.locate(rows, "id").select("id", "x", "y", "family", "source")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        told = spark._jvm.PythonSQLUtils.explainString(located._jdf.queryExecution(), "codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", told)]
+    assert sizes and max(sizes) < 8000
+    assert {(r.family, r.source) for r in located.collect()} == {("berry", "guess")}
+
+
 def test_vocabulary_counts_distinct_words(spark):
     rows = [("Cherry cherry CHERRY plum",), ("blackcurrant and hibiscus tea",), ("nothing",), ("savory rum, rum",), (None,)]
     got = values(spark, rows, "t string", flavour.score_struct(F.lower("t")).alias("s"),
