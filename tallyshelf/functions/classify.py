@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyshelf.functions import goods, rules
 from tallyshelf.functions.lookup import look_up
-from tallyshelf.functions.prefilter import let, matches, matches_any
+from tallyshelf.functions.prefilter import alternatives, any_true, could_match, let, matches, matches_any
 from tallyshelf.functions.text import fix_entities
 
 _WORD = "[A-Za-z0-9_]"
@@ -40,9 +40,27 @@ def ascii_edges(pattern: str) -> str:
     return pattern.replace(r"\b", edge).replace(r"\s", r"[\s\p{Z}\x{FEFF}]")
 
 
-def _named(text: Column, pattern: str) -> Column:
-    """``text.rlike(pattern)``, tried first without its word edges, which cost far more than the words at every place."""
-    return text.rlike(pattern.replace(r"\b", "")) & text.rlike(pattern)
+#: Letters beyond ASCII that a pattern without case takes for letters of ASCII.
+_ODD_LETTERS = "\u0130\u0131\u017f\u212a"
+
+
+def _plain_low(text: Column) -> Column:
+    """Lower-cased text to look for words in; null where letters are in it that patterns fold otherwise."""
+    return F.when(~any_true([text.contains(c) for c in _ODD_LETTERS]), F.lower(text))
+
+
+def _spelled(alternative: str) -> list[str]:
+    """An alternative with its first group of plain words written out."""
+    parts = re.fullmatch(r"([^()]*)\((\w+(?:\|\w+)+)\)(?![?*+{])(.*)", alternative)
+    return [parts[1] + word + parts[3] for word in parts[2].split("|")] if parts else [alternative]
+
+
+def _named(text: Column, pattern: str, low: Column | None = None) -> Column:
+    """``text.rlike(pattern)``, tried only where a word is found that the pattern needs; ``low`` is the text's ``_plain_low``."""
+    bare = re.sub(r"^\(\?\w+\)", "", pattern)
+    parts = [a.lower() for part in alternatives(bare) for a in _spelled(part)]
+    found = let(_plain_low(text), lambda x: could_match(x, parts)) if low is None else could_match(low, parts)
+    return F.coalesce(found, F.lit(True)) & text.rlike(pattern)
 
 
 def _size_at_least(text: Column, unit: str, minimum: float) -> Column:
@@ -102,14 +120,15 @@ def origin_group(origin: Column) -> Column:
 
 def variety(title: Column, tags: Column) -> Column:
     """``sidra`` or ``geisha``, null otherwise; a blend is never rare."""
-    def rare(text: Column) -> Column:
+    def rare(text: Column, low: Column) -> Column:
         return (
-            F.when(_named(text, rules.BLEND_WORD), None)
-            .when(_named(text, rules.SIDRA), "sidra")
-            .when(_named(text, rules.GEISHA), "geisha")
+            F.when(_named(text, rules.BLEND_WORD, low), None)
+            .when(_named(text, rules.SIDRA, low), "sidra")
+            .when(_named(text, rules.GEISHA, low), "geisha")
         )
 
-    return let(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(tags, F.lit(""))), rare)
+    both = F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(tags, F.lit("")))
+    return let(both, lambda text: let(_plain_low(text), lambda low: rare(text, low)))
 
 
 def is_award(title: Column) -> Column:

@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,10 +59,12 @@ def taste_features(ratings: DataFrame, items: DataFrame, shops: DataFrame,
     list of entries that are summed before the shuffle.
     """
     w, liked = F.col("w"), F.col("w") > 0
-    process = F.coalesce("process", F.lit(""))
-    sweet = process.rlike("(?i)Natural|Honey")
-    washed = ~sweet & process.rlike("(?i)Washed")
-    group = origin_group(F.col("origin"))
+    # Each pattern runs once per rating, ahead of the entries that use it.
+    process, sweet, group = F.coalesce("process", F.lit("")), F.col("_sweet"), F.col("_group")
+    washed = ~sweet & F.col("_washed")
+    rated = _rated(ratings, items, shops, profiles).select(
+        "*", origin_group(F.col("origin")).alias("_group"),
+        *[process.rlike("(?i)" + p).alias(name) for name, p in (("_sweet", "Natural|Honey"), ("_washed", "Washed"), ("_trial", "Anaerobic"))])
 
     def entry(kind: str, test: Column, name: Column, weight: Column) -> Column:
         return F.when(test, F.struct(F.lit(kind).alias("kind"), name.alias("name"), weight.cast("double").alias("weight")))
@@ -77,7 +80,7 @@ def taste_features(ratings: DataFrame, items: DataFrame, shops: DataFrame,
         entry("attr", group.isNotNull(), group, w * 1.2),
         attr(sweet, "natural", w),
         attr(washed, "clean", w * 0.8),
-        attr(process.rlike("(?i)Anaerobic"), "experimental", w),
+        attr(F.col("_trial"), "experimental", w),
         attr(F.col("variety").isin("geisha", "sidra"), "geisha", w),
         attr(F.col("country") == "JP", "domestic", w * 0.6),
         attr(F.col("region").isin("eastAsia", "seAsiaIndia"), "asia", w * 0.5),
@@ -89,7 +92,8 @@ def taste_features(ratings: DataFrame, items: DataFrame, shops: DataFrame,
         entry("process", washed & liked, F.lit("Washed"), F.lit(1.0)),
         entry("family", F.col("family").isNotNull() & liked, F.col("family"), w),
     )
-    rows = _rated(ratings, items, shops, profiles).select("user", F.inline(F.filter(entries, lambda e: e.isNotNull())))
+    # Entries that do not apply are dropped as rows: a lambda that filters the array would be interpreted, and the entries with it.
+    rows = rated.select("user", F.inline(entries)).filter(F.col("kind").isNotNull())
     return rows.groupBy("user", "kind", "name").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n"))
 
 
@@ -238,7 +242,7 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return np.array(column.combine_chunks().flatten(), np.float64).reshape(-1, width)
 
 
-def _packed_shops(aligned: DataFrame, width: int, per_block: int) -> DataFrame:
+def _packed_shops(aligned: DataFrame, width: int, per_block: int, parts: int) -> DataFrame:
     """Blocks of shops with similar z-values: (_block, _shops, _z), the values row by row.
 
     Shops are ordered by their values' two leading bits, interleaved, so neighbours are alike in all features.
@@ -266,52 +270,92 @@ def _packed_shops(aligned: DataFrame, width: int, per_block: int) -> DataFrame:
             yield out()
 
     rows = aligned.select(F.col("shop").cast("string").alias("shop"), "z", place.alias("_place"))
-    return rows.repartitionByRange("_place", "shop").sortWithinPartitions("_place", "shop").select("shop", "z").mapInArrow(
+    return rows.repartitionByRange(parts, "_place", "shop").sortWithinPartitions("_place", "shop").select("shop", "z").mapInArrow(
         pack, "_block bigint, _shops array<string>, _z array<double>")
 
 
-def _best_of_slab(n: int, width: int, schema: pa.Schema, chunk: int = 1024):
+def _first_of(rows: np.ndarray, score: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
+    """Which of the pairs are among the first ``n`` of their row by score descending, place ascending; sorted so."""
+    order = np.lexsort((place, -score, rows))
+    start = np.flatnonzero(np.diff(rows[order], prepend=-1))
+    nth = np.arange(len(order)) - np.repeat(start, np.diff(start, append=len(order)))
+    return order[nth < n]
+
+
+def _best_of_slab(n: int, width: int, schema: pa.Schema, chunk: int = 512, tile: int = 1024):
     """The best ``n`` shops of a slab for each user of a share.
 
     A block's bound for a user is the largest value its box of z-values allows. Blocks are visited in order of
-    their bounds; one whose bound is below a user's n-th best score so far is skipped for that user.
+    their bounds, about ``tile`` shops at once; a user skips a tile whose bounds are below its n-th best score so far. A matrix
+    product in single precision tells, but for its rounding, which shops of a tile reach that score; these few are
+    summed up again, feature by feature, so that equal shops have equal scores.
     """
+    run_of = 64  # shops whose largest product is looked at before each
     def run(users: pa.Table, blocks: pa.Table) -> pa.Table:
         if not users.num_rows or not blocks.num_rows:
             return schema.empty_table()
         # In the order of names within a block and over all of them, so that ties can be settled by place.
-        shops = [np.array(x.as_py()) for x in blocks["_shops"]]
-        z = [np.array(x.as_py()).reshape(-1, width) for x in blocks["_z"]]
-        names = np.concatenate(shops)
+        sizes = pc.list_value_length(blocks["_shops"]).to_numpy()
+        names = np.array(blocks["_shops"].combine_chunks().flatten().to_pylist())
+        z = _matrix(blocks["_z"], width)
+        by_rank = np.argsort(names, kind="stable")
         rank = np.empty(len(names), np.int64)
-        rank[np.argsort(names, kind="stable")] = np.arange(len(names))
-        by_rank = names[np.argsort(rank)]
-        ranks = np.split(rank, np.cumsum([len(s) for s in shops])[:-1])
-        low, high = (np.array([f(m, axis=0) for m in z]) for f in (np.min, np.max))
+        rank[by_rank] = np.arange(len(names))
+        by_rank = names[by_rank]
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        low, high = (f.reduceat(z, starts[:-1], axis=0).T for f in (np.minimum, np.maximum))
+        reach = np.abs(z).max(axis=0)
+        z_single = z.astype(np.float32)
+        at_once = max(1, tile // max(sizes))
+        room = np.empty(chunk * -(-at_once * max(sizes) // run_of) * run_of, np.float32)
         weights = _matrix(users["weight"], width)
         out = {"user": [], "shop": [], "score": [], "visited": []}
         for at in range(0, len(weights), chunk):
             w = weights[at:at + chunk]
-            bound = np.zeros((len(w), len(z)))
-            for i in range(width):
-                bound += np.maximum(w[:, i:i + 1] * low[:, i], w[:, i:i + 1] * high[:, i])
-            # A little more than the sums can differ by rounding.
-            bound += 1e-9 * (1 + np.abs(bound))
+            w_single = w.astype(np.float32)
+            # More than the sums can differ by rounding.
+            slack = 4 * (width + 4) * 2.0 ** -24 * (np.abs(w) @ reach) + 1e-36
+            bound = np.maximum(w, 0) @ high + np.minimum(w, 0) @ low + slack[:, None]
             best = np.full((len(w), n), -np.inf)
             place = np.full((len(w), n), len(names), np.int64)
             visited = np.zeros(len(w), np.int64)
-            for k in np.argsort(-bound.max(axis=0), kind="stable"):
-                rows = np.flatnonzero(bound[:, k] >= best[:, -1])
+            ordered = np.argsort(-bound.max(axis=0), kind="stable")
+            for first in range(0, len(ordered), at_once):
+                ks = ordered[first:first + at_once]
+                rows = np.flatnonzero(bound[:, ks].max(axis=1) >= best[:, -1])
                 if not len(rows):
                     continue
-                visited[rows] += 1
-                score = np.zeros((len(rows), len(z[k])))
+                visited[rows] += len(ks)
+                at_shop = np.concatenate([np.arange(starts[k], starts[k + 1]) for k in ks])
+                runs = -(-len(at_shop) // run_of)
+                about = room[:len(rows) * runs * run_of].reshape(len(rows), -1)
+                np.matmul(w_single[rows], z_single[at_shop].T, out=about[:, :len(at_shop)])
+                about[:, len(at_shop):] = -np.inf
+                least = best[rows, -1]
+                if np.isneginf(least).any() and len(at_shop) >= n:
+                    # n shops of this tile reach its n-th best, so nothing below that is wanted.
+                    nth = about.shape[1] - n
+                    least = np.maximum(least, np.partition(about, nth, axis=1)[:, nth] - slack[rows])
+                least = (least - slack[rows]).astype(np.float32)
+                # Not "at least": a product beyond single precision is tried.
+                about = about.reshape(len(rows), runs, run_of)
+                r, run_at = np.nonzero(~(about.max(axis=2) < least[:, None]))
+                found_at, c = np.nonzero(~(about[r, run_at] < least[r, None]))
+                r, c = r[found_at], run_at[found_at] * run_of + c
+                r, c = r[c < len(at_shop)], c[c < len(at_shop)]
+                if not len(r):
+                    continue
+                hit, shop = rows[r], at_shop[c]
+                score = np.zeros(len(hit))
                 for i in range(width):
-                    score += w[rows, i:i + 1] * z[k][:, i]
-                score = np.concatenate([best[rows], score], axis=1)
-                where = np.concatenate([place[rows], np.broadcast_to(ranks[k], (len(rows), len(ranks[k])))], axis=1)
-                order = np.lexsort((where, -score), axis=1)[:, :n]
-                best[rows], place[rows] = np.take_along_axis(score, order, 1), np.take_along_axis(where, order, 1)
+                    score += w[hit, i] * z[shop, i]
+                held = np.unique(hit)
+                hit = np.concatenate([np.repeat(held, n), hit])
+                score = np.concatenate([best[held].ravel(), score])
+                where = np.concatenate([place[held].ravel(), rank[shop]])
+                kept = _first_of(hit, score, where, n)
+                # A user of a hit has n entries already, if only unset ones.
+                best[held], place[held] = score[kept].reshape(-1, n), where[kept].reshape(-1, n)
             found = place < len(names)
             users_at = np.repeat(np.arange(at, at + len(w)), found.sum(axis=1))
             out["user"].append(users["user"].take(pa.array(users_at)))
@@ -320,7 +364,7 @@ def _best_of_slab(n: int, width: int, schema: pa.Schema, chunk: int = 1024):
             out["visited"].append(pa.array(visited[users_at - at]))
         columns = [pa.chunked_array([c for x in out["user"] for c in x.chunks], schema.field(0).type),
                    *(pa.chunked_array(out[c], schema.field(c).type) for c in ("shop", "score", "visited"))]
-        return pa.table([*columns, pa.array([len(z)] * len(columns[0]), pa.int64())], schema=schema)
+        return pa.table([*columns, pa.array([len(sizes)] * len(columns[0]), pa.int64())], schema=schema)
 
     return run
 
@@ -349,10 +393,12 @@ def score_shops(weights: DataFrame, profiles: DataFrame, affinity: DataFrame | N
         affinity = settle(affinity.filter("weight > 0").groupBy("user", "shop").agg(F.sum("weight").alias("liking")))
         users = users.join(affinity.select(F.col("user").cast(kinds["user"]).alias("user")).distinct(), "user", "full_outer")
     users = settle(users.select("user", F.transform(F.coalesce("weight", F.array_repeat(F.lit(0.0), width)), lambda w: w * scale).alias("weight")))
-    n_slabs, n_shares = (max(1, -(-df.count() // size)) for df, size in ((profiles, per_slab), (users, per_share)))
-    # Scoring is bound by computation, so there are at least as many shares as tasks that can run.
-    n_shares = max(n_shares, spark.sparkContext.defaultParallelism)
-    blocks = _packed_shops(profiles, width, per_block).withColumn("_slab", F.pmod(F.xxhash64("_block"), F.lit(n_slabs)).cast("int")).withColumn(
+    n_shops, n_users, cores = profiles.count(), users.count(), spark.sparkContext.defaultParallelism
+    n_slabs, n_shares = max(1, -(-n_shops // per_slab)), max(1, -(-n_users // per_share))
+    # Scoring is bound by computation, and shares meet in tasks by hash, so there are more of them than tasks that can run.
+    n_shares = max(n_shares, min(3 * cores, -(-n_users // 1000)))
+    parts = max(1, min(cores, n_shops // (16 * per_block)))
+    blocks = _packed_shops(profiles, width, per_block, parts).withColumn("_slab", F.pmod(F.xxhash64("_block"), F.lit(n_slabs)).cast("int")).withColumn(
         "_share", F.explode(F.sequence(F.lit(0), F.lit(n_shares - 1))))
     shared = users.withColumn("_share", F.pmod(F.xxhash64("user"), F.lit(n_shares)).cast("int")).withColumn(
         "_slab", F.explode(F.sequence(F.lit(0), F.lit(n_slabs - 1))))

@@ -21,33 +21,44 @@ STYLE_FEATURES = ["light", "medium", "domestic"]
 FEATURES = [*ORIGIN_SHARES, *STOCK_SHARES, *STYLE_FEATURES, "budget"]
 
 
-def shop_tally(items: DataFrame, order: str = "id") -> DataFrame:
-    """Counts per shop, its currency (that of its first item) and upper median unit price.
+_MARKS = ["n_origin", *ORIGIN_SHARES, "clean", "natural", "experimental"]
 
-    Items are first counted per distinct (shop, currency, origin, process, variety); the patterns
-    then run on those few combinations instead of on every item.
-    """
-    kinds = ["shop", "cur", "origin", "process", "variety"]
-    combos = items.groupBy(*kinds).agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_first"))
-    process = F.coalesce("process", F.lit(""))
-    combos = combos.withColumn("_group", origin_group(F.col("origin")))
 
-    def count(test: Column) -> Column:
-        return F.sum(F.when(test, F.col("_n")).otherwise(0))
+def _flag(test: Column) -> Column:
+    return F.when(test, 1).otherwise(0)
+
+
+def _marks(items: DataFrame) -> DataFrame:
+    """What an item counts for, per distinct origin and process: (_origin, _process) and a number per entry of ``_MARKS``."""
+    kinds = items.select(F.col("origin").alias("_origin"), F.col("process").alias("_process")).distinct()
+    group, process = origin_group(F.col("_origin")), F.coalesce("_process", F.lit(""))
 
     def named(pattern: str) -> Column:
-        return count(process.rlike("(?i)" + pattern))
+        return _flag(process.rlike("(?i)" + pattern))
 
-    counts = combos.groupBy("shop").agg(
-        F.sum("_n").alias("n"),
-        count(F.col("_group").isNotNull()).alias("n_origin"),
-        *[count(F.col("_group") == g).alias(g) for g in ORIGIN_SHARES],
+    return kinds.select(
+        "*", _flag(group.isNotNull()).alias("n_origin"), *[_flag(group == g).alias(g) for g in ORIGIN_SHARES],
         (named("Washed") - named(r"Anaerobic\s*Washed")).alias("clean"),
         (named("Natural|Honey") - named(r"Anaerobic\s*Natural")).alias("natural"),
         named("Anaerobic|Carbonic|Thermal|Yeast|Koji|Lactic").alias("experimental"),
-        count(F.col("variety").isin("geisha", "sidra")).alias("geisha"),
-        F.min_by("cur", "_first").alias("cur"),
     )
+
+
+def shop_tally(items: DataFrame, order: str = "id") -> DataFrame:
+    """Counts per shop, its currency (that of its first item) and upper median unit price.
+
+    The items are read by three branches, so the columns these need are derived once. The patterns run
+    on the distinct (origin, process), whose marks the items look up.
+    """
+    items = settle(items.select(*dict.fromkeys(["shop", "cur", "origin", "process", "variety", "p100", order])))
+    marks = settle(_marks(items))
+    marked = items.join(marks, F.col("origin").eqNullSafe(F.col("_origin")) & F.col("process").eqNullSafe(F.col("_process")))
+    names = [*_MARKS, "geisha"]
+    # Per currency first: sums and a number's minimum are added in place, a currency's name is not.
+    by_currency = marked.withColumn("geisha", _flag(F.col("variety").isin("geisha", "sidra"))).groupBy("shop", "cur").agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(m).alias(m) for m in names], F.min(order).alias("_first"))
+    counts = by_currency.groupBy("shop").agg(
+        F.sum("n").alias("n"), *[F.sum(m).alias(m) for m in names], F.min_by("cur", "_first").alias("cur"))
     prices = order_stats(items.filter(believable(F.col("p100"))), ["shop"], "p100", {"price": upper_median}, "n_price")
     return counts.join(prices, "shop", "left").withColumn("price", F.coalesce("price", F.lit(0.0))).withColumn(
         "n_price", F.coalesce("n_price", F.lit(0))

@@ -175,6 +175,19 @@ def test_a_title_is_put_together_and_its_rank_read_once(spark):
     assert _plan(titles.select(classify.award_rank(F.col("t")).alias("x"))).count("regexp_extract(") == 3
 
 
+def test_a_title_without_a_word_is_spared_the_pattern(spark):
+    rows = [(f"{x} {w} lot",) for w in ("Geisha", "geſha", "ſİdra", "sıdra", "BLEND", "xblend", "ブレンド", "Blended", "coe", "COÉ", "Café  Granja",
+                                       "CAFÉ GRANJA", "cup\u3000of EXCELLENCE", "セロ・アスール", "Cerro Azul", "granja PARAÍSO", "İ", "") for x in ("", "\u212a", "a")]
+    titles = spark.createDataFrame([*rows, (None,)], "t string")
+    patterns = [rules.BLEND_WORD, rules.SIDRA, rules.GEISHA, rules.AWARD, rules.ESTATE, rules.ESTATE_FARM, rules.ESTATE_LOOKALIKE]
+    got = titles.select(*[F.struct(classify._named(F.col("t"), p), F.col("t").rlike(p)) for p in patterns]).collect()
+    assert all(pair[0] == pair[1] for row in got for pair in row)
+    assert any(pair[0] for row in got for pair in row)
+    # One expression per pattern, behind plain words.
+    plan = _plan(titles.select(classify.variety(F.col("t"), F.col("t")).alias("x"))).lower()
+    assert plan.count("rlike") == 3 and "contains" in plan
+
+
 def test_coordinates_are_compiled(spark):
     """Java does not compile methods of more than 8,000 bytes."""
     rows = spark.createDataFrame([(i, "Lot plum", None, "Natural", "x") for i in range(9)], "id long, name string, notes string, process string, origin string")

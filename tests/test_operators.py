@@ -2,9 +2,11 @@ import datetime as dt
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tallyshelf.operators import billing, digest, neighbours, pick, preference, userlog
+from tallyshelf.operators import billing, digest, neighbours, pick, preference, profile, userlog
 from tallyshelf.operators.pick import order_stats, upper_median
 from tallyshelf.streaming import alerts, billing_stream
 
@@ -119,6 +121,62 @@ def test_scores_do_not_depend_on_the_packing(spark):
     assert [r[2] for r in run() if r[0] == "u77"][0] == "s4"
 
 
+def test_products_in_single_precision_settle_no_place(spark, monkeypatch):
+    features = ("light", "clean", "asia")
+    # Shops alike but for the tenth digit, and equal ones, which go by name.
+    z = {f"s{i:04}": [1 + (i % 7) * 1e-10, 0.3, (i % 3) * 1e-11] for i in range(300)}
+    weight = {"u1": [1.0, 0.5, 0.0], "u2": [0.0, 0.0, -1.0], "u3": [1e30, 0.0, 1e30], "u4": [0.0, 0.0, 0.0], "u5": [1e300, 0.0, 0.0]}
+    tall = lambda rows: [(k, f, v) for k, values in rows.items() for f, v in zip(features, values)]
+    profiles = spark.createDataFrame(tall(z), "shop string, feature string, z double")
+    weights = spark.createDataFrame(tall(weight), "user string, feature string, weight double")
+    score = lambda u, s: sum((a * b for a, b in zip(weight[u], z[s])), 0.0)
+    want = {u: sorted(z, key=lambda s: (-score(u, s), s))[:5] for u in weight}
+    for kw in ({}, {"per_block": 7, "per_slab": 90}):
+        rows = preference.score_shops(weights, profiles, n=5, features=features, **kw).orderBy("user", "place").collect()
+        assert {u: [r.shop for r in rows if r.user == u] for u in want} == want
+        assert all(r.score == score(r.user, r.shop) for r in rows)
+    # A tile's whole sums are not made again: only shops that the product leaves open are.
+    seen = []
+    first_of = preference._first_of
+    monkeypatch.setattr(preference, "_first_of", lambda rows, *a: (seen.append(len(rows)), first_of(rows, *a))[1])
+    rnd = np.random.default_rng(3)
+    schema = pa.schema([("user", pa.int64()), ("shop", pa.string()), ("score", pa.float64()), ("visited", pa.int64()), ("blocks", pa.int64())])
+    blocks = pa.table({"_shops": [[f"b{b}s{i}" for i in range(64)] for b in range(40)], "_z": rnd.normal(size=(40, 64 * 3)).tolist()})
+    users = pa.table({"user": list(range(100)), "weight": rnd.normal(size=(100, 3)).tolist()})
+    assert preference._best_of_slab(5, 3, schema)(users, blocks).num_rows == 500
+    assert sum(seen) < 100 * 40 * 64 / 20
+
+
+def test_a_tally_reads_its_items_once(spark):
+    rows = [("s1", "JPY", "ケニア", "Washed", "geisha", 300.0, 3), ("s1", "USD", "ケニア", "Anaerobic Natural", None, 500.0, 1),
+            ("s1", "USD", None, None, None, None, 2), ("s2", None, "", "Honey", "sidra", 400.0, None), (None, "JPY", "ブラジル", "", None, 200.0, 7)]
+    read = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+    schema = "shop string, cur string, origin string, process string, variety string, p100 double, seq bigint"
+    items = spark.createDataFrame(rows, schema).mapInArrow(passed, schema)
+    got = {r.shop: (r.n, r.n_origin, r.africa, r.latam, r.asia, r.clean, r.natural, r.experimental, r.geisha, r.cur, r.price)
+           for r in profile.shop_tally(items, "seq").collect()}
+    assert got == {"s1": (3, 2, 2, 0, 0, 1, 0, 1, 1, "USD", 500.0), "s2": (1, 0, 0, 0, 0, 0, 1, 0, 1, None, 400.0),
+                   None: (1, 1, 0, 1, 0, 0, 0, 0, 0, "JPY", 0.0)}
+    assert read.value == len(rows)
+
+
+def test_entries_of_a_rating_are_not_filtered_by_a_lambda(spark):
+    ratings = spark.createDataFrame([("u", 1, "s1", None, 5), ("u", 2, "s1", "ケニア", 1)], "user string, item_id int, shop string, origin string, rating int")
+    items = spark.createDataFrame([(1, "ブラジル", "Natural", None), (2, None, "Washed", "geisha")], "id int, origin string, process string, variety string")
+    shops = spark.createDataFrame([("s1", "JP", "eastAsia")], "shop string, country string, region string")
+    taste = preference.taste_features(ratings, items, shops)
+    got = {(r.kind, r.name): (round(r.weight, 9), r.n) for r in taste.collect()}
+    assert got == {("attr", "latam"): (2.4, 1), ("attr", "africa"): (-1.44, 1), ("attr", "natural"): (2.0, 1), ("attr", "clean"): (-0.96, 1),
+                   ("attr", "geisha"): (-1.2, 1), ("attr", "domestic"): (0.48, 2), ("attr", "asia"): (0.4, 2), ("affinity", "s1"): (1.6, 1),
+                   ("group", "latam"): (1.0, 1), ("process", "Natural/Honey"): (1.0, 1)}
+    assert "lambdafunction" not in taste._jdf.queryExecution().optimizedPlan().toString()
+
+
 BILLING = ("event_id string, type string, ts timestamp, user_id string, customer_id string, subscription_id string, status string, "
            "price_id string, interval string, current_period_end timestamp")
 

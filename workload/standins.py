@@ -101,7 +101,7 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User log: every event is a rating of some item of the part table, in some shop of the supplier table."""
-    e = table(spark, sf_dir, "events")
+    e = dealt(table(spark, sf_dir, "events").select("event_id", "user_id", "value", "ts"))
     part, shop = (1 + F.pmod("event_id", F.lit(table(spark, sf_dir, name).count())) for name in ("part", "supplier"))
     return e.select(
         F.col("user_id").alias("user"), part.alias("item_id"), F.concat(F.lit("s"), shop).alias("shop"),
