@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from tallyshelf.operators import billing, digest, neighbours, pick, preference, profile, userlog
@@ -326,6 +327,31 @@ def test_alerts_look_up_returning_watchers_alone(spark, tmp_path):
     assert asked[2:] == [1, 1]
 
 
+def test_alerts_in_slices_of_keys(spark, tmp_path, monkeypatch):
+    """A batch that is worked on in slices sends each alert once, also where it replaces an attempt that was cut off."""
+    at = lambda d: dt.datetime(2024, 1, d)
+    box, keys = alerts.RestockAlerts(spark, str(tmp_path / "a"), buckets=1), "abcdefgh"
+    monkeypatch.setattr(box, "SLICE", 60)
+    r = lambda *days: spark.createDataFrame([(k, at(d)) for k in [None, *keys] for d in days], "key string, ts timestamp")
+    t = lambda rows: spark.createDataFrame([(u, k, at(d)) for u, k, d in rows], "user string, key string, at timestamp")
+    box.merge(0, r(5), t([("u", k, 1) for k in keys]))
+    slice_, done = box._slice, []
+
+    def cut_off(*rows):
+        assert not done, "cut off"
+        done.append(box.sent.path)
+        return slice_(*rows)
+
+    toggles = t([(u, k, d) for k in keys for u, d in (("v", 6), ("v", 6), ("w", 2))] + [("u", k, 7) for k in "abcd"])
+    box._slice = cut_off
+    with pytest.raises(AssertionError, match="cut off"):
+        box.merge(1, r(5, 9), toggles)
+    box._slice = slice_
+    box.merge(1, r(5, 9), toggles)
+    want = [(k, d, u) for k in keys for d, u in ((5, "u"), (5, "w"), (9, "v"), (9, "w"))] + [(k, 9, "u") for k in "efgh"]
+    assert sorted((x.key, x.ts.day, x.user) for x in box.read().collect()) == sorted(want)
+
+
 def test_redeliveries_within_the_watermark(spark, tmp_path):
     rows = [("e1", dt.datetime(2024, 1, 1)), ("e1", dt.datetime(2024, 1, 2)), ("e2", dt.datetime(2024, 1, 2))]
     for i, part in enumerate((rows, [("e2", dt.datetime(2024, 1, 3)), ("e3", dt.datetime(2024, 1, 3))])):
