@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyshelf.operators import billing, digest, neighbours, pick, preference, profile, userlog
 from tallyshelf.operators.pick import order_stats, upper_median
 from tallyshelf.streaming import alerts, billing_stream
+from workload import runs
 
 
 def test_order_stats_with_a_hot_group(spark):
@@ -279,6 +280,26 @@ def test_alerts_are_made_once_and_not_gathered(spark):
     assert "Join" in next(line for line in plan if "Join" in line or "Aggregate" in line)
 
 
+def test_watches_of_many_users_are_not_dealt_anew(spark, tmp_path, monkeypatch):
+    """Where all users are too many for a broadcast, they come in blocks; the watches still lie by key and are never shuffled."""
+    monkeypatch.setattr(runs, "_USERS", 300, raising=False)
+    ts, sf = dt.datetime(2024, 1, 1), str(tmp_path)
+    stock = [(k, ts + dt.timedelta(days=d), e) for k in [3, 28, 29, None] for d, e in enumerate(("view", "error", "view"))] + [(40, ts, "view")]
+    spark.createDataFrame(stock, "user_id bigint, ts timestamp_ntz, event_type string").write.parquet(f"{sf}/events.parquet")
+    users = [(c, c % 26 if c % 26 < 25 else None) for c in range(2000)] + [(3, 3), (55, 3)]
+    spark.createDataFrame(users, "c_custkey bigint, c_nationkey int").write.parquet(f"{sf}/customer.parquet")
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, 5000)
+    try:
+        hits = runs.restock_alerts(spark, sf)
+        assert "hashpartitioning(user" not in hits._jdf.queryExecution().executedPlan().toString()
+        got = sorted(map(tuple, hits.collect()))
+    finally:
+        spark.conf.set(limit, before)
+    assert got == sorted({(k, ts + dt.timedelta(days=2), c) for k in (3, 28, 29) for c, n in users if n == k % 25})
+
+
 def test_alerts_on_a_stream(spark, tmp_path):
     """A restock that is delivered in two batches alerts each watcher once."""
     ddl = "key string, type string, ts timestamp"
