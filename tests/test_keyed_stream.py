@@ -95,3 +95,21 @@ def test_one_timer_serves_all_slots_of_a_key():
     assert fire(6) == want[:6] and handle.timers[2:] == [7 * day // 1000, (5 + 60 + 1) * day // 1000]
     assert fire(6) == [] and fire(10) == want[6:]
     assert handle.cells["open"] == {} and "timer" not in handle.cells
+
+
+def test_keys_of_a_bucket_share_entries_and_a_timer():
+    handle, day = Held(), 24 * HOUR
+    keeper = K.StockKeeper(12, 3 * day, day)
+    keeper.init(handle)
+    at = lambda d: SimpleNamespace(getCurrentWatermarkInMs=lambda: d * day // 1000)
+    frame = lambda *rows: pd.DataFrame([(k, d * day, 0, a) for k, d, a in rows], columns=["key", "us", "seq", "available"])
+    fire = lambda d: sorted((tuple(r) for f in keeper.handleExpiredTimer((7,), at(d), None)
+                             for r in zip(f["key"], f["type"], f["ts"].dt.day - 1, f["oos_hours"].fillna(0))), key=str)
+    list(keeper.handleInputRows((7,), iter([frame(("a", 0, True), ("b", 0, False), ("a", 1, False), (None, 1, True), ("c", 8, False))]), at(0)))
+    list(keeper.handleInputRows((7,), iter([frame(("b", 2, True), ("a", 1, None), ("a", 0, True))]), at(0)))
+    assert handle.timers == [day // 1000] and len(handle.cells["open"]) == 5
+    assert fire(3) == sorted([("a", "new", 0, 0), ("a", "soldout", 1, 0), ("b", "restock", 2, 48), (None, "new", 1, 0)], key=str)
+    assert handle.timers[1:] == [9 * day // 1000, 5 * day // 1000] and fire(3) == []
+    keeper.init(handle)
+    assert fire(5) == [("a", "archive", 4, 0)] and fire(9) == [] and handle.cells["open"] == {}
+    assert [sorted(map(str, of)) for of in handle.cells["stock"]][0] == ["None", "a", "b", "c"]
